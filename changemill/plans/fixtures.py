@@ -13,6 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
+
+
+def _type_texts() -> list[str]:
+    """Every known type name of every system, plain and with parameters, and unknown ones."""
+    from changemill.functions.types import CANONICAL_NAMES, _pairs
+
+    texts = [(s, n) for s, text in CANONICAL_NAMES.items() for n, _ in _pairs(text)]
+    texts += [(s, n.upper() + "(12,3)") for s, text in CANONICAL_NAMES.items() for n, c in _pairs(text) if c in ("Numeric", "String")]
+    texts += [("postgresql", "timestamp(6) with time zone"), ("mysql", "geometry"), ("mssql", "hierarchyid"), ("mysql", "DECIMAL(10,0)")]
+    return [f"({i}, '{s}', '{n}')" for i, (s, n) in enumerate(texts)]
+
+
+_TYPE_TEXTS = len(_type_texts())
+_TYPE_ROWS = ", ".join(_type_texts())
+
+
 VIEWS: dict[str, str] = {
     # Change feed of shop.users_0 to shop.users_3 keyed by user_id; tables 0 and 1 get truncated.
     "feed": """
@@ -82,12 +98,20 @@ VIEWS: dict[str, str] = {
                     WHEN o_orderkey % 227 = 0 THEN '1996-13-45 00:00:00'
                     ELSE CAST(o_orderdate AS VARCHAR(30)) END AS o_orderdate
         FROM orders""",
+    # Inserts into customer: about half of the keys exist already, and keys repeat.
+    "customer_inserts": """
+        SELECT o_custkey + (SELECT CAST(floor(count(*) / 2) AS BIGINT) FROM customer) AS c_custkey,
+               o_orderkey AS off, CASE WHEN o_orderkey % 13 = 0 THEN 'd' ELSE 'u' END AS op,
+               concat('Customer#', CAST(o_custkey AS VARCHAR(20))) AS c_name,
+               CAST(o_orderkey % 25 AS INT) AS c_nationkey, o_totalprice AS c_acctbal,
+               CAST(o_orderpriority AS VARCHAR(20)) AS c_mktsegment
+        FROM orders""",
     "orders_gaps": "SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0",
-    "pending": "SELECT topic, part, off FROM feed WHERE op = 't'",
-    "committed": """
-        SELECT topic, part, CAST(max(off) / 2 AS BIGINT) AS committed FROM feed
+    "truncates_pending": "SELECT topic, part, off FROM feed WHERE op = 't'",
+    "sink_committed": """
+        SELECT topic, part, CAST(floor(max(off) / 2) AS BIGINT) AS committed FROM feed
         WHERE topic NOT LIKE '%users_3' GROUP BY topic, part""",
-    "positions": "SELECT topic, part, max(off) + 1 AS position FROM feed GROUP BY topic, part",
+    "watch_positions": "SELECT topic, part, max(off) + 1 AS position FROM feed GROUP BY topic, part",
     # Log of changes to the orders table that runs while its chunks are read.
     "orders_log": """
         SELECT event_id AS off, event_id * 10 + event_id % 50 AS o_orderkey,
@@ -132,6 +156,224 @@ VIEWS: dict[str, str] = {
     "explicit_renames": """
         SELECT tbl, concat('c', substr(name, 5)) AS old_name, name AS new_name
         FROM source_columns WHERE name LIKE 'new_%' AND pos % 2 = 0""",
+    # One chunk completion per event: tables t<user> read by pipeline user_id % 10.
+    "chunk_completions": """
+        SELECT concat('pipeline_', CAST(user_id % 10 AS VARCHAR(2))) AS pipeline,
+               CASE WHEN user_id % 10 IN (3, 6) OR event_id % 5 = 0 THEN 'initial' ELSE 'incremental' END AS kind,
+               concat('t', CAST(user_id AS VARCHAR(20))) AS tbl,
+               1024 - event_id % 24 AS rows, ts AS started_at, ts AS finished_at,
+               event_type = 'purchase' AND event_id % 7 = 0 AS is_last
+        FROM events WHERE user_id % 10 <> 8""",
+    "snapshot_tables": """
+        SELECT DISTINCT concat('pipeline_', CAST(user_id % 10 AS VARCHAR(2))) AS pipeline,
+               concat('t', CAST(user_id AS VARCHAR(20))) AS tbl
+        FROM events""",
+    "streaming_pipelines": """
+        SELECT DISTINCT concat('pipeline_', CAST(user_id % 10 AS VARCHAR(2))) AS pipeline
+        FROM events WHERE user_id % 2 = 0""",
+    # Counts per table on both sides: table orders_<n> of pipeline n % 10.
+    "sync_source": """
+        SELECT concat('orders_', CAST(o_custkey % 50 AS VARCHAR(4))) AS tbl, count(*) AS n,
+               CAST(NULL AS VARCHAR(20)) AS error
+        FROM orders GROUP BY o_custkey % 50""",
+    "sync_target": """
+        SELECT concat('copy_', CAST(o_custkey % 50 AS VARCHAR(4))) AS tbl, count(*) AS n,
+               CAST(NULL AS VARCHAR(20)) AS error
+        FROM orders_copy WHERE o_custkey % 10 NOT IN (4, 5, 7) AND o_custkey % 50 <> 11 GROUP BY o_custkey % 50
+        UNION ALL
+        SELECT concat('copy_', CAST(o_custkey % 50 AS VARCHAR(4))) AS tbl, count(*) AS n,
+               CAST(NULL AS VARCHAR(20)) AS error
+        FROM orders WHERE o_custkey % 10 IN (4, 5) GROUP BY o_custkey % 50
+        UNION ALL
+        SELECT DISTINCT concat('copy_', CAST(o_custkey % 50 AS VARCHAR(4))) AS tbl, CAST(NULL AS BIGINT) AS n,
+               CAST('db_unreachable' AS VARCHAR(20)) AS error
+        FROM orders WHERE o_custkey % 10 = 7""",
+    "sync_mapping": """
+        SELECT DISTINCT concat('pipeline_', CAST(o_custkey % 10 AS VARCHAR(2))) AS pipeline,
+               concat('orders_', CAST(o_custkey % 50 AS VARCHAR(4))) AS source_table,
+               concat('copy_', CAST(o_custkey % 50 AS VARCHAR(4))) AS target_table,
+               o_custkey % 50 <> 12 AS is_enabled
+        FROM orders""",
+    "sync_pipelines": """
+        SELECT concat('pipeline_', CAST(o_custkey % 10 AS VARCHAR(2))) AS pipeline,
+               CASE WHEN o_custkey % 10 IN (2, 5) THEN max(o_orderdate) ELSE min(o_orderdate) END AS created_at,
+               max(o_orderdate) AS checked_at,
+               o_custkey % 10 IN (1, 2) AS snapshot_running, min(o_orderdate) AS last_success_at
+        FROM orders GROUP BY o_custkey % 10
+        UNION ALL
+        SELECT 'pipeline_without_tables' AS pipeline, min(o_orderdate) AS created_at, max(o_orderdate) AS checked_at,
+               false AS snapshot_running, min(o_orderdate) AS last_success_at
+        FROM orders""",
+    # Foreign keys of four source systems and the mapping they are resolved against.
+    "fk_mapping": """
+        SELECT CASE s_suppkey % 3 WHEN 0 THEN concat('TAB_', CAST(s_suppkey AS VARCHAR(20)))
+                    WHEN 1 THEN concat('APP.TAB_', CAST(s_suppkey AS VARCHAR(20)))
+                    ELSE concat('tab_', CAST(s_suppkey AS VARCHAR(20))) END AS source_table,
+               concat('tgt_', CAST(s_suppkey AS VARCHAR(20))) AS target_table
+        FROM supplier""",
+    "fks": """
+        SELECT p_partkey AS fk_id,
+               CASE p_partkey % 4 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgresql' WHEN 2 THEN 'mssql' ELSE 'oracle' END AS system,
+               'shop' AS db,
+               concat(CASE WHEN p_size % 2 = 0 THEN 'tab_' ELSE 'TAB_' END,
+                      CAST(p_partkey % (SELECT count(*) + 10 FROM supplier) AS VARCHAR(20))) AS referred_table,
+               CASE p_size % 3 WHEN 0 THEN 'APP' WHEN 1 THEN 'app' END AS referred_schema
+        FROM part""",
+    # Constraints wanted on one target table per part, against what exists already.
+    "wanted_constraints": """
+        SELECT concat('pipeline_', CAST(p_size % 10 AS VARCHAR(2))) AS pipeline,
+               concat('tgt_', CAST(p_partkey % 500 AS VARCHAR(20))) AS tbl,
+               CASE WHEN p_partkey % 2 = 0 THEN concat('fk_tgt_', CAST(p_partkey % 500 AS VARCHAR(20)), '_c', CAST(p_partkey AS VARCHAR(20)))
+                    ELSE concat('idx_tgt_', CAST(p_partkey % 500 AS VARCHAR(20)), '_c', CAST(p_partkey AS VARCHAR(20))) END AS constraint_name,
+               CASE WHEN p_partkey % 2 = 0 THEN concat('tgt_', CAST(p_partkey % 700 AS VARCHAR(20))) END AS referred_tbl
+        FROM part""",
+    "existing_constraints": """
+        SELECT tbl, constraint_name FROM wanted_constraints WHERE constraint_name LIKE '%3'
+        UNION ALL SELECT tbl, constraint_name FROM wanted_constraints WHERE constraint_name LIKE '%8'""",
+    "existing_tables": """
+        SELECT DISTINCT concat('tgt_', CAST(p_partkey % 500 AS VARCHAR(20))) AS tbl FROM part WHERE p_partkey % 500 % 9 <> 4""",
+    # Index catalog: one index per part over one or two columns of a table with a two-column key.
+    "index_catalog": """
+        SELECT concat('tgt_', CAST(p_partkey % 500 AS VARCHAR(20))) AS tbl,
+               CASE WHEN p_partkey % 17 = 0 THEN 'PRIMARY' ELSE concat('i', CAST(p_partkey AS VARCHAR(20))) END AS name,
+               CASE p_size % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b,a' WHEN 2 THEN 'a,b' ELSE 'c' END AS column_list,
+               'a,b' AS key_list, p_size % 2 = 0 AS is_unique
+        FROM part""",
+    # Connectors of pipelines, their configs and clients, one config per customer.
+    "configs": """
+        SELECT concat('cfg_', CAST(c_custkey AS VARCHAR(20))) AS pipeline, c_nationkey AS client,
+               concat('src_', CAST(c_custkey AS VARCHAR(20))) AS source_name,
+               CASE WHEN c_custkey % 6 <> 0 THEN concat('snk_', CAST(c_custkey AS VARCHAR(20))) END AS sink_name
+        FROM customer""",
+    "statuses": """
+        SELECT concat('src_', CAST(c_custkey AS VARCHAR(20))) AS name,
+               CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'PAUSED' WHEN 'MACHINERY' THEN 'FAILED' ELSE 'RUNNING' END AS state,
+               c_custkey % 9 = 2 AS task_failed
+        FROM customer WHERE c_custkey % 8 <> 1
+        UNION ALL
+        SELECT concat('snk_', CAST(c_custkey AS VARCHAR(20))) AS name,
+               CASE WHEN c_nationkey % 5 = 0 THEN 'RUNNING' WHEN c_custkey % 7 = 3 THEN 'FAILED'
+                    WHEN c_nationkey % 2 = 1 AND c_custkey % 5 = 1 THEN 'PAUSED' ELSE 'RUNNING' END AS state,
+               false AS task_failed
+        FROM customer WHERE c_custkey % 10 <> 7""",
+    "target_dbs": """
+        SELECT n_nationkey AS client, concat('db_', CAST(n_name AS VARCHAR(20))) AS target_db
+        FROM nation WHERE n_nationkey % 4 <> 3""",
+    "dlq_offsets": """
+        SELECT topic, CAST(user_id % 3 AS INT) AS part, min(off) AS low, max(off) - CAST(900 AS BIGINT) AS high
+        FROM feed GROUP BY topic, CAST(user_id % 3 AS INT)""",
+    # Tables a source lists, bare or with schema, and which of them are known to be empty.
+    "listing": """
+        SELECT CASE WHEN s_suppkey % 2 = 0 THEN concat('APP.T', CAST(s_suppkey AS VARCHAR(20)))
+                    ELSE concat('t', CAST(s_suppkey AS VARCHAR(20))) END AS tbl
+        FROM supplier""",
+    "assigned": """
+        SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'APP' END AS source_schema,
+               CASE WHEN s_suppkey % 2 = 0 THEN concat('T', CAST(s_suppkey AS VARCHAR(20)))
+                    ELSE concat('t', CAST(s_suppkey AS VARCHAR(20))) END AS source_table,
+               s_suppkey % 7 <> 0 AS is_enabled
+        FROM supplier WHERE s_suppkey % 5 < 3""",
+    "emptiness": """
+        SELECT tbl, CASE WHEN length(tbl) % 2 = 0 THEN tbl LIKE '%7' END AS is_empty FROM listing""",
+    # DDL statements, sixteen kinds, one statement per part.
+    "ddl_text": """
+        SELECT p_partkey AS ddl_id,
+               CASE WHEN p_partkey % 16 IN (11, 12, 13) THEN 'postgresql' ELSE 'mysql' END AS system,
+               concat('tab', CAST(p_partkey % 100 AS VARCHAR(20))) AS tbl,
+               concat(CASE p_partkey % 16
+                   WHEN 0 THEN 'ALTER TABLE tab ADD COLUMN a INT, DROP COLUMN b, MODIFY c DECIMAL(10,2)'
+                   WHEN 1 THEN 'alter table `shop`.`tab` MODIFY c INT NOT NULL'
+                   WHEN 2 THEN 'ALTER TABLE tab ADD PRIMARY KEY (a, b)'
+                   WHEN 3 THEN 'ALTER TABLE tab ADD UNIQUE INDEX i (a, b), ADD KEY j (c)'
+                   WHEN 4 THEN 'ALTER TABLE tab CHANGE COLUMN x y VARCHAR(20) NOT NULL'
+                   WHEN 5 THEN 'ALTER TABLE tab RENAME COLUMN x TO y'
+                   WHEN 6 THEN 'CREATE TABLE tab (a INT)'
+                   WHEN 7 THEN 'DROP TABLE tab'
+                   WHEN 8 THEN 'TRUNCATE TABLE tab'
+                   WHEN 9 THEN 'ALTER TABLE tab CHANGE z z BIGINT, ADD CONSTRAINT k UNIQUE (a), DROP PRIMARY KEY'
+                   WHEN 10 THEN 'ALTER TABLE tab ADD d DATETIME NOT NULL DEFAULT ''now'', DROP INDEX i'
+                   WHEN 11 THEN 'ALTER TABLE public.tab ALTER COLUMN c SET DATA TYPE TEXT'
+                   WHEN 12 THEN 'ALTER TABLE "tab" ALTER COLUMN c SET NOT NULL, ADD COLUMN IF NOT EXISTS e character varying(30)'
+                   WHEN 13 THEN 'ALTER TABLE tab DROP COLUMN IF EXISTS f, ADD g INT'
+                   WHEN 14 THEN 'ALTER TABLE tab ADD CHECK ((a > 0))'
+                   ELSE 'GRANT ALL ON tab TO someone' END,
+                   CASE WHEN p_size % 2 = 0 THEN ';' ELSE '' END) AS ddl
+        FROM part""",
+    "ddl_targets": """
+        SELECT DISTINCT concat('tab', CAST(p_partkey % 100 AS VARCHAR(20))) AS tbl FROM part WHERE p_partkey % 100 % 10 <> 4""",
+    "rename_text": """
+        SELECT s_suppkey AS ddl_id,
+               concat('RENAME TABLE tab', CAST(s_suppkey AS VARCHAR(20)), ' TO `shop`.`new', CAST(s_suppkey AS VARCHAR(20)),
+                      '`, shop.tab', CAST(s_suppkey + 1 AS VARCHAR(20)), ' TO tab', CAST(s_suppkey + 2 AS VARCHAR(20))) AS ddl
+        FROM supplier""",
+    # DDL capture rows: two copies of each event, some processed, some of system schemas.
+    "capture_rows": """
+        SELECT event_id * 2 AS off, concat('e', CAST(event_id AS VARCHAR(20))) AS event_id,
+               CASE WHEN event_id % 13 = 0 THEN 'pg_catalog' ELSE 'public' END AS schema_name,
+               event_type = 'error' AS processed,
+               concat('public.users_', CAST(user_id % 4 AS VARCHAR(2)), CASE WHEN event_type = 'view' THEN '.col' ELSE '' END) AS object_name,
+               CASE WHEN event_type = 'view' THEN 'table column' ELSE 'table' END AS object_type
+        FROM events
+        UNION ALL
+        SELECT event_id * 2 + 1 AS off, concat('e', CAST(event_id AS VARCHAR(20))) AS event_id,
+               CASE WHEN event_id % 13 = 0 THEN 'pg_catalog' ELSE 'public' END AS schema_name,
+               event_type = 'error' AS processed, 'public.other' AS object_name, 'table' AS object_type
+        FROM events WHERE event_id % 3 = 0""",
+    # DDL between the changes of users_2 and users_3, at fractions of the feed.
+    "ddl_between": """
+        SELECT CAST('client_1_db_2_v_1.shop.users_2' AS VARCHAR(60)) AS tbl, max(off) - CAST(floor(max(off) / 50) AS BIGINT) AS off,
+               'RENAME_COLUMN' AS operation, 'value' AS column_name, 'amount' AS new_name,
+               CAST(NULL AS VARCHAR(20)) AS type_name, CAST(NULL AS VARCHAR(20)) AS default_value
+        FROM feed
+        UNION ALL
+        SELECT 'client_1_db_2_v_1.shop.users_2' AS tbl, max(off) - CAST(floor(max(off) / 80) AS BIGINT) AS off,
+               'ADD_COLUMN' AS operation, 'origin' AS column_name, CAST(NULL AS VARCHAR(20)) AS new_name,
+               'string' AS type_name, 'web' AS default_value
+        FROM feed
+        UNION ALL
+        SELECT 'client_1_db_2_v_1.shop.users_3' AS tbl, max(off) - CAST(floor(max(off) / 60) AS BIGINT) AS off,
+               'DROP_COLUMN' AS operation, 'event_type' AS column_name, CAST(NULL AS VARCHAR(20)) AS new_name,
+               CAST(NULL AS VARCHAR(20)) AS type_name, CAST(NULL AS VARCHAR(20)) AS default_value
+        FROM feed""",
+    # The users feed as it is written around that DDL: new names and columns after it.
+    "evolving_feed": """
+        SELECT topic, user_id, op, off,
+               CASE WHEN topic LIKE '%users_3' AND off >= (SELECT max(off) FROM ddl_between WHERE operation = 'DROP_COLUMN')
+                    THEN NULL ELSE event_type END AS event_type,
+               CASE WHEN topic LIKE '%users_2' AND off >= (SELECT max(off) FROM ddl_between WHERE operation = 'RENAME_COLUMN')
+                    THEN NULL ELSE value END AS value,
+               CASE WHEN topic LIKE '%users_2' AND off >= (SELECT max(off) FROM ddl_between WHERE operation = 'RENAME_COLUMN')
+                    THEN value END AS amount,
+               CASE WHEN topic LIKE '%users_2' AND off >= (SELECT max(off) FROM ddl_between WHERE operation = 'ADD_COLUMN')
+                    THEN 'app' END AS origin
+        FROM feed""",
+    # Columns with type texts of every source system, one per part.
+    "type_catalog": """
+        SELECT p_partkey AS col_id, t.system AS system, t.type_name AS type_name,
+               CASE WHEN p_size % 4 = 0 THEN CAST(p_size + 1 AS INT) WHEN p_size % 4 = 1 THEN -1 END AS length,
+               CASE WHEN p_size % 8 = 0 THEN 2 END AS scale
+        FROM part JOIN type_texts t ON p_partkey % """ + str(_TYPE_TEXTS) + """ = t.i""",
+    "type_texts": "SELECT * FROM (VALUES " + _TYPE_ROWS + ") AS v(i, system, type_name)",
+    # Envelopes with planted damage, by offset.
+    "damaged_feed": """
+        SELECT topic, part, off, op, user_id, event_type, value,
+               CASE WHEN off % 19 = 0 THEN 'malformed_json' WHEN off % 23 = 0 THEN 'unknown_op'
+                    WHEN off % 29 = 0 AND op IN ('c', 'u') THEN 'missing_after'
+                    WHEN off % 31 = 0 AND op IN ('c', 'u') THEN 'missing_key' END AS damage
+        FROM feed""",
+    # Snapshot signals: one per order of every 40th customer, for one of five tables.
+    "signal_rows": """
+        SELECT o_orderkey AS off, concat('client_1_db_', CAST(o_custkey % 3 AS VARCHAR(4)), '_v_1') AS prefix,
+               CASE o_orderkey % 5 WHEN 0 THEN 'pause-snapshot' WHEN 1 THEN 'resume-snapshot' WHEN 2 THEN 'stop-snapshot'
+                                   ELSE 'execute-snapshot' END AS signal_type,
+               concat('shop.', CASE o_custkey % 5 WHEN 0 THEN 'users_0' WHEN 1 THEN 'users_1' WHEN 2 THEN 'orders'
+                                                  WHEN 3 THEN 'unknown' ELSE 'users_3' END) AS collection
+        FROM orders""",
+    # Schema-history messages: DDL text per part, some of system databases, some broken.
+    "history_rows": """
+        SELECT ddl_id AS off, ddl, CASE WHEN ddl_id % 10 = 7 THEN 'MySQL' ELSE 'shop' END AS db,
+               ddl_id % 41 = 3 AS broken, ddl_id % 43 = 5 AS is_null
+        FROM ddl_text""",
 }
 
 
