@@ -461,6 +461,20 @@ SELECT c.client, CASE WHEN bool_or(s.state = 'FAILED') THEN 'FAILED' WHEN bool_o
 FROM configs c LEFT JOIN statuses s ON c.sink_name = s.name WHERE c.sink_name IS NOT NULL GROUP BY c.client""",
     "dead_letter_counts": "SELECT topic, CAST(sum(greatest(0, high - low)) AS BIGINT) AS n FROM dlq_offsets GROUP BY topic",
 }
+_LIVE = FOLDED.format(feed="good", keys="f.topic, f.user_id")
+SQL["stream_truncate_aware_state"] = SQL["stream_recovered_state"] = SQL["truncate_aware_state"]
+SQL["stream_handover_state"] = SQL["handover_state"]
+SQL["stream_evolved_state"] = SQL["evolved_state"]
+SQL["stream_pipeline_state"] = f"""
+WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE '%users_1'),
+{_LIVE}
+SELECT CASE WHEN topic LIKE '%users_3' THEN 'people' ELSE concat('shop_', split_part(topic, '.', 3)) END AS target_table, user_id, event_type, value, off
+FROM w WHERE op <> 'd'"""
+SQL["stream_dead_letters"] = "SELECT topic, off, damage AS error_class FROM damaged_feed WHERE damage IS NOT NULL AND topic NOT LIKE '%users_1'"
+SQL["stream_events_per_op_window"] = """
+SELECT date_trunc('hour', ts) AS window_start, topic, op, count(*) AS n FROM feed
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM feed) - INTERVAL 10 MINUTE GROUP BY 1, 2, 3"""
+SQL["stream_once_per_event"] = "SELECT event_id, event_type FROM events"
 SQL["metadata_differences"] = f"""
 WITH {SIMILAR},
 os AS (SELECT s.*, g.grp FROM source_columns s LEFT JOIN similar_types g ON s.type_name = g.name
