@@ -60,10 +60,12 @@ def decode_envelope(feed: DataFrame, row: T.StructType, key_cols: Sequence[str])
     if clash:
         raise ValueError(f"columns {sorted(clash)} clash with the feed's own; rename them in the row schema")
     raw_key, raw_value = F.col("key").alias("_raw_key"), F.col("value").alias("_raw_value")
-    message = feed.select("topic", "part", "off", raw_key, raw_value).withColumn(
-        "_v",
-        F.from_json("_raw_value", envelope_schema(row), {"columnNameOfCorruptRecord": "_corrupt"}),
-    ).withColumn("_k", key_struct(F.col("_raw_key"), row, key_cols))
+    parsed = F.struct(
+        F.from_json("value", envelope_schema(row), {"columnNameOfCorruptRecord": "_corrupt"}).alias("_v"),
+        key_struct(F.col("key"), row, key_cols).alias("_k"),
+    )
+    # Generating the parsed message keeps filters on it above the parser: each message is parsed once.
+    message = feed.select("topic", "part", "off", raw_key, raw_value, F.inline(F.array(parsed)))
     tombstone = F.col("_raw_value").isNull()
     op = F.when(tombstone, F.lit("d")).otherwise(F.coalesce("_v.op", "_v.payload.op"))
     message = message.withColumns(

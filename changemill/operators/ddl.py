@@ -111,22 +111,30 @@ def classify_clauses(clauses: DataFrame) -> DataFrame:
 
     The dialect comes from ``system``: PostgreSQL has its own patterns, others share one set.
     """
-    clause = F.col("clause")
-    is_pg = F.col("system") == "postgresql"
+    clause, is_pg = F.col("clause"), F.col("system") == "postgresql"
+    dialects = {name: _clause_patterns(name) for name in ("postgresql", "mysql")}
+    # The first matching pattern is found once; every detail then needs one extraction only.
+    first = {}
+    for name, patterns in dialects.items():
+        branch = F
+        for number, (_, pattern, _) in enumerate(patterns):
+            branch = branch.when(_is(clause, pattern), F.lit(number))
+        first[name] = branch.otherwise(F.lit(-1))
+    rows = clauses.withColumn("_pattern", F.when(is_pg, first["postgresql"]).otherwise(first["mysql"]))
 
     def detail(which: str) -> Column:
-        def pick(system: str) -> Column:
-            branch = F
-            for operation, pattern, groups in _clause_patterns(system):
-                value = F.lit(operation) if which == "operation" else (
-                    _group(clause, pattern, groups[which]) if which in groups else F.lit(None).cast("string")
-                )
-                branch = branch.when(_is(clause, pattern), value)
-            return branch.otherwise(F.lit("UNKNOWN") if which == "operation" else F.lit(None))
+        def pick(name: str) -> Column:
+            branch = F.when(F.col("_pattern") == -1, F.lit("UNKNOWN" if which == "operation" else None))
+            for number, (operation, pattern, groups) in enumerate(dialects[name]):
+                if which == "operation":
+                    branch = branch.when(F.col("_pattern") == number, F.lit(operation))
+                elif which in groups:
+                    branch = branch.when(F.col("_pattern") == number, _group(clause, pattern, groups[which]))
+            return branch
 
         return F.when(is_pg, pick("postgresql")).otherwise(pick("mysql"))
 
-    rows = clauses.withColumns(
+    rows = rows.withColumns(
         {
             "operation": detail("operation"), "column_name": detail("column"), "new_name": detail("new"),
             "_type": detail("type"), "index_name": detail("index"), "_columns": detail("columns"), "_unique": detail("unique"),
@@ -144,7 +152,7 @@ def classify_clauses(clauses: DataFrame) -> DataFrame:
             "is_unique": F.when(F.col("operation") == "ADD_INDEX", F.col("_unique").isNotNull()),
             "is_destructive": F.col("operation").isin(*DESTRUCTIVE),
         }
-    ).drop("_type", "_columns", "_unique")
+    ).drop("_pattern", "_type", "_columns", "_unique")
 
 
 def explicit_renames(statements: DataFrame) -> DataFrame:

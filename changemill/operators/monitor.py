@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changemill.operators.fold import latest_per_key
 from changemill.operators.ordering import previous_in_group
+from changemill.session import cut_lineage
 
 # ---- Fixed values: histogram bounds in seconds, state order, lag threshold -----------------
 MESSAGE_BUCKETS = (0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
@@ -150,7 +151,8 @@ def incidents(samples: DataFrame, slice_unit: str = "HOUR") -> DataFrame:
     hour = F.date_trunc(slice_unit, F.col("ts"))
     signals = alert_signals(samples)
     marked = previous_in_group(signals, group, order, F.col("signal"), hour, "_before")
-    turns = marked.where(F.coalesce("_before", F.lit(0)) != F.col("signal")).drop("_before")
+    # Few rows are left; they are read twice below, so they are computed once and kept.
+    turns = cut_lineage(marked.where(F.coalesce("_before", F.lit(0)) != F.col("signal")).drop("_before"))
     paired = previous_in_group(turns, group, order, F.col("ts"), hour, "resolved_at", following=True)
     return paired.where("signal = 1").select("pipeline", "event_type", F.col("check_id").alias("opened_by"), F.col("ts").alias("opened_at"), "resolved_at")
 

@@ -5,21 +5,21 @@ Catalogs hold one row per column of every table, so all tables are compared in o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changemill.functions.types import similar_group, types_differ
 
-RESULT = ["tbl", "stage", "pos", "operation", "column_name", "new_name", "type_name", "old_type", "is_destructive"]
+RESULT = "tbl stage pos operation column_name new_name type_name is_destructive".split()
 
 
-def _operations(rows: DataFrame, stage: int, operation: str, destructive: bool = False, **columns) -> DataFrame:
-    values = {
-        "tbl": F.col("tbl"), "stage": F.lit(stage), "pos": F.col("pos"), "operation": F.lit(operation),
-        "column_name": F.col("name"), "new_name": F.lit(None).cast("string"), "type_name": F.lit(None).cast("string"),
-        "old_type": F.lit(None).cast("string"), "is_destructive": F.lit(destructive), **columns,
-    }
-    return rows.select(*[values[c].alias(c) for c in RESULT])
+def _operation(stage: int, operation: str, column: str, new: str | None, type_name: str | None, destructive: bool = False) -> Column:
+    """One operation as a struct of the result columns behind the table."""
+    text = lambda name: F.col(name) if name else F.lit(None).cast("string")
+    return F.struct(
+        F.lit(stage).alias("stage"), F.col("pos"), F.lit(operation).alias("operation"), F.col(column).alias("column_name"),
+        text(new).alias("new_name"), text(type_name).alias("type_name"), F.lit(destructive).alias("is_destructive"),
+    )
 
 
 def rename_aware_diff(source: DataFrame, target: DataFrame, renames: DataFrame) -> DataFrame:
@@ -51,26 +51,16 @@ def rename_aware_diff(source: DataFrame, target: DataFrame, renames: DataFrame)
     similar = F.coalesce(similar_group(F.col("type_name")) == similar_group(F.col("old_type")), F.lit(False))
     paired = paired.withColumn("_rename", F.col("name").isNotNull() & F.col("old_name").isNotNull() & similar)
 
-    return (
-        _operations(
-            explicit, 1, "RENAME_COLUMN",
-            column_name=F.col("old_name"), new_name=F.col("new_name"), type_name=F.col("type_name"),
-        )
-        .unionByName(
-            _operations(
-                paired.where("_rename"), 3, "RENAME_COLUMN",
-                column_name=F.col("old_name"), new_name=F.col("name"), type_name=F.col("type_name"),
-            )
-        )
-        .unionByName(
-            _operations(paired.where("NOT _rename AND name IS NOT NULL"), 4, "ADD_COLUMN", type_name=F.col("type_name"))
-        )
-        .unionByName(
-            _operations(
-                paired.where("NOT _rename AND old_name IS NOT NULL"), 5, "DROP_COLUMN", True, column_name=F.col("old_name")
-            )
-        )
+    # A pair of positions gives a rename, or an added and a dropped column, or one of them.
+    added, dropped = F.col("name").isNotNull() & ~F.col("_rename"), F.col("old_name").isNotNull() & ~F.col("_rename")
+    operations = F.array(
+        F.when(F.col("_rename"), _operation(3, "RENAME_COLUMN", "old_name", "name", "type_name")),
+        F.when(added, _operation(4, "ADD_COLUMN", "name", None, "type_name")),
+        F.when(dropped, _operation(5, "DROP_COLUMN", "old_name", None, None, True)),
     )
+    by_position = paired.select("tbl", F.inline(F.array_compact(operations)))
+    by_text = explicit.select("tbl", F.inline(F.array(_operation(1, "RENAME_COLUMN", "old_name", "new_name", "type_name"))))
+    return by_text.unionByName(by_position).select(*RESULT)
 
 
 def typed_diff(source: DataFrame, target: DataFrame) -> DataFrame:
