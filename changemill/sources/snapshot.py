@@ -62,13 +62,15 @@ def resync(feed: DataFrame, table: DataFrame, topic: str, position: int) -> Data
     """Feed after a resync of one table: a reset marker, then every row of the table as a read.
 
     The marker is a truncate just below the reads, so the fold forgets older rows, and changes
-    after the position win over the reads.
+    after the position win over the reads. The change at the position itself is in the reads
+    already and would tie with them, so it is left out.
     """
     reads = as_snapshot(table, topic, position)
     marker = reads.sparkSession.range(1).select(
         F.lit(topic).alias("topic"), F.lit(position - 1).cast("bigint").alias("off"), F.lit("t").alias("op")
     )
-    return feed.unionByName(reads, allowMissingColumns=True).unionByName(marker, allowMissingColumns=True)
+    rest = feed.where((F.col("topic") != topic) | (F.col("off") != position))
+    return rest.unionByName(reads, allowMissingColumns=True).unionByName(marker, allowMissingColumns=True)
 
 
 def chunk_snapshot(table: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
