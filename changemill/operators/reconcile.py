@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changemill.functions.names import younger_than
+
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Exact rows of every table in one job; tables without rows count zero.
@@ -81,7 +83,7 @@ def sync_status(pipelines: DataFrame, compared: DataFrame) -> DataFrame:
         F.count_if("in_sync").alias("in_sync_count"),
         F.bool_or(F.coalesce(side_down, F.lit(False))).alias("_down"),
     )
-    young = F.timestamp_diff("SECOND", F.col("created_at"), F.col("checked_at")) < 24 * 3600
+    young = younger_than(F.col("created_at"), F.col("checked_at"))
     total, same = F.coalesce("total_count", F.lit(0)), F.coalesce("in_sync_count", F.lit(0))
     status = (
         F.when(young & F.col("snapshot_running"), "snapshot_in_progress")

@@ -40,12 +40,14 @@ VIEWS: dict[str, str] = {
                ts, user_id, event_type, value, props
         FROM events""",
     "orders_feed": """
-        SELECT 'client_1_db_2_v_1.shop.orders' AS topic, 0 AS part, o_orderkey AS off,
+        SELECT concat('client_1_db_2_v_1.shop.', CASE WHEN o_orderkey IS NULL THEN 'none' ELSE 'orders' END) AS topic,
+               0 AS part, o_orderkey AS off,
                CASE WHEN o_orderkey % 11 = 0 THEN 'd' ELSE 'u' END AS op,
                o_orderkey AS row_key, CAST(o_orderstatus AS VARCHAR(20)) AS label
         FROM orders""",
     "customer_feed": """
-        SELECT 'client_1_db_3_v_2.sales.dbo.customer' AS topic, 0 AS part, c_custkey AS off,
+        SELECT concat('client_1_db_3_v_2.sales.dbo.', CASE WHEN c_custkey IS NULL THEN 'none' ELSE 'customer' END) AS topic,
+               0 AS part, c_custkey AS off,
                'c' AS op, c_custkey AS row_key, CAST(c_mktsegment AS VARCHAR(20)) AS label
         FROM customer""",
     # Topics that no sink subscribes to: the DDL capture table and the signal table.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changemill.functions.names import seconds_between
 from changemill.operators.fold import latest_per_key
 from changemill.operators.ordering import global_rank
 from changemill.session import measured
@@ -134,7 +135,7 @@ def progress(completions: DataFrame, tables: DataFrame) -> DataFrame:
         remaining.alias("remaining_tables"),
         F.greatest(F.col("total_tables") - remaining, F.lit(0)).alias("completed_tables"),
         F.coalesce("rows_scanned", F.lit(0)).alias("rows_scanned"),
-        F.coalesce(F.timestamp_diff("SECOND", F.col("started_at"), F.col("finished_at")), F.lit(0)).alias("duration_seconds"),
+        F.coalesce(seconds_between(F.col("started_at"), F.col("finished_at")), F.lit(0)).alias("duration_seconds"),
         F.when(remaining > 0, F.col("current_table")).alias("current_table"),
         (remaining == 0).alias("is_completed"),
     )

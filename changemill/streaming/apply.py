@@ -17,7 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changemill.functions.envelope import dead_rows, decode_envelope, good_rows
 from changemill.functions.types import conform
-from changemill.sources.feed import with_topic_parts
+from changemill.operators.fold import LIVE_OPS, split_insert_mode
+from changemill.operators.keys import duplicate_keys, orphan_counts
+from changemill.session import cut_lineage
+from changemill.sources.feed import union_feeds, with_topic_parts
 from changemill.spec import FREQUENCY_MINUTES, PipelineSpec, TableSpec
 from changemill.tables.dead_letters import as_dead_letters, settle_rejects
 from changemill.tables.state_table import StateTable
@@ -88,6 +91,8 @@ class Pipeline:
 
     def rows_of(self, batch: DataFrame, table: TableSpec) -> DataFrame:
         """Decoded rows of one table of a batch, with ``_error`` for those that do not fit."""
+        if not table.row.fields:
+            raise MetadataUnavailable(f"no row schema for {table.source_schema}.{table.source_table}")
         mine = with_topic_parts(batch).where(
             (F.col("db_id") == self.spec.db_id)
             & (F.col("source_schema") == table.source_schema)
@@ -109,16 +114,62 @@ class Pipeline:
         batch = batch.persist()
         try:
             for table in self.spec.enabled_tables:
-                rows = self.rows_of(batch, table)
-                rejects = as_dead_letters(
-                    dead_rows(rows).select("topic", "part", "off", "_raw_key", "_raw_value", "_error"), "decode", F.col("_error"),
-                    batch_id=self.first_batch + batch_id,
-                )
-                settle_rejects(rejects, self.spec.tolerance, f"{self.location}/dead_letters/{table.target}")
-                self.state(table).apply(good_rows(rows), self.first_batch + batch_id)
+                self._apply_table(batch, table, self.first_batch + batch_id)
         finally:
             batch.unpersist()
 
+    def _apply_table(self, batch: DataFrame, table: TableSpec, number: int) -> None:
+        rows, state = self.rows_of(batch, table), self.state(table)
+        rejects = as_dead_letters(
+            dead_rows(rows).select("topic", "part", "off", "_raw_key", "_raw_value", "_error"), "decode", F.col("_error"), batch_id=number
+        )
+        good = good_rows(rows)
+        if self.spec.delete_mode == "ignore":
+            good = good.where(F.col("op") != "d")
+        if self.spec.insert_mode != "upsert":
+            good, refused = self._limited(good, state, number)
+            if refused is not None:
+                rejects = rejects.unionByName(as_dead_letters(refused, "insert", F.col("reason"), batch_id=number))
+        settle_rejects(rejects, self.spec.tolerance, f"{self.location}/dead_letters/{table.target}")
+        state.apply(good, number)
+
+    def _limited(self, rows: DataFrame, state: StateTable, number: int) -> tuple[DataFrame, DataFrame | None]:
+        """Insert mode refuses keys that exist, update mode ignores keys that do not. Both compare
+        with the state that the batch found, and keep the outcome, so a replay decides alike."""
+        keys = state.keys
+        live = rows.where(F.col("op").isin(*LIVE_OPS))
+        rest = rows.where(~F.col("op").isin(*LIVE_OPS))
+        found = state.current(number).select(*keys) if state.has_rows_before(number) else rows.limit(0).select(*keys)
+        if self.spec.insert_mode == "update":
+            return cut_lineage(live.join(found, keys, "left_semi").unionByName(rest)), None
+        accepted, refused = split_insert_mode(found, live, keys)
+        return cut_lineage(accepted.unionByName(rest)), cut_lineage(refused)
+
+    def target_rows(self, table: TableSpec) -> DataFrame:
+        """Rows of a target as its delete mode shows them."""
+        state = self.state(table)
+        return state.soft_deleted() if self.spec.delete_mode == "soft" else state.current()
+
+    def constraint_violations(self) -> DataFrame:
+        """Declared keys and references that the targets break: (target_table, kind, columns, n)."""
+        found = []
+        by_name = {t.target: t for t in self.spec.enabled_tables}
+        for table in self.spec.enabled_tables:
+            rows = self.state(table).current()
+            checks = [("unique", c, duplicate_keys(rows, list(c))) for c in table.unique]
+            checks += [
+                ("reference", (column,), orphan_counts(rows, self.state(by_name[parent]).current(), {column: parent_column}))
+                for column, parent, parent_column in table.foreign_keys
+                if parent in by_name
+            ]
+            found += [
+                df.agg(F.count("*").alias("n")).select(
+                    F.lit(table.target).alias("target_table"), F.lit(kind).alias("kind"), F.lit(",".join(columns)).alias("columns"), "n"
+                )
+                for kind, columns, df in checks
+            ]
+        return union_feeds(found).where("n > 0")
+
     def run(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
         problems = self.plan()
         if problems:

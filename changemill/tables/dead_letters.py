@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COLUMNS = ["topic", "part", "off", "stage", "error_class", "message", "payload", "batch_id"]
+SCHEMA = (
+    "topic string, part int, off bigint, stage string, error_class string, message string, payload string, batch_id bigint"
+)
 
 
 class BadRows(RuntimeError):
@@ -41,4 +43,4 @@ def settle_rejects(rejects: DataFrame, tolerance: str, path: str) -> None:
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*COLUMNS)
+    return spark.read.schema(SCHEMA).parquet(path)

@@ -94,14 +94,22 @@ class StateTable:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
     # -- reading ---------------------------------------------------------------------------
-    def current(self) -> DataFrame:
-        """Live rows: deleted and truncated ones are gone."""
-        return self._folded().where(F.col(self.op).isin(*LIVE_OPS))
+    def current(self, before_batch: int | None = None) -> DataFrame:
+        """Live rows: deleted and truncated ones are gone. ``before_batch`` reads the state that
+        a batch found, also when the batch is replayed."""
+        return self._folded(before_batch).where(F.col(self.op).isin(*LIVE_OPS))
 
     def with_deletes(self) -> DataFrame:
-        """Live rows and delete markers."""
+        """Live rows and delete markers; a marker holds the image that the delete carried."""
         return self._folded()
 
+    def soft_deleted(self) -> DataFrame:
+        """Live rows and deleted rows, the latter with ``__deleted = true``."""
+        return self._folded().withColumn("__deleted", F.col(self.op) == "d")
+
+    def has_rows_before(self, batch_id: int) -> bool:
+        return self._version() > 0 or any(b < batch_id for b in self._batches())
+
     def positions(self) -> DataFrame:
         """Greatest applied offset per table."""
         rows = [df.select(self.table, self.order) for df in (self._base(), self._recent()) if df is not None]
@@ -156,23 +164,24 @@ class StateTable:
         version = self._version()
         return self.spark.table(f"{self.name}_base_{version}") if version else None
 
-    def _recent(self) -> DataFrame | None:
+    def _recent(self, before_batch: int | None = None) -> DataFrame | None:
         changes = f"{self.name}_changes"
         if not self.spark.catalog.tableExists(changes):
             return None
         self.spark.catalog.refreshTable(changes)
-        return self.spark.table(changes).where(F.col("batch_id") > self._reach()).drop("batch_id")
+        rows = self.spark.table(changes).where(F.col("batch_id") > self._reach())
+        return (rows if before_batch is None else rows.where(F.col("batch_id") < before_batch)).drop("batch_id")
 
-    def _markers(self) -> DataFrame:
-        parts = [df.where(F.col(self.op) == "t") for df in (self._base(), self._recent()) if df is not None]
+    def _markers(self, before_batch: int | None = None) -> DataFrame:
+        parts = [df.where(F.col(self.op) == "t") for df in (self._base(), self._recent(before_batch)) if df is not None]
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
         return last_truncates(rows, self.table, self.order, self.op).select(
             self.table, F.col("_t_off").alias(self.order), F.lit("t").alias(self.op)
         )
 
-    def _folded(self) -> DataFrame:
+    def _folded(self, before_batch: int | None = None) -> DataFrame:
         """One row per key: recent changes over the base, minus what truncates wiped out."""
-        base, recent = self._base(), self._recent()
+        base, recent = self._base(), self._recent(before_batch)
         if base is None and recent is None:
             raise ValueError(f"state table {self.name} has no data yet")
         if recent is None:
@@ -181,7 +190,7 @@ class StateTable:
             rows = fold_changes(recent, self.keys, self.order, self.op)
             if base is not None:
                 rows = self._over_base(base, measured(rows))
-        marks = measured(self._markers().select(self.table, F.col(self.order).alias("_t_off")))
+        marks = measured(self._markers(before_batch).select(self.table, F.col(self.order).alias("_t_off")))
         kept = rows.join(marks, self.table, "left").where(
             F.col("_t_off").isNull() | (F.col(self.order) > F.col("_t_off"))
         )
