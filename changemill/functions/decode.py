@@ -16,22 +16,37 @@ def epoch() -> Column:
 
 
 def decimal_from_base64(text: Column, precision: int, scale: int) -> Column:
-    """Two's complement of up to 16 bytes to DECIMAL(precision, scale); longer values are null."""
+    """Two's complement of up to 16 bytes to DECIMAL(precision, scale); longer values are null.
+
+    Eight bytes, enough for 18 digits, take the short way of one base conversion.
+    """
     digits = F.hex(F.try_to_binary(text, F.lit("base64")))
-    negative = F.substring(digits, 1, 1) >= "8"
+    fill = F.when(F.left(digits, F.lit(1)) >= "8", "F").otherwise("0")
+    size, result = F.length(digits), f"decimal({precision},{scale})"
+    short = F.conv(F.lpad(digits, F.lit(16), fill), 16, -10).cast("decimal(20,0)")
+    exact = F.lit(f"1E-{scale}").cast(f"decimal({scale + 1},{scale})")
+    fits = (size <= 16) if scale <= 16 else F.lit(False)
+    return (
+        F.when((size > 0) & fits, (short * exact).try_cast(result))
+        .when((size > 0) & (size <= 32), _wide_decimal(digits, scale).try_cast(result))
+    )
+
+
+def _wide_decimal(digits: Column, scale: int) -> Column:
+    """Decimal text of up to 32 two's complement hex digits."""
+    negative = F.left(digits, F.lit(1)) >= "8"
     wide = F.when(negative, F.lpad(digits, 32, "F")).otherwise(F.lpad(digits, 32, "0"))
     # -x is the bitwise complement plus one, so both halves are read as unsigned numbers.
     flipped = F.when(negative, F.translate(wide, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(wide)
-    halves = [F.conv(part, 16, 10).cast("decimal(20,0)") for part in (F.left(flipped, F.lit(16)), F.right(flipped, F.lit(16)))]
+    high, low = [F.conv(part, 16, 10).cast("decimal(20,0)") for part in (F.left(flipped, F.lit(16)), F.right(flipped, F.lit(16)))]
     two_64 = F.lit("18446744073709551616").cast("decimal(20,0)")
-    magnitude = F.try_add(F.try_multiply(halves[0], two_64).try_cast("decimal(38,0)"), halves[1])
-    magnitude = F.try_add(magnitude, F.when(negative, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)"))
-    plain = F.lpad(magnitude.cast("string"), F.greatest(F.length(magnitude.cast("string")), F.lit(scale + 1)), F.lit("0"))
-    pointed = F.concat(
+    magnitude = F.try_add(F.try_multiply(high, two_64).try_cast("decimal(38,0)"), low)
+    magnitude = F.try_add(magnitude, F.when(negative, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")).cast("string")
+    plain = F.lpad(magnitude, F.greatest(F.length(magnitude), F.lit(scale + 1)), F.lit("0"))
+    return F.concat(
         F.when(negative, "-").otherwise(""),
         F.left(plain, F.length(plain) - scale), F.lit("."), F.right(plain, F.lit(scale)),
     )
-    return F.when((F.length(digits) > 0) & (F.length(digits) <= 32), pointed.try_cast(f"decimal({precision},{scale})"))
 
 
 def bytes_from_base64(text: Column) -> Column:

@@ -13,7 +13,6 @@ SYSTEM_SCHEMAS = (
     "mysql", "information_schema", "performance_schema", "sys",
     "pg_catalog", "pg_toast", "ddl_capture",
 )
-DEFAULT_ROUTE = r".*\.([^.]+)\.([^.]+)"
 DATA_TOPICS = r"client_{client}_db_{db}_v_\d+\.[^.]+\.(?:[^.]+\.)?(?!ddl_events$|debezium_signal$)[^.]+"
 
 
@@ -32,16 +31,16 @@ def segments(name: Column) -> Column:
 
 def topic_table(topic: Column) -> Column:
     """The table is always the last segment."""
-    return F.element_at(segments(topic), -1)
+    return F.substring_index(topic, ".", -1)
 
 
 def topic_schema(topic: Column) -> Column:
     """Schema (or database) segment in front of the table."""
-    return F.element_at(segments(topic), -2)
+    return F.when(topic.contains("."), F.substring_index(F.substring_index(topic, ".", -2), ".", 1))
 
 
 def topic_prefix(topic: Column) -> Column:
-    return F.element_at(segments(topic), 1)
+    return F.substring_index(topic, ".", 1)
 
 
 def topic_db_id(topic: Column) -> Column:
@@ -50,8 +49,9 @@ def topic_db_id(topic: Column) -> Column:
 
 
 def default_target(topic: Column) -> Column:
-    """Default routing: the last two segments joined by an underscore."""
-    return F.regexp_replace(topic, f"^{DEFAULT_ROUTE}$", "$1_$2")
+    """Default routing: the last two of at least three segments joined by an underscore."""
+    last_two = F.substring_index(topic, ".", -2)
+    return F.when(last_two != topic, F.replace(last_two, F.lit("."), F.lit("_"))).otherwise(topic)
 
 
 def reroute_schema(topic: Column, database: Column) -> Column:
