@@ -19,6 +19,15 @@ from changemill.session import measured
 LIVE_OPS = ("c", "u", "r")
 
 
+def by_key(df: DataFrame, keys: Sequence[str]):
+    """Group by the keys for an aggregate that Spark has to sort.
+
+    ``max_by`` over rows sorts each task's rows by the grouping columns. Several columns
+    compare slowly one after the other, so their hash goes first and decides nearly always.
+    """
+    return df.groupBy(*keys) if len(keys) == 1 else df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys)
+
+
 def latest_per_key(
     feed: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "off"
 ) -> DataFrame:
@@ -26,7 +35,7 @@ def latest_per_key(
     order_cols = [order] if isinstance(order, str) else list(order)
     carried = [c for c in feed.columns if c not in keys]
     rank = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
-    last = feed.groupBy(*keys).agg(F.max_by(F.struct(*carried), rank).alias("_last"))
+    last = by_key(feed, keys).agg(F.max_by(F.struct(*carried), rank).alias("_last"))
     return last.select(
         *[F.col(c) if c in keys else F.col(f"_last.`{c}`").alias(c) for c in feed.columns]
     )
@@ -107,7 +116,7 @@ def soft_delete_state(
     image = F.max_by(
         F.when(is_live, F.struct(*values)), F.when(is_live, F.col(order))
     ).alias("_image")
-    last = feed.where(F.col(op) != "t").groupBy(*keys).agg(
+    last = by_key(feed.where(F.col(op) != "t"), keys).agg(
         image,
         F.max_by(F.col(op), F.col(order)).alias("_op"),
         F.max(order).alias(order),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changemill.operators.fold import latest_per_key
-from changemill.operators.ordering import previous_in_group
+from changemill.operators.ordering import nearest_in_group
 from changemill.session import cut_lineage
 
 # ---- Fixed values: histogram bounds in seconds, state order, lag threshold -----------------
@@ -118,25 +118,18 @@ def sink_badges(sinks: DataFrame, by: str) -> DataFrame:
     return sinks.groupBy(by).agg(badge.alias("badge"))
 
 
-def alert_signals(samples: DataFrame) -> DataFrame:
-    """Long form of two-sided samples: one row per alert kind that a sample opens or resolves.
+ALERT_KINDS = ("source_failed", "connector_missing", "sink_failed")
 
-    ``signal`` is 1 where the kind fires and 0 where the whole pipeline is healthy, which is
-    what resolves alerts; samples that do neither for a kind produce no row for it.
-    """
+
+def alert_signals() -> dict[str, Column]:
+    """Signal of a two-sided sample per alert kind: 1 where the kind fires, 0 where the whole
+    pipeline is healthy, which is what resolves alerts, null where the sample does neither."""
     source_failed = (F.col("source_state") == "FAILED") | F.col("source_task_failed")
     sink_failed = (F.col("sink_state") == "FAILED") | F.col("sink_task_failed")
     missing = ~source_failed & (F.col("source_state") == "NOT_FOUND")
     healthy = overall_health() == "healthy"
-
-    def signal(kind: str, fires: Column) -> Column:
-        return F.struct(F.lit(kind).alias("event_type"), F.when(healthy, 0).when(fires, 1).alias("signal"))
-
-    kinds = F.array(
-        signal("source_failed", source_failed), signal("connector_missing", missing), signal("sink_failed", sink_failed)
-    )
-    rows = samples.select("pipeline", "check_id", "ts", F.explode(kinds).alias("_k"))
-    return rows.select("pipeline", "check_id", "ts", "_k.event_type", "_k.signal").where("signal IS NOT NULL")
+    fires = dict(zip(ALERT_KINDS, (source_failed, missing, sink_failed), strict=True))
+    return {kind: F.when(healthy, 0).when(on, 1) for kind, on in fires.items()}
 
 
 def incidents(samples: DataFrame, slice_unit: str = "HOUR") -> DataFrame:
@@ -145,15 +138,20 @@ def incidents(samples: DataFrame, slice_unit: str = "HOUR") -> DataFrame:
 
     Signals that repeat the one before change nothing; the alternating rest are the opens and
     resolutions. Both look-ups of a neighbouring row go slice by slice, so a pipeline that
-    holds much of all samples is spread over its hours.
+    holds much of all samples is spread over its hours, and all kinds share one sort.
     """
-    group, order = ["pipeline", "event_type"], ["ts", "check_id"]
-    hour = F.date_trunc(slice_unit, F.col("ts"))
-    signals = alert_signals(samples)
-    marked = previous_in_group(signals, group, order, F.col("signal"), hour, "_before")
+    order, hour = ["ts", "check_id"], F.date_trunc(slice_unit, F.col("ts"))
+    signals = samples.select("pipeline", *order, *[s.alias(k) for k, s in alert_signals().items()])
+    before = {f"_{k}": F.col(k) for k in ALERT_KINDS}
+    marked = nearest_in_group(signals, ["pipeline"], order, before, hour)
+    turned = [
+        F.when(F.coalesce(f"_{k}", F.lit(0)) != F.col(k), F.struct(F.lit(k).alias("event_type"), F.col(k).alias("signal")))
+        for k in ALERT_KINDS
+    ]
+    turns = marked.select("pipeline", *order, F.inline(F.array_compact(F.array(*turned))))
     # Few rows are left; they are read twice below, so they are computed once and kept.
-    turns = cut_lineage(marked.where(F.coalesce("_before", F.lit(0)) != F.col("signal")).drop("_before"))
-    paired = previous_in_group(turns, group, order, F.col("ts"), hour, "resolved_at", following=True)
+    turns = cut_lineage(turns)
+    paired = nearest_in_group(turns, ["pipeline", "event_type"], order, {"resolved_at": F.col("ts")}, hour, following=True)
     return paired.where("signal = 1").select("pipeline", "event_type", F.col("check_id").alias("opened_by"), F.col("ts").alias("opened_at"), "resolved_at")
 
 

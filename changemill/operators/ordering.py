@@ -31,36 +31,42 @@ def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank") -> Data
     return ordered.join(starts, "_pid").select(*df.columns, (F.col("_start") + index).alias(rank))
 
 
-def previous_in_group(
+def nearest_in_group(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    value: Column,
+    values: dict[str, Column],
     slice_by: Column,
-    output: str,
     following: bool = False,
 ) -> DataFrame:
-    """Value of the previous (or following) row of the group, also for groups that hold much
-    of the data.
+    """Add, for each output name, the nearest non-null value before (or after) the row in its
+    group, also for groups that hold much of the data.
 
     Each group is cut into slices that follow its order (an hour, an offset range). Inside a
-    slice this is ``lag``; the first row of a slice takes the last value of the nearest slice
-    before it, which a second window over one row per slice supplies. No task ever sorts more
-    than one slice of a group.
+    slice this is a running ``last``; a row without one takes the last value of the nearest
+    slice before it, which a second window over one row per slice supplies. No task ever sorts
+    more than one slice of a group, and all values share the one sort.
     """
-    keys = [*group, "_slice"]
+    # The hash leads the sort keys of the slices, where it decides most comparisons.
+    keys = ["_hash", *group, "_slice"]
     step = [F.col(c).desc() if following else F.col(c) for c in order]
     edge = F.min_by if following else F.max_by
-    rows = df.withColumn("_slice", slice_by).withColumn("_value", value)
-    within = Window.partitionBy(*keys).orderBy(*step)
-    rows = rows.withColumn("_prev", F.lag(F.struct("_value")).over(within))
-    edges = df.withColumn("_slice", slice_by).withColumn("_value", value).groupBy(*keys).agg(
-        edge(F.struct("_value"), F.struct(*order)).alias("_edge")
+    rows = df.withColumns({"_slice": slice_by, **{f"_v_{n}": v for n, v in values.items()}})
+    rows = rows.withColumn("_hash", F.xxhash64(*group, "_slice"))
+    at = F.struct(*order)
+    edges = rows.groupBy(*keys).agg(
+        *[edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_e_{n}") for n in values]
     )
-    across = Window.partitionBy(*group).orderBy(F.col("_slice").desc() if following else F.col("_slice"))
-    edges = edges.select(*keys, F.lag("_edge").over(across).alias("_carried"))
-    found = F.coalesce("_prev", "_carried")
-    return rows.join(edges, keys, "left").select(*df.columns, found["_value"].alias(output))
+    across = (
+        Window.partitionBy(*group)
+        .orderBy(F.col("_slice").desc() if following else F.col("_slice"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    edges = edges.select(*keys, *[F.last(f"_e_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values])
+    within = Window.partitionBy(*keys).orderBy(*step).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_p_{n}": F.last(f"_v_{n}", ignorenulls=True).over(within) for n in values})
+    found = [F.coalesce(f"_p_{n}", f"_c_{n}").alias(n) for n in values]
+    return rows.join(edges, keys, "left").select(*df.columns, *found)
 
 
 def last_rows(df: DataFrame, order: Sequence[str], n: int = 3, group: Sequence[str] = ()) -> DataFrame:

@@ -16,15 +16,17 @@ def test_global_rank_is_the_row_number_of_the_whole(spark, rows):
 
 
 @pytest.mark.parametrize("following", [False, True])
-def test_previous_in_group_across_slices(spark, following):
+def test_nearest_in_group_across_slices(spark, following):
     rng = random.Random(3)
     data = sorted({(rng.choice("xy"), rng.randrange(200)) for _ in range(120)})
-    df = spark.createDataFrame([(g, t, None if t % 11 == 0 else t * 2) for g, t in data], "g string, t bigint, v bigint")
-    out = ordering.previous_in_group(df, ["g"], ["t"], F.col("v"), F.floor(F.col("t") / 10), "p", following)
-    values = {(g, t): None if t % 11 == 0 else t * 2 for g, t in data}
+    df = spark.createDataFrame([(g, t, None if t % 3 else t * 2) for g, t in data], "g string, t bigint, v bigint")
+    values = {"p": F.col("v"), "q": F.when(F.col("t") % 2 == 0, F.col("t"))}
+    out = ordering.nearest_in_group(df, ["g"], ["t"], values, F.floor(F.col("t") / 10), following)
     for r in out.collect():
         near = [t for g, t in data if g == r.g and (t > r.t if following else t < r.t)]
-        assert r.p == (values[(r.g, (min if following else max)(near))] if near else None)
+        pick = min if following else max
+        threes, evens = [t for t in near if t % 3 == 0], [t for t in near if t % 2 == 0]
+        assert (r.p, r.q) == (pick(threes) * 2 if threes else None, pick(evens) if evens else None)
 
 
 def test_last_rows(spark, rows):
