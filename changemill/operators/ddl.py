@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changemill.functions.types import base_type, type_parameter
+from changemill.functions.types import base_type, type_parameter, with_canonical_types
 
 # ---- Fixed values: statement prefixes that are not table changes, operation names ----------
 SKIPPED_PREFIXES = (
@@ -255,6 +255,22 @@ def dispatch(statements: DataFrame) -> DataFrame:
     return statements.withColumn("route", route)
 
 
+def evolution_operations(operations: DataFrame) -> DataFrame:
+    """Column operations in the form that evolution applies: Spark types, one row per operation.
+
+    Needs ``off`` and ``system`` beside the classified clauses; takes what the gate lets
+    through when there is a ``status``. Operations on keys and indexes change no column.
+    """
+    rows = operations.where(F.col("operation").isin("ADD_COLUMN", "DROP_COLUMN", "RENAME_COLUMN", "MODIFY_COLUMN"))
+    if "status" in operations.columns:
+        rows = rows.where("status = 'apply'")
+    typed = with_canonical_types(rows)
+    return typed.select(
+        "tbl", "off", "clause_no", "operation", "column_name", "new_name",
+        F.when(F.col("type_name").isNotNull(), F.col("spark_type")).alias("type_name"), "default_value",
+    )
+
+
 def operation_counts(gated: DataFrame) -> DataFrame:
     """Processed, waiting and skipped operations per batch of statements."""
     return gated.groupBy("operation", "status").agg(F.count("*").alias("n"))

@@ -24,7 +24,8 @@ def widen(table: DataFrame, batch: DataFrame) -> DataFrame:
 
 def bounded_operations(ddl: DataFrame, max_operations: int = 10_000) -> list[Row]:
     """DDL operations of a micro-batch, as driver metadata; too many is an error, not a cut."""
-    rows = ddl.orderBy("off").limit(max_operations + 1).collect()
+    order = [c for c in ("off", "clause_no") if c in ddl.columns]
+    rows = ddl.orderBy(*order).limit(max_operations + 1).collect()
     if len(rows) > max_operations:
         raise ValueError(f"more than {max_operations} DDL operations in one batch; use smaller batches")
     return rows

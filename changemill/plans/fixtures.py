@@ -337,6 +337,13 @@ VIEWS: dict[str, str] = {
                'DROP_COLUMN' AS operation, 'event_type' AS column_name, CAST(NULL AS VARCHAR(20)) AS new_name,
                CAST(NULL AS VARCHAR(20)) AS type_name, CAST(NULL AS VARCHAR(20)) AS default_value
         FROM feed""",
+    # The same DDL as the statements that a capture table holds.
+    "ddl_statements": """
+        SELECT off AS ddl_id, off, 'mysql' AS system, tbl,
+               CASE operation WHEN 'RENAME_COLUMN' THEN 'ALTER TABLE shop.users RENAME COLUMN value TO amount'
+                    WHEN 'ADD_COLUMN' THEN 'ALTER TABLE shop.users ADD COLUMN origin VARCHAR(20) DEFAULT ''web'', ADD KEY i (origin)'
+                    ELSE 'ALTER TABLE shop.users DROP COLUMN event_type' END AS ddl
+        FROM ddl_between""",
     # The users feed as it is written around that DDL: new names and columns after it.
     "evolving_feed": """
         SELECT topic, user_id, op, off,

@@ -464,7 +464,7 @@ FROM configs c LEFT JOIN statuses s ON c.sink_name = s.name WHERE c.sink_name IS
 _LIVE = FOLDED.format(feed="good", keys="f.topic, f.user_id")
 SQL["stream_truncate_aware_state"] = SQL["stream_recovered_state"] = SQL["truncate_aware_state"]
 SQL["stream_handover_state"] = SQL["handover_state"]
-SQL["stream_evolved_state"] = SQL["evolved_state"]
+SQL["stream_ddl_evolved_state"] = SQL["stream_evolved_state"] = SQL["evolved_state"]
 SQL["stream_pipeline_state"] = f"""
 WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE '%users_1'),
 {_LIVE}

@@ -16,9 +16,10 @@ from changemill.plans.fixtures import table, view
 from changemill.plans.queries import STATE_COLUMNS, USER_KEYS, USER_ROW, damaged_messages, query
 from changemill.session import run_dir
 from changemill.sources import snapshot
-from changemill.sources.feed import FEED_SCHEMA, read_files
+from changemill.sources.feed import FEED_SCHEMA, read_files, union_feeds
 from changemill.spec import PipelineSpec, TableSpec
 from changemill.streaming.apply import Pipeline, fold_into, start
+from changemill.streaming.ddl import read_operations, record_into
 from changemill.streaming.events import events_per_window, once_per_event
 from changemill.tables.dead_letters import read_dead_letters
 from changemill.tables.state_table import StateTable
@@ -151,6 +152,28 @@ def stream_evolved_state(spark, sf_dir):
     return evolve.evolve_rows(state.current(), operations, columns).select("topic", "user_id", "off", *columns)
 
 
+@query
+def stream_ddl_evolved_state(spark, sf_dir):
+    """Two streams, one of changes and one of DDL text: the text is parsed, gated and recorded,
+    and the state is read at the schema it leads to."""
+    folder = run_dir(spark, "ddl")
+    columns = {"event_type": "string", "value": "double", "amount": "double", "origin": "string"}
+    row = T.StructType([T.StructField("user_id", T.LongType()), *[T.StructField(c, T._parse_datatype_string(t)) for c, t in columns.items()]])
+    path = write_feed(envelope.encode_envelope(view(spark, sf_dir, "evolving_feed").withColumn("part", F.lit(0)), row.names, ["user_id"]), folder)
+    statements = view(spark, sf_dir, "ddl_statements")
+    statements.write.parquet(f"{folder}/ddl")
+    topics = view(spark, sf_dir, "feed").select(F.col("topic").alias("tbl")).distinct()
+    ddl_stream = spark.readStream.schema(statements.schema).parquet(f"{folder}/ddl")
+    operations = f"{folder}/operations"
+    start(ddl_stream, record_into(operations, lambda: topics, allow_destructive=True), f"{folder}/ddl_checkpoint").awaitTermination()
+    tables = tuple(TableSpec("shop", f"users_{i}", row, ("user_id",)) for i in range(4))
+    pipeline = Pipeline(spark, PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual"), folder, f"d_{folder.rsplit('-', 1)[1][:12]}")
+    pipeline.run(read_files(spark, path, True, FILES), f"{folder}/checkpoint").awaitTermination()
+    recorded = evolve.bounded_operations(read_operations(spark, operations))
+    parts = [pipeline.target_rows(t, recorded).select("topic", "user_id", "off", *columns) for t in tables]
+    return union_feeds(parts)
+
+
 @query
 def stream_events_per_op_window(spark, sf_dir):
     """Windowed counters in append mode: the windows that are final behind a ten-minute watermark."""

@@ -129,8 +129,7 @@ def tables_without_keys(catalog: DataFrame) -> DataFrame:
 def missing_key_report(catalog: DataFrame) -> DataFrame:
     """One row: how many tables lack a key, and the first ten of them by name."""
     missing = tables_without_keys(catalog)
-    total = missing.agg(F.count("*").alias("n"))
     first = missing.limit(MISSING_KEYS_SHOWN).agg(F.array_join(F.array_sort(F.collect_list("tbl")), ", ").alias("shown"))
     more = F.greatest(F.col("n") - MISSING_KEYS_SHOWN, F.lit(0))
-    text = F.concat(F.col("shown"), F.when(more > 0, F.concat(F.lit(" and "), more, F.lit(" more"))).otherwise(""))
-    return total.select("n", F.lit(1).alias("_one")).join(first.withColumn("_one", F.lit(1)), "_one").select("n", text.alias("message"))
+    text = F.concat(first.scalar(), F.when(more > 0, F.concat(F.lit(" and "), more, F.lit(" more"))).otherwise(""))
+    return missing.agg(F.count("*").alias("n")).select("n", text.alias("message"))

@@ -9,14 +9,15 @@ replayed after a restart, which is also how a long outage of a target is waited
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changemill.functions.envelope import dead_rows, decode_envelope, good_rows
 from changemill.functions.types import conform
+from changemill.operators.evolve import evolve_rows
 from changemill.operators.fold import LIVE_OPS, split_insert_mode
 from changemill.operators.keys import duplicate_keys, orphan_counts
 from changemill.session import cut_lineage
@@ -145,10 +146,13 @@ class Pipeline:
         accepted, refused = split_insert_mode(found, live, keys)
         return cut_lineage(accepted.unionByName(rest)), cut_lineage(refused)
 
-    def target_rows(self, table: TableSpec) -> DataFrame:
-        """Rows of a target as its delete mode shows them."""
+    def target_rows(self, table: TableSpec, operations: Sequence[Row] = ()) -> DataFrame:
+        """Rows of a target as its delete mode shows them, brought to the schema that the DDL
+        ``operations`` of its topic lead to."""
         state = self.state(table)
-        return state.soft_deleted() if self.spec.delete_mode == "soft" else state.current()
+        rows = state.soft_deleted() if self.spec.delete_mode == "soft" else state.current()
+        columns = {f.name: f.dataType.simpleString() for f in table.row.fields if f.name not in table.keys}
+        return evolve_rows(rows, operations, columns) if operations else rows
 
     def constraint_violations(self) -> DataFrame:
         """Declared keys and references that the targets break: (target_table, kind, columns, n)."""
