@@ -276,7 +276,7 @@ SELECT topic, off, op, user_id, CASE WHEN op <> 'd' THEN value END AS value FROM
 SELECT topic, part, off, 'decode' AS stage, damage AS error_class FROM damaged_feed WHERE damage IS NOT NULL""",
     "decimal_values": "SELECT o_orderkey, ((o_orderkey - 7000) * 13) / 100.0 AS amount FROM orders",
     "wire_times": """
-SELECT event_id, ts, CAST(ts AS DATE) AS day, strftime(ts, '%H:%M:%S.%f') AS time_of_day FROM events""",
+SELECT event_id, ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, strftime(ts, '%H:%M:%S.%f') AS time_of_day FROM events""",
     "snapshot_requests": """
 SELECT s.prefix, s.off, concat('s', s.off) AS signal_id, m.target_table
 FROM signal_rows s JOIN mapping m ON m.is_enabled AND s.collection = concat(m.source_schema, '.', m.source_table)

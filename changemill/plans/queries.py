@@ -267,7 +267,7 @@ def wire_times(spark, sf_dir):
     micros = F.timestamp_diff("MICROSECOND", decode.epoch(), ts)
     rows = table(spark, sf_dir, "events").select("event_id", micros.alias("us"), F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).alias("days"))
     return rows.select(
-        "event_id", decode.timestamp_from_micros(F.col("us")).alias("ts"), decode.date_from_days(F.col("days")).alias("day"),
+        "event_id", decode.timestamp_from_micros(F.col("us")).alias("ts"), decode.date_from_days(F.col("days")).cast("string").alias("day"),
         decode.time_text(F.pmod("us", F.lit(86400000000))).alias("time_of_day"),
     )
 

@@ -32,6 +32,10 @@ class MetadataUnavailable(RuntimeError):
     not committed and comes again after the restart."""
 
 
+class Paused(RuntimeError):
+    """Raised in front of a batch when the control table pauses a side of the pipeline."""
+
+
 def trigger_options(frequency: str) -> dict[str, object]:
     """Trigger of each schedule: realtime runs on, manual drains what is there and ends."""
     if frequency == "realtime":
@@ -76,9 +80,12 @@ class Pipeline:
         location: str,
         name: str = "pipeline",
         current_spec: Callable[[], PipelineSpec] | None = None,
+        control: Callable[[], DataFrame] | None = None,
+        buckets: int = 200,
     ):
-        self.spark, self.spec, self.location, self.name = spark, spec, location, name
+        self.spark, self.spec, self.location, self.name, self.buckets = spark, spec, location, name, buckets
         self._current_spec = current_spec or (lambda: self.spec)
+        self._control = control
         self.first_batch = 0
 
     def plan(self) -> list[str]:
@@ -87,7 +94,7 @@ class Pipeline:
 
     def state(self, table: TableSpec) -> StateTable:
         return StateTable(
-            self.spark, f"{self.name}_{table.target}", ["topic", *table.keys], self.location, buckets=8
+            self.spark, f"{self.name}_{table.target}", ["topic", *table.keys], self.location, buckets=self.buckets
         )
 
     def rows_of(self, batch: DataFrame, table: TableSpec) -> DataFrame:
@@ -108,7 +115,10 @@ class Pipeline:
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one batch to every table that is enabled now: the table list is read again in
-        each batch, and an empty list keeps the last one."""
+        each batch, and an empty list keeps the last one. The control table is read too: a paused
+        pipeline stops in front of the batch and takes it up again when it is run."""
+        if self._control is not None and not may_run(self._control(), self.name):
+            raise Paused(f"pipeline {self.name} is paused")
         latest = self._current_spec()
         if latest.enabled_tables:
             self.spec = latest

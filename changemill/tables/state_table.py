@@ -38,6 +38,7 @@ class StateTable:
         self.spark, self.name, self.keys = spark, name, list(keys)
         self.location, self.buckets = location, buckets
         self.table, self.order, self.op = table, order, op
+        self._held: list[DataFrame] = []
 
     # -- writing ---------------------------------------------------------------------------
     def apply(self, batch: DataFrame, batch_id: int) -> bool:
@@ -76,6 +77,8 @@ class StateTable:
         if purge_deletes_before is not None:
             rows = rows.where((F.col(self.op) != "d") | (F.col(self.order) >= purge_deletes_before))
         base = f"{self.name}_base_{version}"
+        # The same hash decides shuffle partition and bucket: one file per bucket.
+        rows = rows.repartition(self.buckets, *self.keys)
         writer = self._writer(rows, f"base_{version}").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
         writer.mode("overwrite").saveAsTable(base)
         pointer = self.spark.range(1).select(
@@ -86,8 +89,15 @@ class StateTable:
         self.spark.sql(f"ALTER TABLE {self.name}_changes DROP IF EXISTS {covered}")
         if version > 1:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version - 2}")
+        self.release()
+
+    def release(self) -> None:
+        """Free what reading the state has cached."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def drop(self) -> None:
+        self.release()
         for version in range(self._version() + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version}")
         for part in ("changes", "versions"):
@@ -120,6 +130,10 @@ class StateTable:
         """First free batch number: where a new stream over the same state starts counting."""
         return max([self._reach(), *self._batches()]) + 1
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(measured(df))
+        return self._held[-1]
+
     # -- parts -----------------------------------------------------------------------------
     def _writer(self, df: DataFrame, part: str):
         writer = df.write.format("parquet")
@@ -189,8 +203,8 @@ class StateTable:
         else:
             rows = fold_changes(recent, self.keys, self.order, self.op)
             if base is not None:
-                rows = self._over_base(base, measured(rows))
-        marks = measured(self._markers(before_batch).select(self.table, F.col(self.order).alias("_t_off")))
+                rows = self._over_base(base, self._hold(rows))
+        marks = self._hold(self._markers(before_batch).select(self.table, F.col(self.order).alias("_t_off")))
         kept = rows.join(marks, self.table, "left").where(
             F.col("_t_off").isNull() | (F.col(self.order) > F.col("_t_off"))
         )

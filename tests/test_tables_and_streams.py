@@ -171,6 +171,35 @@ def test_tables_are_read_again_in_every_batch(spark, rows):
     assert rows(pipeline.state(full.tables[1]).current(), "id") == [(3,)]
 
 
+def test_a_paused_pipeline_stops_before_the_batch_and_resumes(spark, rows):
+    folder = run_dir(spark, "paused")
+    path = feed_files(spark, [("client_1_db_2_v_1.shop.a", 0, 1, "c", 1, "x")], folder, 1)
+    state = {"sink": "PAUSED"}
+    control = lambda: spark.createDataFrame([("paused", "RUNNING", state["sink"])], "pipeline string, source_state string, sink_state string")
+    pipeline = Pipeline(spark, spec(), folder, "paused", control=control)
+    with pytest.raises(Exception, match="is paused"):
+        pipeline.run(read_files(spark, path, True), f"{folder}/ck").awaitTermination()
+    state["sink"] = "RUNNING"
+    pipeline.run(read_files(spark, path, True), f"{folder}/ck").awaitTermination()
+    assert rows(pipeline.state(pipeline.spec.tables[0]).current(), "id") == [(1,)]
+
+
+def test_base_is_bucketed_by_key_and_joins_without_a_shuffle(spark):
+    folder = run_dir(spark, "bucketed")
+    state = StateTable(spark, "bucketed", ["topic", "id"], folder, buckets=4)
+    state.apply(spark.range(1000).select(F.lit("t").alias("topic"), "id", F.col("id").alias("off"), F.lit("c").alias("op")), 0)
+    state.compact()
+    base = spark.table("bucketed_base_1")
+    assert base.select("_metadata.file_path").distinct().count() <= 4
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = base.join(base.select("topic", "id", "off"), ["topic", "id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_may_run(spark):
     control = spark.createDataFrame([("p", "RUNNING", "PAUSED"), ("q", "RUNNING", "RUNNING")], "pipeline string, source_state string, sink_state string")
     assert [may_run(control, p) for p in ("p", "q", "r")] == [False, True, False]
