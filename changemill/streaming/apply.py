@@ -122,15 +122,23 @@ class Pipeline:
         latest = self._current_spec()
         if latest.enabled_tables:
             self.spec = latest
-        batch = batch.persist()
+        # Kept while several tables take their rows from it.
+        shared = len(self.spec.enabled_tables) > 1
+        batch = batch.persist() if shared else batch
         try:
             for table in self.spec.enabled_tables:
-                self._apply_table(batch, table, self.first_batch + batch_id)
+                # Decoded once for the rejects and the rows that are applied.
+                rows = self.rows_of(batch, table).persist()
+                try:
+                    self._apply_table(rows, table, self.first_batch + batch_id)
+                finally:
+                    rows.unpersist()
         finally:
-            batch.unpersist()
+            if shared:
+                batch.unpersist()
 
-    def _apply_table(self, batch: DataFrame, table: TableSpec, number: int) -> None:
-        rows, state = self.rows_of(batch, table), self.state(table)
+    def _apply_table(self, rows: DataFrame, table: TableSpec, number: int) -> None:
+        state = self.state(table)
         rejects = as_dead_letters(
             dead_rows(rows).select("topic", "part", "off", "_raw_key", "_raw_value", "_error"), "decode", F.col("_error"), batch_id=number
         )

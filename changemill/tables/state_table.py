@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.operators.fold import LIVE_OPS, fold_changes, last_truncates
+from changemill.operators.fold import LIVE_OPS, fold_changes, last_truncates, latest_per_key
 from changemill.session import measured
 
 
@@ -35,6 +35,8 @@ class StateTable:
         op: str = "op",
         buckets: int = 200,
     ):
+        if table not in keys:
+            raise ValueError(f"the keys of a state table include its table column {table!r}")
         self.spark, self.name, self.keys = spark, name, list(keys)
         self.location, self.buckets = location, buckets
         self.table, self.order, self.op = table, order, op
@@ -140,10 +142,12 @@ class StateTable:
         return writer.option("path", f"{self.location}/{self.name}_{part}") if self.location else writer
 
     def _with_markers(self, batch: DataFrame) -> DataFrame:
-        marks = last_truncates(batch, self.table, self.order, self.op).select(
-            self.table, F.col("_t_off").alias(self.order), F.lit("t").alias(self.op)
-        )
-        return fold_changes(batch, self.keys, self.order, self.op).unionByName(marks, allowMissingColumns=True)
+        """The batch folded in one pass: truncates have no key, so the last one of a table is the
+        row of its null key."""
+        keyless = {
+            key: F.when(F.col(self.op) != "t", F.col(key)) for key in self.keys if key != self.table
+        }
+        return latest_per_key(batch.withColumns(keyless), self.keys, self.order)
 
     def _add_columns(self, table: str, df: DataFrame) -> None:
         """Basic evolution: columns a batch brings in are added to the table as nullable."""
