@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemill.functions import names
+from changemill.session import measured
 
 FEED_SCHEMA = T.StructType(
     [
@@ -136,7 +137,7 @@ def table_changes(watched: DataFrame, desired: DataFrame, key: str = "topic") ->
 
     Nothing is returned when no table is desired: a subscription never becomes empty.
     """
-    watched, desired = watched.select(key).distinct(), desired.select(key).distinct()
+    watched, desired = measured(watched.select(key).distinct()), measured(desired.select(key).distinct())
     added = desired.exceptAll(watched).withColumn("change", F.lit("added"))
     removed = watched.exceptAll(desired).withColumn("change", F.lit("removed"))
     return added.unionByName(removed).where(desired.exists())
