@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changemill.functions.types import similar_group, types_differ
-from changemill.session import measured
 
 RESULT = "tbl stage pos operation column_name new_name type_name is_destructive".split()
 
@@ -29,9 +28,7 @@ def rename_aware_diff(source: DataFrame, target: DataFrame, renames: DataFrame)
     In this order: renames the DDL text names (``renames``: tbl, old_name, new_name), columns
     of the same name, columns at the same position with a similar type whose old name is gone
     (renames), then added and dropped columns. Types of same-named columns are not compared.
-    The catalogs are read several times, so each is computed once.
     """
-    source, target = measured(source), measured(target)
     old = target.select("tbl", F.col("name").alias("old_name"))
     explicit = renames.join(old, ["tbl", "old_name"], "left_semi").join(
         source.select("tbl", F.col("name").alias("new_name"), "pos", "type_name"), ["tbl", "new_name"]

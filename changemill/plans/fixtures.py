@@ -1,7 +1,8 @@
 """Change feeds, catalogs and samples derived from the given tables.
 
 Each view is one SQL text that Spark and DuckDB both accept, so a query and its oracle start
-from the same rows. ``with_views`` stacks the views an oracle needs into a WITH clause;
+from the same rows. Every view covers its whole tables; conditions on a remainder plant damage,
+gaps, renames and states in known places. ``with_views`` stacks the views an oracle needs into a WITH clause;
 ``view`` builds the same view as a DataFrame. Arithmetic is integer only.
 """
 

@@ -82,8 +82,10 @@ class Pipeline:
         current_spec: Callable[[], PipelineSpec] | None = None,
         control: Callable[[], DataFrame] | None = None,
         buckets: int = 200,
+        compact_every: int | None = None,
     ):
         self.spark, self.spec, self.location, self.name, self.buckets = spark, spec, location, name, buckets
+        self._compact_every = compact_every
         self._current_spec = current_spec or (lambda: self.spec)
         self._control = control
         self.first_batch = 0
@@ -139,6 +141,8 @@ class Pipeline:
 
     def _apply_table(self, rows: DataFrame, table: TableSpec, number: int) -> None:
         state = self.state(table)
+        if state.covers(number):
+            return
         rejects = as_dead_letters(
             dead_rows(rows).select("topic", "part", "off", "_raw_key", "_raw_value", "_error"), "decode", F.col("_error"), batch_id=number
         )
@@ -151,6 +155,8 @@ class Pipeline:
                 rejects = rejects.unionByName(as_dead_letters(refused, "insert", F.col("reason"), batch_id=number))
         settle_rejects(rejects, self.spec.tolerance, f"{self.location}/dead_letters/{table.target}")
         state.apply(good, number)
+        if self._compact_every:
+            state.maybe_compact(self._compact_every)
 
     def _limited(self, rows: DataFrame, state: StateTable, number: int) -> tuple[DataFrame, DataFrame | None]:
         """Insert mode refuses keys that exist, update mode ignores keys that do not. Both compare

@@ -45,7 +45,7 @@ class StateTable:
     # -- writing ---------------------------------------------------------------------------
     def apply(self, batch: DataFrame, batch_id: int) -> bool:
         """Fold a micro-batch and write it as its own partition; False if it is in the base already."""
-        if batch_id <= self._reach():
+        if self.covers(batch_id):
             return False
         folded, changes = self._with_markers(batch), f"{self.name}_changes"
         if not self.spark.catalog.tableExists(changes):
@@ -93,6 +93,17 @@ class StateTable:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version - 2}")
         self.release()
 
+    def maybe_compact(self, max_batches: int) -> bool:
+        """Compact once so many batches lie on top of the base, which bounds what a read folds."""
+        due = len(self._batches()) >= max_batches
+        if due:
+            self.compact()
+        return due
+
+    def covers(self, batch_id: int) -> bool:
+        """Whether a batch is part of the base already; its replay has nothing left to do."""
+        return batch_id <= self._reach()
+
     def release(self) -> None:
         """Free what reading the state has cached."""
         while self._held:

@@ -251,6 +251,21 @@ def test_insert_modes_in_the_stream_decide_alike_on_replay(spark, rows, mode, fi
     assert sorted((r.off, r.error_class) for r in letters) == refused
 
 
+def test_compaction_inside_the_stream_and_replays_after_it(spark, rows):
+    folder = run_dir(spark, "compacting")
+    topic = "client_1_db_2_v_1.shop.a"
+    pipeline = Pipeline(spark, spec(insert_mode="insert", tolerance="all"), folder, "compacting", buckets=2, compact_every=2)
+    path, table = None, pipeline.spec.tables[0]
+    for number in range(4):
+        path = feed_files(spark, [(topic, 0, number, "c", number, "x")], folder, 1)
+        pipeline.run(read_files(spark, path, True), f"{folder}/ck").awaitTermination()
+    assert pipeline.state(table)._version() == 2 and pipeline.state(table)._batches() == []
+    # batch 0 of another checkpoint is one that the base covers: no row changes, none is refused
+    pipeline.run(read_files(spark, path, True), f"{folder}/ck_again").awaitTermination()
+    assert rows(pipeline.target_rows(table), "id") == [(0,), (1,), (2,), (3,)]
+    assert read_dead_letters(spark, f"{folder}/dead_letters/shop_a").count() == 0
+
+
 def test_delete_modes(spark, rows):
     topic = "client_1_db_2_v_1.shop.a"
     for mode, expected in (("hard", [(2, None)]), ("soft", [(1, True), (2, False)]), ("ignore", [(1, None), (2, None)])):
