@@ -10,6 +10,7 @@ replayed after a restart, which is also how a long outage of a target is waited
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -83,9 +84,10 @@ class Pipeline:
         control: Callable[[], DataFrame] | None = None,
         buckets: int = 200,
         compact_every: int | None = None,
+        tables_at_once: int = 4,
     ):
         self.spark, self.spec, self.location, self.name, self.buckets = spark, spec, location, name, buckets
-        self._compact_every = compact_every
+        self._compact_every, self._tables_at_once = compact_every, tables_at_once
         self._current_spec = current_spec or (lambda: self.spec)
         self._control = control
         self.first_batch = 0
@@ -109,6 +111,9 @@ class Pipeline:
             & (F.col("source_table") == table.source_table)
         ).select(*batch.columns)
         decoded = decode_envelope(mine, table.row, table.keys)
+        # Offsets order a table only inside one partition, and a truncate needs that order.
+        unordered = F.when(F.col("part") != 0, F.lit("unordered_partition"))
+        decoded = decoded.withColumn("_error", F.coalesce("_error", unordered))
         if not table.casts:
             return decoded
         cast = conform(decoded, table.casts)
@@ -127,22 +132,27 @@ class Pipeline:
         # Kept while several tables take their rows from it.
         shared = len(self.spec.enabled_tables) > 1
         batch = batch.persist() if shared else batch
+        number = self.first_batch + batch_id
         try:
-            for table in self.spec.enabled_tables:
-                # Decoded once for the rejects and the rows that are applied.
-                rows = self.rows_of(batch, table).persist()
-                try:
-                    self._apply_table(rows, table, self.first_batch + batch_id)
-                finally:
-                    rows.unpersist()
+            # The tables' jobs are independent; a few at a time keep a cluster busy.
+            with ThreadPoolExecutor(self._tables_at_once) as pool:
+                list(pool.map(lambda table: self._apply_table(batch, table, number), self.spec.enabled_tables))
         finally:
             if shared:
                 batch.unpersist()
 
-    def _apply_table(self, rows: DataFrame, table: TableSpec, number: int) -> None:
+    def _apply_table(self, batch: DataFrame, table: TableSpec, number: int) -> None:
         state = self.state(table)
         if state.covers(number):
             return
+        # Decoded once for the rejects and the rows that are applied.
+        rows = self.rows_of(batch, table).persist()
+        try:
+            self._apply_rows(rows, table, state, number)
+        finally:
+            rows.unpersist()
+
+    def _apply_rows(self, rows: DataFrame, table: TableSpec, state: StateTable, number: int) -> None:
         rejects = as_dead_letters(
             dead_rows(rows).select("topic", "part", "off", "_raw_key", "_raw_value", "_error"), "decode", F.col("_error"), batch_id=number
         )
