@@ -100,7 +100,9 @@ def sync_status(pipelines: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def _digest(columns: Sequence[str]):
-    return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
+    """128 bits over the columns, nulls told apart from every value."""
+    marked = [F.struct(F.col(c).isNull(), F.col(c)) for c in columns]
+    return F.struct(F.xxhash64(*marked), F.xxhash64(F.lit("second"), *marked))
 
 
 def row_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -126,10 +128,10 @@ def row_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns:
 
 
 def row_diff_summary(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows per class, comparing one 64-bit digest per row instead of the columns themselves.
+    """Rows per class, comparing a 128-bit digest per row instead of the columns themselves.
 
-    The digests make the shuffled rows narrow; two different rows with one digest would count
-    as same, one chance in 2^64 per pair.
+    The digests make the shuffled rows narrow. Use ``row_diff`` where a comparison by digest
+    will not do.
     """
     compared = list(columns or [c for c in source.columns if c not in keys])
     left = source.select(*keys, _digest(compared).alias("_s"))
