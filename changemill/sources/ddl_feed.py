@@ -92,6 +92,28 @@ def read_capture(feed: DataFrame) -> DataFrame:
     return first.select("event_id", "_r.*").withColumn("tbl", table)
 
 
+# Table that a statement names, without quotes and qualifiers.
+STATEMENT_TABLE = r"(?i)^\s*(?:ALTER|TRUNCATE)\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?((?:[`\"]?\w+[`\"]?\.)*[`\"]?\w+[`\"]?)"
+
+
+def history_statements(events: DataFrame, prefix: str, system: str = "mysql") -> DataFrame:
+    """Schema-history text as statements of the topic that carries the table's rows."""
+    named = names.bare_name(F.regexp_extract("ddl", STATEMENT_TABLE, 1))
+    changed = names.bare_name(F.try_element_at(F.filter("table_changes", lambda c: F.upper(c["type"]) == "ALTER"), F.lit(1))["id"])
+    topic = F.concat_ws(".", F.lit(prefix), F.col("db"), F.coalesce(changed, named))
+    return events.where(F.col("ddl").isNotNull()).select(
+        F.col("off").alias("ddl_id"), "off", F.lit(system).alias("system"), topic.alias("tbl"), "ddl"
+    )
+
+
+def capture_statements(rows: DataFrame, prefix: str, database: str) -> DataFrame:
+    """Captured DDL commands as statements of the topic that carries the table's rows."""
+    topic = F.concat_ws(".", F.lit(prefix), F.lit(database), F.col("tbl"))
+    return rows.where(F.col("ddl_command").isNotNull()).select(
+        F.col("event_id").alias("ddl_id"), "off", F.lit("postgresql").alias("system"), topic.alias("tbl"), F.col("ddl_command").alias("ddl")
+    )
+
+
 def column_catalog(events: DataFrame, kinds: tuple[str, ...] = ("ALTER",)) -> DataFrame:
     """Columns of the tables in ``table_changes``, with their position in the table."""
     change = events.select("off", F.explode("table_changes").alias("_c")).where(F.upper("_c.type").isin(*kinds))

@@ -7,7 +7,7 @@ table that came after it, so DDL and data need not arrive in the same micro-batc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +16,29 @@ from changemill.operators import ddl
 
 OPERATIONS = (
     "tbl string, off bigint, clause_no int, operation string, column_name string, new_name string, "
-    "type_name string, default_value string, status string, batch_id bigint"
+    "type_name string, default_value string, status string, ddl string, batch_id bigint"
 )
+DETAILS = ["tbl", "off", "clause_no", "operation", "column_name", "new_name", "type_name", "default_value"]
 
 
 def statements_to_operations(statements: DataFrame, existing: DataFrame, allow_destructive: bool = False) -> DataFrame:
-    """Statements (ddl_id, off, system, tbl, ddl) to gated operations; nested ones are left to
-    the dead letters that ``unparsed`` returns."""
-    routed = ddl.dispatch(statements).where("route = 'parse_alter'")
-    gated = ddl.gate(ddl.classify_clauses(ddl.alter_clauses(routed)), existing, allow_destructive)
-    waiting = gated.where("status IN ('pending_approval', 'blocked')")
-    kept = ["tbl", "off", "clause_no", "operation", "column_name", "new_name", "type_name", "default_value"]
-    return ddl.evolution_operations(gated).withColumn("status", F.lit("apply")).unionByName(waiting.select(*kept, "status"))
-
-
-def unparsed(statements: DataFrame) -> DataFrame:
-    return ddl.dispatch(statements).where("route = 'dead_letter'").select("ddl_id", "off", "ddl")
+    """Statements (ddl_id, off, system, tbl, ddl) to recorded operations.
+
+    Status ``apply`` for what evolves rows, ``pending_approval`` and ``blocked`` for what waits
+    behind the destructive gate, ``dead_letter`` for statements that cannot be split safely:
+    those are kept whole, never half-applied.
+    """
+    routed = ddl.dispatch(statements)
+    gated = ddl.gate(ddl.classify_clauses(ddl.alter_clauses(routed.where("route = 'parse_alter'"))), existing, allow_destructive)
+    through = gated.where("status IN ('apply', 'pending_approval', 'blocked')")
+    status = through.select("tbl", "off", "clause_no", "status", "ddl")
+    typed = ddl.evolution_operations(through.drop("status")).join(status, ["tbl", "off", "clause_no"])
+    no_text = F.lit(None).cast("string")
+    dead = routed.where("route = 'dead_letter'").select(
+        "tbl", "off", F.lit(0).alias("clause_no"), F.lit("UNKNOWN").alias("operation"),
+        *[no_text.alias(c) for c in DETAILS[4:]], F.lit("dead_letter").alias("status"), "ddl",
+    )
+    return typed.select(*DETAILS, "status", "ddl").unionByName(dead)
 
 
 def record_into(path: str, existing: Callable[[], DataFrame], allow_destructive: bool = False) -> Callable[[DataFrame, int], None]:
@@ -44,6 +51,6 @@ def record_into(path: str, existing: Callable[[], DataFrame], allow_destructive:
     return on_batch
 
 
-def read_operations(spark: SparkSession, path: str, status: str = "apply") -> DataFrame:
-    """Recorded operations that apply, or those that wait for approval."""
-    return spark.read.schema(OPERATIONS).parquet(path).where(F.col("status") == status)
+def read_operations(spark: SparkSession, path: str, statuses: Sequence[str] = ("apply",)) -> DataFrame:
+    """Recorded operations of some statuses; after an approval, pass the waiting ones too."""
+    return spark.read.schema(OPERATIONS).parquet(path).where(F.col("status").isin(*statuses))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changemill.operators.fold import LIVE_OPS
+from changemill.operators.fold import LIVE_OPS, fold_changes
 from changemill.spec import SINK_BATCH_ROWS
 
 
@@ -29,3 +31,11 @@ def stage_changes(folded: DataFrame, upserts: dict[str, str], deletes: dict[str,
     gone = folded.where(F.col(op) == "d").select(*keys)
     live.write.format("jdbc").options(**upserts).mode("overwrite").save()
     gone.write.format("jdbc").options(**deletes).mode("overwrite").save()
+
+
+def stage_batches(prepare: Callable[[DataFrame], DataFrame], keys: list[str], upserts: dict[str, str], deletes: dict[str, str]) -> Callable[[DataFrame, int], None]:
+    """Batch function of a stream: decode, fold to one row per key, write the staging tables."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        stage_changes(fold_changes(prepare(batch), keys), upserts, deletes, keys)
+
+    return on_batch

@@ -202,3 +202,10 @@ def test_defaults_and_target_schema(spark):
 def test_positions(spark, rows):
     df = spark.createDataFrame([("t", ["a", "b"])], "tbl string, cols array<string>")
     assert rows(schema_diff.positions(df, "cols")) == [("t", 0, "a"), ("t", 1, "b")]
+
+
+def test_widen_and_not_null(spark):
+    old, new = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2, "x")], "a int, b string")
+    assert [tuple(r) for r in evolve.widen(old, new).collect()] == [(1, None)]
+    df = spark.createDataFrame([(True, True), (False, True), (False, False)], "k boolean, o boolean")
+    assert [r[0] for r in df.select(evolve.not_null(F.col("k"), F.col("o"))).collect()] == [True, False, True]

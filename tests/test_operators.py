@@ -138,6 +138,8 @@ def test_lag_histogram_dead_letters_heartbeats(spark, rows):
     seconds = spark.createDataFrame([("g", 0.005), ("g", 0.1), ("g", 7.0), ("g", 99.0)], "g string, s double")
     counts = dict((le, n) for _, le, n in rows(monitor.latency_histogram(seconds, F.col("s"), ["g"])))
     assert counts == {"0.01": 1, "0.05": 1, "0.1": 2, "0.5": 2, "1.0": 2, "5.0": 2, "10.0": 3, "+Inf": 4}
+    for bounds in (monitor.CONNECTION_BUCKETS, monitor.DISCOVERY_BUCKETS, monitor.CREATION_BUCKETS):
+        assert monitor.latency_histogram(seconds, F.col("s"), ["g"], bounds).count() == len(bounds) + 1
     topics = spark.createDataFrame([("__source-heartbeat.p",), ("p.s.heartbeat",)], "topic string")
     assert rows(monitor.without_heartbeats(topics)) == [("p.s.heartbeat",)]
 

@@ -123,6 +123,18 @@ def test_history_and_capture(spark, rows):
     assert rows(ddl_feed.read_capture(capture), "event_id", "off", "tbl") == [("a", 0, "t")]
 
 
+def test_ddl_feeds_become_statements_of_the_data_topic(spark, rows):
+    feed = messages(
+        spark, (None, {"databaseName": "shop", "ddl": "alter table `shop`.`t` ADD a INT"}),
+        (None, {"databaseName": "shop", "ddl": "ALTER TABLE x RENAME COLUMN a TO b", "tableChanges": [{"type": "ALTER", "id": '"shop"."y"', "table": {}}]}),
+    )
+    events, _ = ddl_feed.read_history(feed)
+    assert rows(ddl_feed.history_statements(events, "p"), "off", "system", "tbl") == [(0, "mysql", "p.shop.t"), (1, "mysql", "p.shop.y")]
+    after = {"event_id": "e", "schema_name": "public", "object_name": "public.t.c", "object_type": "table column", "ddl_command": "ALTER TABLE t DROP c"}
+    capture = ddl_feed.read_capture(messages(spark, (None, {"after": after})))
+    assert rows(ddl_feed.capture_statements(capture, "p", "db"), "ddl_id", "tbl", "ddl") == [("e", "p.db.t", "ALTER TABLE t DROP c")]
+
+
 def test_signals(spark, rows):
     def body(kind, *tables):
         return json.dumps({"id": "1", "type": kind, "data": {"type": "incremental", "data-collections": list(tables)}})
@@ -168,3 +180,67 @@ def test_profile(spark, rows, tmp_path):
     assert rows(profile.table_profile(spark, tables, {"t": ["id"]})) == [("t", 1, 1, 7)]
     size = profile.table_bytes({"t": tables["t"]}).first()
     assert size.bytes > 0 and size.files >= 1
+
+
+class Recorder:
+    """Stands in for a reader or writer and keeps the options it is given."""
+
+    def __init__(self):
+        self.given = {}
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            if name == "option":
+                self.given[args[0]] = args[1]
+            elif name == "options":
+                self.given.update(kwargs)
+            else:
+                self.given[name] = args[0] if args else None
+            return self
+        return call
+
+
+class Session:
+    def __init__(self):
+        self.read, self.readStream = Recorder(), Recorder()
+
+
+def test_jdbc_reader_options():
+    session = Session()
+    snapshot.read_jdbc(session, "jdbc:x", "t", {"user": "u"}, key="id", bounds=(1, 900), partitions=8)
+    assert session.read.given == {
+        "format": "jdbc", "user": "u", "url": "jdbc:x", "dbtable": "t", "fetchsize": 10000, "partitionColumn": "id",
+        "lowerBound": 1, "upperBound": 900, "numPartitions": 8, "load": None,
+    }
+    session = Session()
+    snapshot.read_jdbc(session, "jdbc:x", "t", {})
+    assert "numPartitions" not in session.read.given
+
+
+def test_kafka_reader_options(spark):
+    session = Session()
+    feeds.read_kafka(session, "b:9092", 1, 2, max_offsets_per_trigger=5000, options={"failOnDataLoss": "true"})
+    given = session.readStream.given
+    assert given["format"] == "kafka" and given["kafka.bootstrap.servers"] == "b:9092" and given["maxOffsetsPerTrigger"] == 5000
+    assert given["subscribePattern"] == names.topic_pattern(1, 2) and given["failOnDataLoss"] == "true"
+    session = Session()
+    feeds.read_kafka(session, "b:9092", 1, streaming=False)
+    assert session.readStream.given == {} and session.read.given["subscribePattern"] == names.topic_pattern(1)
+
+
+def test_small_decoders_and_filters(spark, rows):
+    import base64
+
+    df = spark.createDataFrame([(base64.b64encode(b"ab").decode(), 1700000000123)], "t string, ms bigint")
+    row = df.select(decode.bytes_from_base64(F.col("t")), decode.timestamp_from_millis(F.col("ms"))).first()
+    assert bytes(row[0]) == b"ab" and row[1].isoformat() == "2023-11-14T22:13:20.123000"
+    df = spark.createDataFrame([("shop",), ("Sys",), ("pg_catalog",), (None,)], "db string")
+    assert [r.db for r in feeds.without_system_schemas(df, "db").collect()] == ["shop", None]
+
+
+def test_target_names(spark, rows):
+    from changemill.operators.routing import target_name
+
+    mapping = spark.createDataFrame([("a", "custom", True), ("b", "off", False)], "source_table string, target_table string, is_enabled boolean")
+    tables = spark.createDataFrame([("shop", "a"), ("shop", "b")], "database string, source_table string")
+    assert rows(target_name(tables, mapping), "source_table", "target_table") == [("a", "custom"), ("b", "shop_b")]

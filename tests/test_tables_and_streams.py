@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemill.functions.envelope import encode_envelope
-from changemill.operators.evolve import target_schema  # noqa: F401
 from changemill.session import lookup, measured, run_dir
 from changemill.sources.feed import FEED_SCHEMA, read_files
 from changemill.spec import PipelineSpec, TableSpec
 from changemill.streaming.apply import MetadataUnavailable, Pipeline, fold_into, may_run, start, trigger_options
+from changemill.streaming.ddl import read_operations, record_into
 from changemill.streaming.progress import ProgressLog
 from changemill.tables import jdbc, targets
 from changemill.tables.dead_letters import BadRows, as_dead_letters, read_dead_letters, settle_rejects, topic_name
@@ -216,6 +216,22 @@ def test_casts_reject_what_does_not_fit(spark, rows):
     assert rows(read_dead_letters(spark, f"{folder}/dead_letters/shop_a"), "off", "error_class") == [(2, "cast:v")]
 
 
+def test_ddl_stream_records_what_applies_waits_and_cannot_be_parsed(spark, rows):
+    folder = run_dir(spark, "ddl")
+    texts = ["ALTER TABLE t ADD a INT, DROP COLUMN b, ADD c VARCHAR(5)", "ALTER TABLE t ADD CHECK ((a > 0))", "ALTER TABLE gone ADD x INT", "GRANT ALL ON t TO u"]
+    df = spark.createDataFrame([(i, i, "mysql", "gone" if "gone" in t else "t", t) for i, t in enumerate(texts)], "ddl_id bigint, off bigint, system string, tbl string, ddl string")
+    df.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+    have = spark.createDataFrame([("t",)], "tbl string")
+    start(stream, record_into(f"{folder}/out", lambda: have), f"{folder}/ck").awaitTermination()
+    got = rows(read_operations(spark, f"{folder}/out", ("apply", "pending_approval", "blocked", "dead_letter")), "off", "clause_no", "operation", "column_name", "type_name", "status")
+    assert got == [
+        (0, 0, "ADD_COLUMN", "a", "int", "apply"), (0, 1, "DROP_COLUMN", "b", None, "pending_approval"),
+        (0, 2, "ADD_COLUMN", "c", "string", "blocked"), (1, 0, "UNKNOWN", None, None, "dead_letter"),
+    ]
+    assert rows(read_operations(spark, f"{folder}/out"), "column_name") == [("a",)]
+
+
 def test_progress_rows(spark):
     log = ProgressLog(keep=2)
     log.rows = [("q", 0, 5, "2024-01-01T00:00:00Z")]
