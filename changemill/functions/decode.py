@@ -63,6 +63,16 @@ def timestamp_from_millis(millis: Column) -> Column:
     return timestamp_from_micros(millis * F.lit(1000))
 
 
+def utc_instant(zone_free: Column) -> Column:
+    """Zone-free time taken as UTC: the instant that watermarks need, whatever the session zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch(), zone_free))
+
+
+def zone_free(instant: Column) -> Column:
+    """An instant as zone-free UTC time."""
+    return timestamp_from_micros(F.unix_micros(instant))
+
+
 def date_from_days(days: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemill.functions import envelope
+from changemill.functions.decode import utc_instant, zone_free
 from changemill.operators import evolve
 from changemill.plans.fixtures import table, view
 from changemill.plans.queries import STATE_COLUMNS, USER_KEYS, USER_ROW, damaged_messages, query
@@ -178,20 +179,20 @@ def stream_ddl_evolved_state(spark, sf_dir):
 def stream_events_per_op_window(spark, sf_dir):
     """Windowed counters in append mode: the windows that are final behind a ten-minute watermark."""
     folder = run_dir(spark, "windows")
-    rows = view(spark, sf_dir, "feed").select("topic", "op", "off", F.col("ts").cast("timestamp").alias("ts"))
+    rows = view(spark, sf_dir, "feed").select("topic", "op", "off", utc_instant(F.col("ts")).alias("ts"))
     path = write_in_order(rows, "off", folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
     counts = events_per_window(stream, ["topic", "op"], delay="10 minutes")
     out = f"{folder}/out"
     counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return spark.read.schema(counts.schema).parquet(out).withColumn("window_start", zone_free(F.col("window_start")))
 
 
 @query
 def stream_once_per_event(spark, sf_dir):
     """Events delivered twice, kept once."""
     folder = run_dir(spark, "once")
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("event_time"), "event_type")
+    events = table(spark, sf_dir, "events").select("event_id", utc_instant(F.col("ts")).alias("event_time"), "event_type")
     path = write_in_order(events.unionByName(events), "event_id", folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(path)
     once, out = once_per_event(stream), f"{folder}/out"
