@@ -465,7 +465,7 @@ _LIVE = FOLDED.format(feed="good", keys="f.topic, f.user_id")
 SQL["stream_truncate_aware_state"] = SQL["stream_recovered_state"] = SQL["truncate_aware_state"]
 SQL["stream_handover_state"] = SQL["handover_state"]
 SQL["stream_ddl_evolved_state"] = SQL["stream_evolved_state"] = SQL["evolved_state"]
-SQL["stream_pipeline_state"] = f"""
+SQL["stream_multi_table_state"] = f"""
 WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE '%users_1'),
 {_LIVE}
 SELECT CASE WHEN topic LIKE '%users_3' THEN 'people' ELSE concat('shop_', split_part(topic, '.', 3)) END AS target_table, user_id, event_type, value, off

@@ -104,18 +104,18 @@ def stream_handover_state(spark, sf_dir):
 
 
 @query
-def stream_pipeline_state(spark, sf_dir):
+def stream_multi_table_state(spark, sf_dir):
     """One stream over all topics of a source, each enabled table into its own target, damaged
     envelopes into dead letters."""
-    return _pipeline(spark, sf_dir)[0]
+    return _all_tables(spark, sf_dir)[0]
 
 
 @query
 def stream_dead_letters(spark, sf_dir):
-    return _pipeline(spark, sf_dir)[1]
+    return _all_tables(spark, sf_dir)[1]
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _all_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     folder = run_dir(spark, "pipeline")
     path = write_feed(damaged_messages(spark, sf_dir), folder)
     tables = tuple(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemill.functions import names
+from changemill.functions.decode import zone_free
 from changemill.session import measured
 
 FEED_SCHEMA = T.StructType(
@@ -68,7 +69,7 @@ def read_kafka(
         "topic",
         F.col("partition").alias("part"),
         F.col("offset").alias("off"),
-        F.col("timestamp").cast("timestamp_ntz").alias("ts"),
+        zone_free(F.col("timestamp")).alias("ts"),
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
     )
