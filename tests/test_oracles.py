@@ -10,7 +10,8 @@ import pytest
 import __spark_entry__ as registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+# The queries of the library itself; those of a part on top have their own tests.
+QUERIES, ORACLES = registry.QUERIES, registry.oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
