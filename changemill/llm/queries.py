@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe
-from changemill.llm.common import whole
+from changemill.llm import bpe, packing, token_store
+from changemill.session import run_dir
 
 QUERIES = {}
 
@@ -38,3 +38,24 @@ def op1_byte_bpe(spark, sf_dir):
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         _sha("decoded").alias("decoded_sha256"),
     )
+
+
+WORDS, END_ID = "word_bpe_49k.json", 2
+
+
+@query
+def op4_pack(spark, sf_dir):
+    """Packs the ids of every document into sequences of at most 4096."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(WORDS), END_ID).drop("ids")
+
+
+@query
+def op10_bit_planes(spark, sf_dir):
+    """Writes every document's ids in byte planes and reads the files back."""
+    folder = run_dir(spark, "token-store")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_store.write(docs, folder, public_tokenizers.path(WORDS), END_ID)
+    return token_store.read(spark, folder).select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
