@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, packing, token_store
+from changemill.llm import bpe, packing, token_store, url_filter
 from changemill.session import run_dir
 
 QUERIES = {}
@@ -59,3 +59,18 @@ def op10_bit_planes(spark, sf_dir):
     return token_store.read(spark, folder).select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Host labels whose pages make up the list of unwanted URLs.
+UNWANTED_LABELS = ["ads-track", "cheap-pills", "free-bets", "spam-farm"]
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    """Judges every page's URL by the rules, else by the list of pages of unwanted hosts."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    unwanted = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, UNWANTED_LABELS)))
+    blocklist = pages.where(unwanted).select(url_filter.canonical(host, path).alias("canonical"))
+    return url_filter.judge(pages, URL_RULES, blocklist).select("page_id", "host", "path", "rule", "verdict")

@@ -4,6 +4,21 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+SQL["op8_url_filter"] = """
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+c AS (SELECT *, regexp_replace(host, '^www\\.', '') || rtrim(path, '/') AS form FROM p),
+bad AS (SELECT DISTINCT form FROM c
+        WHERE list_has_any(string_split(host, '.'), ['ads-track', 'cheap-pills', 'free-bets', 'spam-farm'])),
+rules(kind, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT c.page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(kind, length(h || p)) AS kind
+      FROM (SELECT DISTINCT page_id, host, path FROM c) AS c JOIN (SELECT kind, h, p FROM rules) AS rules
+      ON (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, p) GROUP BY c.page_id)
+SELECT c.page_id, c.host, c.path, f.rule,
+       coalesce(f.kind, CASE WHEN c.form <> '' AND c.form IN (SELECT form FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN f ON c.page_id = f.page_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
