@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,17 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than blank and 0x09-0x0D; none for a text without."""
-    return F.filter(F.split(text, WORD_GAP, -1), lambda w: w != "")
+    none = F.array().cast("array<string>")
+    return let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", none).otherwise(F.split(t, WORD_GAP, -1)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often and wherever it is used.
+
+    A column of an earlier projection would not do: the optimizer may write its expression into a
+    lambda, where it runs once an element.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def key128(*cols: Column) -> list[Column]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, packing, token_store, url_filter
+from changemill.llm import bpe, packing, quality, token_store, url_filter
 from changemill.session import run_dir
 
 QUERIES = {}
@@ -74,3 +74,11 @@ def op8_url_filter(spark, sf_dir):
     unwanted = F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, UNWANTED_LABELS)))
     blocklist = pages.where(unwanted).select(url_filter.canonical(host, path).alias("canonical"))
     return url_filter.judge(pages, URL_RULES, blocklist).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op9_quality(spark, sf_dir):
+    """Judges every text against multinomials of the corpus and of its trusted part."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
+    return quality.judge(docs, weights).drop("text", "score")
