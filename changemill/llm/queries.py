@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, packing, quality, token_store, url_filter
+from changemill.llm import bpe, line_dedup, packing, quality, token_store, url_filter
+from changemill.llm.common import whole
 from changemill.session import run_dir
 
 QUERIES = {}
@@ -82,3 +83,10 @@ def op9_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
     return quality.judge(docs, weights).drop("text", "score")
+
+
+@query
+def op5_line_dedup(spark, sf_dir):
+    """Drops the lines that five documents or more share from all but the last of them."""
+    docs = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", _sha(whole("text")).alias("kept_sha256"))

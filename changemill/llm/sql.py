@@ -19,6 +19,19 @@ SELECT c.page_id, c.host, c.path, f.rule,
        coalesce(f.kind, CASE WHEN c.form <> '' AND c.form IN (SELECT form FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN f ON c.page_id = f.page_id"""
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op5_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, {_LOWER.format(f"trim(line, {_WHITE})")} AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+f AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.last AS dropped FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM f GROUP BY doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
