@@ -57,6 +57,28 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+_BLOCK = 512
+
+
+def starts_of(sizes: Column) -> Column:
+    """Sum of the sizes before each one. Blocks keep the appends short, so that an array of n
+    sizes costs n times the block and not n squared."""
+
+    def before(values: Column, first: Column) -> Column:
+        empty = F.struct(first.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(values, empty, step, lambda s: s["out"])
+
+    def in_blocks(values: Column) -> Column:
+        n = F.size(values)
+        at = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(at, lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+        total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v)
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, before(F.transform(bs, total), F.lit(0)), before)))
+
+    return let(F.transform(sizes, lambda v: v.cast("long")), in_blocks)
+
+
 def key128(*cols: Column) -> list[Column]:
     """Two independently seeded 64-bit hashes: together a 128-bit key."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]

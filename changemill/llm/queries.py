@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, line_dedup, packing, quality, token_store, url_filter
+from changemill.llm import bpe, line_dedup, packing, quality, secret_scan, token_store, url_filter
 from changemill.llm.common import whole
 from changemill.session import run_dir
 
@@ -90,3 +90,15 @@ def op5_line_dedup(spark, sf_dir):
     """Drops the lines that five documents or more share from all but the last of them."""
     docs = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", _sha(whole("text")).alias("kept_sha256"))
+
+
+@query
+def op3_secrets(spark, sf_dir):
+    """Finds the secrets in every text."""
+    docs = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind_no"] < 3)
+    count = lambda no: F.size(F.filter("secrets", lambda s: s["kind_no"] == no)).cast("long")
+    return docs.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        _sha(secret_scan.as_text(base)).alias("base_sha256"), secret_scan.as_text(F.col("secrets")).alias("spans"),
+    )
