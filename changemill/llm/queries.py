@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, line_dedup, packing, quality, secret_scan, token_store, url_filter
+from changemill.llm import bpe, line_dedup, ngram_join, packing, quality, secret_scan, token_store, url_filter
 from changemill.llm.common import whole
 from changemill.session import run_dir
 
@@ -102,3 +102,9 @@ def op3_secrets(spark, sf_dir):
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         _sha(secret_scan.as_text(base)).alias("base_sha256"), secret_scan.as_text(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op6_ngram_join(spark, sf_dir):
+    """Links documents whose sets of 4-word shingles agree in 85 of 100 and names their components."""
+    return ngram_join.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
