@@ -114,4 +114,5 @@ class KeyRanges:
         below = F.size(F.filter(F.array(*[F.lit(g[-1]) for g in groups]), lambda c: c < key))
         rest = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), below)
         inside = F.coalesce(F.size(F.filter(rest, lambda c: c < key)), F.lit(0))
-        return F.when(key.isNull(), 0).otherwise(below * width + F.greatest(inside, F.lit(0))).cast("int")
+        found = F.least(below * width + F.greatest(inside, F.lit(0)), F.lit(len(self.cuts)))
+        return F.when(key.isNull(), 0).otherwise(found).cast("int")

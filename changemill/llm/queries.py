@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, line_dedup, ngram_join, packing, quality, secret_scan, token_store, url_filter
+from changemill.llm import bpe, fingerprint, line_dedup, ngram_join, packing, quality, secret_scan, token_store, url_filter
 from changemill.llm.common import whole
 from changemill.session import run_dir
 
@@ -108,3 +108,20 @@ def op3_secrets(spark, sf_dir):
 def op6_ngram_join(spark, sf_dir):
     """Links documents whose sets of 4-word shingles agree in 85 of 100 and names their components."""
     return ngram_join.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
+@query
+def op2_lz_fingerprint(spark, sf_dir):
+    """Fingerprints every text and its edited text, whose second half the next document gives."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", whole("text").alias("text"))
+    docs = docs.withColumn("fp", fingerprint.fingerprint("text"))
+    docs = fingerprint.with_next(docs, ["text", "fp"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
+    docs = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    docs = docs.withColumn("edited_fp", fingerprint.fingerprint("edited"))
+    return docs.select(
+        "doc_id", "n_chars", _sha("edited").alias("edited_sha256"),
+        F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness("fp", "edited_fp").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"),
+    )
