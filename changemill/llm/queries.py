@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, fingerprint, line_dedup, ngram_join, packing, quality, secret_scan, token_store, url_filter
+from changemill.llm import bpe, fingerprint, html_extract, line_dedup, ngram_join, packing, quality, secret_scan, token_store, url_filter
 from changemill.llm.common import whole
 from changemill.session import run_dir
 
@@ -125,3 +125,10 @@ def op2_lz_fingerprint(spark, sf_dir):
         F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
         fingerprint.likeness("fp", "edited_fp").alias("near_edited"), fingerprint.likeness("fp", "next_fp").alias("near_next"),
     )
+
+
+@query
+def op7_html_text(spark, sf_dir):
+    """Main text of every page by its host's wrapper."""
+    pages = html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
