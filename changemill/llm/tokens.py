@@ -3,6 +3,7 @@
 The file's text (a few MB, whatever the data) is read on the driver and travels with the tasks.
 Where the pre-tokenizer drops white space, the words between blanks and line feeds are encoded
 independently of each other, so equal words are encoded once and their ids joined as bytes.
+The file must be of that kind (its pre-tokenizer keeps letters and signs apart, too).
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -19,6 +23,14 @@ MEMO_WORDS = 600_000
 _SENTENCE_END = re.compile(r"[.!?][\"')\]]*(</w>)?$")
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class WordIds:
     """Encoder of one tokenizers file: texts to little-endian 32-bit ids."""
 
@@ -27,6 +39,7 @@ class WordIds:
         self.key = hashlib.sha256(spec.encode()).hexdigest()
         self.memo: dict[str, bytes] = {}
         self.model = None
+        self.lowers = '"Lowercase"' in spec
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -36,37 +49,73 @@ class WordIds:
     def __reduce__(self):
         return _again, (self.key, self.spec)
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _model(self):
         if self.model is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             from tokenizers import Tokenizer
 
             self.model = Tokenizer.from_str(self.spec)
             self.model.encode_special_tokens = True
-        found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            self.closes = self.flags(lambda token: token.endswith("</w>"))
+        return self.model
+
+    def _encode_each(self, words: list[str]) -> None:
+        found = self._model().encode_batch_fast(words, add_special_tokens=False)
+        self.memo.update(zip(words, [pack_ids(e.ids) for e in found], strict=True))
+
+    def _encode_joined(self, words: list[str]) -> None:
+        """Words of letters, many in one call: the last id of each, and no other, closes a word."""
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            found = self._model().encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                self._encode_each(some)
+                continue
+            raw = ids.tobytes()
+            self.memo.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+
+    def _learn(self, missing: list[str]) -> None:
+        """Remember the words' ids. A comma or full stop after an ASCII letter is a pre-token of
+        its own, so the word before it is looked up or encoded alone."""
+        memo = self.memo
+        ends = [w for w in missing if w[-1:] in (",", ".") and w[-2:-1].isascii() and w[-2:-1].isalpha()]
+        plain = set(missing).difference(ends)
+        plain.update(w[:-1] for w in ends if w[:-1] not in memo)
+        plain.update(c for c in ",." if c not in memo)
+        letters = [w for w in plain if w.isalpha()]
+        self._encode_joined(letters)
+        others = list(plain.difference(letters))
+        for at in range(0, len(others), 4096):
+            self._encode_each(others[at : at + 4096])
+        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text; equal words of the texts are encoded once."""
+        if self.lowers:  # bytes.lower() changes A-Z only
+            texts = [text.encode().lower().decode() for text in texts]
         split = [text.replace("\n", " ").split(" ") for text in texts]
         memo = self.memo
-        missing = list({word for words in split for word in words if word not in memo})
+        missing = list({word for words in split for word in words}.difference(memo))
         if len(memo) + len(missing) > MEMO_WORDS:
             memo.clear()
             missing = list({word for words in split for word in words})
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            memo.update(zip(some, self._encode(some), strict=True))
+        self._learn(missing)
         find = memo.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
-    def sentence_ends(self) -> np.ndarray:
-        """Flag of each id: does its text end a sentence?"""
+    def flags(self, test: Callable[[str], object]) -> np.ndarray:
+        """For each id: does its text pass the test?"""
         vocabulary = json.loads(self.spec)["model"]["vocab"]
         flags = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        flags[[i for token, i in vocabulary.items() if _SENTENCE_END.search(token)]] = True
+        flags[[i for token, i in vocabulary.items() if test(token)]] = True
         return flags
 
+    def sentence_ends(self) -> np.ndarray:
+        """Flag of each id: does its text end a sentence?"""
+        return self.flags(_SENTENCE_END.search)
+
 
 _KNOWN: dict[str, WordIds] = {}
 
