@@ -6,6 +6,8 @@ and flat details. One pattern per kind of clause; no row functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,169 +28,295 @@ OPERATIONS = (
 DESTRUCTIVE = ("DROP_TABLE", "DROP_COLUMN", "DROP_PRIMARY_KEY")
 # -------------------------------------------------------------------------------------------
 
-Q = "[`\"]?"
-NAME = rf"{Q}(\w+){Q}"
-TABLE_NAME = rf"(?:{Q}\w+{Q}\.)*{Q}\w+{Q}"
-TYPE = r"(\w+(?:\s+(?:varying|precision|unsigned|with(?:out)?\s+time\s+zone))?(?:\s*\([^)]+\))?(?:\s+with(?:out)?\s+time\s+zone)?)"
-ALTER_PREFIX = rf"(?i)^\s*ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{TABLE_NAME}\s+"
+# What a statement is made of: quoted text, names (plain or quoted in some dialect's way), signs.
+_TEXT = r"'(?:[^'\\]|\\.|'')*'"
+_QUOTED = r"`[^`]*`|\"[^\"]*\"|\[[^\[\]]*\]"
+_PLAIN = r"[\w$]+"
+_TOKEN = rf"{_TEXT}|{_QUOTED}|{_PLAIN}|\S"
+# A clause ends at a comma outside quotes and parentheses; deeper nesting is refused before.
+_CLAUSE = rf"(?:{_TEXT}|`[^`]*`|\"[^\"]*\"|\((?:{_TEXT}|[^()'])*\)|[^,'`\"()]+)+"
+_HEADER = rf"(?i)^\s*ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?(?:{_QUOTED}|{_PLAIN})(?:\s*\.\s*(?:{_QUOTED}|{_PLAIN}))*"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value written, and computed, once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a statement or clause. Quoted ones keep their quotes, so that none of
+    them can be taken for a keyword."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+
+def _at(parts: Column, i: int | Column) -> Column:
+    return F.upper(F.get(parts, F.lit(i) if isinstance(i, int) else i))
+
+
+def _starts(parts: Column, *words: str | tuple[str, ...]) -> Column:
+    """Whether the tokens begin with these keywords; a tuple lists alternatives."""
+    found = F.lit(True)
+    for i, word in enumerate(words):
+        found = found & F.coalesce(_at(parts, i).isin(*([word] if isinstance(word, str) else word)), F.lit(False))
+    return found
+
+
+def _rest(parts: Column, n: int | Column = 1) -> Column:
+    """The tokens behind the first ``n``."""
+    return F.slice(parts, (F.lit(n) if isinstance(n, int) else n) + 1, F.greatest(F.size(parts), F.lit(1)))
+
+
+def _skip(parts: Column, *words: str | tuple[str, ...]) -> Column:
+    """The tokens behind these keywords where they stand first, else all."""
+    return F.when(_starts(parts, *words), _rest(parts, len(words))).otherwise(parts)
+
+
+def _is_name(token: Column) -> Column:
+    return F.coalesce(token.rlike(rf"^(?:{_QUOTED}|{_PLAIN})$"), F.lit(False))
+
 
+def _name(parts: Column, i: int | Column = 0) -> Column:
+    """A token as a name without its quotes; null when it is none."""
+    token = F.get(parts, F.lit(i) if isinstance(i, int) else i)
+    bare = F.when(token.rlike(rf"^(?:{_QUOTED})$"), F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+    return F.when(_is_name(token), bare)
 
-def _is(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?i){pattern}")
 
+def _dotted(parts: Column, start: int | Column = 0) -> Column:
+    """Last part of the dotted name that starts at a token."""
+    start = F.lit(start) if isinstance(start, int) else start
+    last = start
+    for _ in range(2):  # at most database, schema and table
+        last = F.when(F.get(parts, last + 1) == ".", last + 2).otherwise(last)
+    return _name(parts, last)
 
-def _group(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, f"(?i){pattern}", group), F.lit(""))
+
+def _listed(parts: Column) -> Column:
+    """Names in the first parentheses, comma-joined: the first token of each entry."""
+    start, stop = F.array_position(parts, "("), F.array_position(parts, ")")
+    inside = F.slice(parts, (start + 1).cast("int"), F.greatest(stop - start - 1, F.lit(0)).cast("int"))
+    heads = F.filter(F.transform(inside, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["i"] == 0) | (F.get(inside, s["i"] - 1) == ","))
+    bare = F.transform(heads, lambda s: F.regexp_replace(s["x"], r"^[`\"\[]|[`\"\]]$", ""))
+    return F.when((start > 0) & (stop > start), F.array_join(bare, ","))
+
+
+def _type_text(parts: Column) -> Column:
+    """Type at the start of the tokens: one or two words, parameters, a time zone suffix."""
+    second = F.coalesce(_at(parts, 1).isin("VARYING", "PRECISION", "UNSIGNED"), F.lit(False))
+    after = F.when(second, 2).otherwise(1)
+    has_args = F.coalesce(F.get(parts, after) == "(", F.lit(False))
+    stop = F.array_position(parts, ")").cast("int")
+    behind = F.when(has_args, stop).otherwise(after)
+    zone = F.coalesce(_at(parts, behind).isin("WITH", "WITHOUT") & (_at(parts, behind + 1) == "TIME") & (_at(parts, behind + 2) == "ZONE"), F.lit(False))
+    text = F.concat(
+        F.get(parts, F.lit(0)),
+        F.when(second, F.concat(F.lit(" "), F.get(parts, F.lit(1)))).otherwise(""),
+        F.when(has_args, F.array_join(F.slice(parts, after + 1, F.greatest(stop - after, F.lit(0))), "")).otherwise(""),
+        F.when(zone, F.concat(F.lit(" "), F.array_join(F.slice(parts, behind + 1, F.lit(3)), " "))).otherwise(""),
+    )
+    return F.when(F.get(parts, F.lit(0)).rlike(rf"^{_PLAIN}$"), text)
+
+
+def _default_text(parts: Column) -> Column:
+    """Value behind DEFAULT: quoted text without its quotes, a signed number, a name or a call."""
+    at = F.array_position(F.transform(parts, lambda x: F.upper(x)), "DEFAULT").cast("int")
+    value, following = F.get(parts, at), F.get(parts, at + 1)
+    quoted = F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), "''", "'")
+    call = F.slice(parts, at + 1, F.greatest(F.array_position(F.slice(parts, at + 1, F.size(parts)), ")").cast("int"), F.lit(1)))
+    text = (
+        F.when(value.startswith("'"), quoted)
+        .when(value.isin("-", "+"), F.concat(value, following))
+        .when(F.coalesce(following == "(", F.lit(False)), F.array_join(call, ""))
+        .otherwise(value)
+    )
+    return F.when(at > 0, text)
 
 
 def statement_kind(ddl: Column) -> Column:
     """alter, rename, create_index, drop_index, skipped (not a table change) or ignored."""
-    text = F.upper(F.trim(ddl))
+    text = F.upper(F.regexp_replace(F.trim(ddl), r"\s+", " "))
     skipped = F.lit(False)
     for prefix in SKIPPED_PREFIXES:
         skipped = skipped | text.startswith(prefix)
     return (
         F.when(skipped, "skipped")
-        .when(text.startswith("ALTER TABLE"), "alter")
-        .when(text.startswith("RENAME TABLE"), "rename")
-        .when(_is(text, r"^CREATE\s+(UNIQUE\s+)?INDEX"), "create_index")
-        .when(_is(text, r"^DROP\s+INDEX"), "drop_index")
+        .when(text.startswith("ALTER TABLE "), "alter")
+        .when(text.startswith("RENAME TABLE "), "rename")
+        .when(text.startswith("CREATE INDEX ") | text.startswith("CREATE UNIQUE INDEX "), "create_index")
+        .when(text.startswith("DROP INDEX "), "drop_index")
         .otherwise("ignored")
     )
 
 
 def is_splittable(ddl: Column) -> Column:
-    """False for nested parentheses: such an ALTER goes to the dead letters as a whole."""
-    return ~ddl.rlike(r"\([^()]*\(")
+    """False for nested parentheses or an open quote: such an ALTER goes to the dead letters
+    as a whole. What stands in quotes counts for nothing here."""
+    bare = F.regexp_replace(ddl, rf"{_TEXT}|`[^`]*`|\"[^\"]*\"", "x")
+    return ~bare.rlike(r"\([^()]*\(|['`\"]")
 
 
 def alter_clauses(statements: DataFrame) -> DataFrame:
-    """One row per top-level clause of each ALTER statement, in order."""
-    body = F.regexp_replace("ddl", ALTER_PREFIX, "")
-    clauses = F.transform(
-        F.split(body, r",(?![^()]*\))"), lambda c: F.regexp_replace(c, r"^\s+|[\s;]+$", "")
+    """One row per top-level clause of each ALTER statement, in order.
+
+    Columns that are added as a list in parentheses are a clause each.
+    """
+    split = lambda text: F.filter(
+        F.transform(F.regexp_extract_all(text, F.lit(_CLAUSE), F.lit(0)), lambda c: F.regexp_replace(c, r"^\s+|[\s;]+$", "")), lambda c: c != ""
     )
-    clauses = F.filter(clauses, lambda c: c != "")
+    column_list = r"(?is)^ADD\s*(?:COLUMN\s*)?\((.*)\)$"
+    one_or_more = lambda c: F.when(
+        c.rlike(column_list), F.transform(split(F.regexp_extract(c, column_list, 1)), lambda x: F.concat(F.lit("ADD COLUMN "), x))
+    ).otherwise(F.array(c))
+    clauses = F.flatten(F.transform(split(F.regexp_replace("ddl", _HEADER, "")), one_or_more))
     alters = statements.where((statement_kind(F.col("ddl")) == "alter") & is_splittable(F.col("ddl")))
     return alters.select(*statements.columns, F.posexplode(clauses).alias("clause_no", "clause"))
 
 
-def _clause_patterns(system: str) -> list[tuple[str, str, dict[str, int]]]:
-    """(operation, pattern, detail groups) in order of precedence.
+def _clause(operation: str, column=None, new=None, type_of=None, index=None, columns=None, unique=None) -> Column:
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    return F.struct(
+        F.lit(operation).alias("operation"), text(column).alias("column_name"), text(new).alias("new_name"),
+        text(type_of).alias("_type"), text(index).alias("index_name"), text(columns).alias("index_columns"),
+        (F.lit(None).cast("boolean") if unique is None else unique).alias("is_unique"),
+    )
+
 
-    Keys and constraints come before columns, so that ``ADD PRIMARY KEY`` is never a column;
-    MODIFY has one name and CHANGE has two.
+def _readings(w: Column, column: Column, key: Column, kind: Column, listed: Column, is_pg: Column) -> dict[str, list[tuple[Column, Column]]]:
+    """For each verb, the readings of a clause in order of precedence.
+
+    ``w``: tokens behind the verb; ``column``: those behind COLUMN, IF EXISTS and the like;
+    ``key``: those behind UNIQUE, FULLTEXT and SPATIAL; ``kind``: type text; ``listed``: names in parentheses.
     """
-    keys = [
-        ("ADD_INDEX", rf"^ADD\s+(UNIQUE\s+)?(?:INDEX|KEY)\s+{NAME}\s*\(([^)]+)\)", {"unique": 1, "index": 2, "columns": 3}),
-        ("DROP_INDEX", rf"^DROP\s+(?:INDEX|KEY)\s+{NAME}", {"index": 1}),
-        ("ADD_PRIMARY_KEY", rf"^ADD\s+(?:CONSTRAINT\s+{NAME}\s+)?PRIMARY\s+KEY\s*\(([^)]+)\)", {"index": 1, "columns": 2}),
-        ("DROP_PRIMARY_KEY", r"^DROP\s+PRIMARY\s+KEY", {}),
-        ("ADD_CONSTRAINT", rf"^ADD\s+CONSTRAINT\s+{NAME}", {"index": 1}),
-        ("ADD_CONSTRAINT", r"^ADD\s+(?:UNIQUE|FOREIGN\s+KEY|CHECK)\s*\(([^)]+)\)", {"columns": 1}),
-        ("DROP_CONSTRAINT", rf"^DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?{NAME}", {"index": 1}),
-        ("DROP_CONSTRAINT", rf"^DROP\s+FOREIGN\s+KEY\s+{NAME}", {"index": 1}),
-        ("RENAME_COLUMN", rf"^RENAME\s+COLUMN\s+{NAME}\s+TO\s+{NAME}", {"column": 1, "new": 2}),
-    ]
-    columns = [
-        ("ADD_COLUMN", rf"^ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s+{TYPE}", {"column": 1, "type": 2}),
-        ("DROP_COLUMN", rf"^DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?{NAME}", {"column": 1}),
-    ]
-    if system == "postgresql":
-        return keys + columns + [
-            ("MODIFY_COLUMN", rf"^ALTER\s+(?:COLUMN\s+)?{NAME}\s+(?:SET\s+DATA\s+)?TYPE\s+{TYPE}", {"column": 1, "type": 2}),
-            ("NO_OP", rf"^ALTER\s+(?:COLUMN\s+)?{NAME}\s+(?:SET|DROP)\s+(?:NOT\s+NULL|DEFAULT)", {"column": 1}),
-        ]
-    return keys + columns + [
-        ("RENAME_COLUMN", rf"^CHANGE\s+(?:COLUMN\s+)?(?!{Q}(\w+){Q}\s+{Q}\1{Q}\s){NAME}\s+{NAME}\s+{TYPE}", {"column": 2, "new": 3, "type": 4}),
-        ("MODIFY_COLUMN", rf"^CHANGE\s+(?:COLUMN\s+)?{NAME}\s+{NAME}\s+{TYPE}", {"column": 1, "type": 3}),
-        ("MODIFY_COLUMN", rf"^MODIFY\s+(?:COLUMN\s+)?{NAME}\s+{TYPE}", {"column": 1, "type": 2}),
-    ]
+    nameless = _starts(w, "CONSTRAINT", ("PRIMARY", "UNIQUE", "FOREIGN", "CHECK"))
+    named = _starts(w, "CONSTRAINT") & ~nameless
+    primary = (named & _starts(_rest(w, 2), "PRIMARY", "KEY")) | _starts(w, "PRIMARY", "KEY") | _starts(w, "CONSTRAINT", "PRIMARY", "KEY")
+    unique, special, is_key = _starts(w, "UNIQUE"), _starts(w, ("FULLTEXT", "SPATIAL")), _starts(key, ("INDEX", "KEY"))
+    index = F.when(is_key, _name(key, 1)).otherwise(_name(key))
+    indexed = (is_key | special | (unique & (F.get(key, F.lit(0)) != "("))) & listed.isNotNull()
+    is_column, typed = _is_name(F.get(column, F.lit(0))), kind.isNotNull()
+    old, new = _name(column), _name(column, 1)
+    guarded = _starts(w, ("PARTITION", "PERIOD", "INDEX", "KEY", "FULLTEXT", "SPATIAL"))
+    return {
+        "ADD": [
+            (primary, _clause("ADD_PRIMARY_KEY", index=F.when(named, _name(w, 1)), columns=listed)),
+            (named | nameless, _clause("ADD_CONSTRAINT", index=F.when(named, _name(w, 1)))),
+            (indexed, _clause("ADD_INDEX", index=index, columns=listed, unique=unique)),
+            (unique | _starts(w, "CHECK"), _clause("ADD_CONSTRAINT", columns=listed)),
+            (_starts(w, "FOREIGN", "KEY"), _clause("ADD_CONSTRAINT", index=_name(w, 2), columns=listed)),
+            (guarded, _clause("UNKNOWN")),
+            (is_column & typed, _clause("ADD_COLUMN", column=old, type_of=kind)),
+        ],
+        "DROP": [
+            (_starts(w, ("INDEX", "KEY")), _clause("DROP_INDEX", index=_name(w, 1))),
+            (_starts(w, "PRIMARY", "KEY"), _clause("DROP_PRIMARY_KEY")),
+            (_starts(w, "FOREIGN", "KEY"), _clause("DROP_CONSTRAINT", index=_name(w, 2))),
+            (_starts(w, ("CONSTRAINT", "CHECK"), "IF", "EXISTS"), _clause("DROP_CONSTRAINT", index=_name(w, 3))),
+            (_starts(w, ("CONSTRAINT", "CHECK")), _clause("DROP_CONSTRAINT", index=_name(w, 1))),
+            (_starts(w, ("PARTITION", "PERIOD")), _clause("UNKNOWN")),
+            (is_column, _clause("DROP_COLUMN", column=old)),
+        ],
+        "RENAME": [
+            (_starts(w, ("INDEX", "KEY", "CONSTRAINT")), _clause("UNKNOWN")),
+            (_starts(w, ("TO", "AS", "=")), _clause("RENAME_TABLE", new=_dotted(w, 1))),
+            (_at(column, 1) == "TO", _clause("RENAME_COLUMN", column=old, new=_name(column, 2))),
+        ],
+        "MODIFY": [(~is_pg & typed, _clause("MODIFY_COLUMN", column=old, type_of=kind))],
+        "CHANGE": [
+            (~is_pg & typed & (F.lower(old) == F.lower(new)), _clause("MODIFY_COLUMN", column=old, type_of=kind)),
+            (~is_pg & typed & new.isNotNull(), _clause("RENAME_COLUMN", column=old, new=new, type_of=kind)),
+        ],
+        "ALTER": [
+            (is_pg & typed, _clause("MODIFY_COLUMN", column=old, type_of=kind)),
+            (_at(column, 1).isin("SET", "DROP") & ((_at(column, 2) == "DEFAULT") | ((_at(column, 2) == "NOT") & (_at(column, 3) == "NULL"))), _clause("NO_OP", column=old)),
+        ],
+    }
+
+
+_FIELDS = ("operation", "column_name", "new_name", "_type", "index_name", "index_columns", "is_unique", "_nullable", "_default")
+
+
+def _read(t: Column, is_pg: Column) -> Column:
+    """Operation and details of one clause's tokens. Each step's tokens are named once."""
+    verb = _at(t, 0)
+
+    def of_column(w: Column, column: Column) -> Column:
+        ahead = F.when(verb == "ALTER", _skip(_rest(column), "SET", "DATA")).otherwise(_rest(column))
+
+        def typed(x: Column) -> Column:
+            is_type = F.when(verb == "ALTER", _starts(x, "TYPE")).otherwise(verb.isin("ADD", "MODIFY", "CHANGE"))
+            return F.when(is_type, F.when(verb.isin("ALTER", "CHANGE"), _rest(x)).otherwise(x))
+
+        kind = _let(_let(ahead, typed), _type_text)
+        key = _skip(w, ("UNIQUE", "FULLTEXT", "SPATIAL"))
+        return _let(kind, lambda k: _let(key, lambda y: _let(_listed(w), lambda x: choose(w, column, y, k, x))))
+
+    def choose(w: Column, column: Column, key: Column, kind: Column, listed: Column) -> Column:
+        found = F
+        for name, readings in _readings(w, column, key, kind, listed, is_pg).items():
+            inner = F
+            for fits, clause in readings:
+                inner = inner.when(F.coalesce(fits, F.lit(False)), clause)
+            found = found.when(verb == name, inner.otherwise(_clause("UNKNOWN")))
+        return found.otherwise(_clause("UNKNOWN"))
+
+    def of_words(w: Column) -> Column:
+        return _let(_skip(w, "COLUMN"), lambda a: _let(_skip(a, "IF", "NOT", "EXISTS"), lambda b: _let(_skip(b, "IF", "EXISTS"), lambda c: of_column(w, c))))
+
+    keywords = F.array_join(F.transform(F.filter(t, lambda x: ~x.startswith("'")), lambda x: F.upper(x)), " ")
+    details = _let(_rest(t), of_words)
+    fields = lambda c: F.struct(*[c[n].alias(n) for n in _FIELDS[:7]], (~keywords.contains(" NOT NULL")).alias("_nullable"), _default_text(t).alias("_default"))
+    return _let(details, fields)
 
 
 def classify_clauses(clauses: DataFrame) -> DataFrame:
     """Operation and flat details of each clause; an unknown clause has operation ``UNKNOWN``.
 
-    The dialect comes from ``system``: PostgreSQL has its own patterns, others share one set.
+    A clause is read by its keywords, token by token; each reading step is a projection of its
+    own. PostgreSQL alters its columns in another way than the others; ``system`` tells them apart.
     """
-    clause, is_pg = F.col("clause"), F.col("system") == "postgresql"
-    dialects = {name: _clause_patterns(name) for name in ("postgresql", "mysql")}
-    # The first matching pattern is found once; every detail then needs one extraction only.
-    first = {}
-    for name, patterns in dialects.items():
-        branch = F
-        for number, (_, pattern, _) in enumerate(patterns):
-            branch = branch.when(_is(clause, pattern), F.lit(number))
-        first[name] = branch.otherwise(F.lit(-1))
-    rows = clauses.withColumn("_pattern", F.when(is_pg, first["postgresql"]).otherwise(first["mysql"]))
-
-    def detail(which: str) -> Column:
-        def pick(name: str) -> Column:
-            branch = F.when(F.col("_pattern") == -1, F.lit("UNKNOWN" if which == "operation" else None))
-            for number, (operation, pattern, groups) in enumerate(dialects[name]):
-                if which == "operation":
-                    branch = branch.when(F.col("_pattern") == number, F.lit(operation))
-                elif which in groups:
-                    branch = branch.when(F.col("_pattern") == number, _group(clause, pattern, groups[which]))
-            return branch
-
-        return F.when(is_pg, pick("postgresql")).otherwise(pick("mysql"))
-
-    rows = rows.withColumns(
-        {
-            "operation": detail("operation"), "column_name": detail("column"), "new_name": detail("new"),
-            "_type": detail("type"), "index_name": detail("index"), "_columns": detail("columns"), "_unique": detail("unique"),
-        }
-    )
+    is_pg = F.coalesce(F.col("system") == "postgresql", F.lit(False))
+    rows = clauses.withColumn("_c", _let(tokens(F.col("clause")), lambda t: _read(t, is_pg)))
+    rows = rows.select(*clauses.columns, *[F.col("_c")[n].alias(n) for n in _FIELDS])
     has_type = F.col("_type").isNotNull()
-    return rows.withColumns(
-        {
-            "type_name": F.when(has_type, F.upper(base_type(F.col("_type")))),
-            "length": type_parameter(F.col("_type"), 1),
-            "scale": type_parameter(F.col("_type"), 2),
-            "is_optional": F.when(has_type, ~_is(clause, r"\bNOT\s+NULL\b")),
-            "default_value": F.when(has_type, F.coalesce(_group(clause, r"\bDEFAULT\s+'([^']*)'", 1), _group(clause, r"\bDEFAULT\s+([^\s']+)", 1))),
-            "index_columns": F.regexp_replace("_columns", rf"\s+|{Q}", ""),
-            "is_unique": F.when(F.col("operation") == "ADD_INDEX", F.col("_unique").isNotNull()),
-            "is_destructive": F.col("operation").isin(*DESTRUCTIVE),
-        }
-    ).drop("_pattern", "_type", "_columns", "_unique")
+    return rows.select(
+        *clauses.columns, "operation", "column_name", "new_name", "index_name",
+        F.when(has_type, F.upper(base_type(F.col("_type")))).alias("type_name"),
+        type_parameter(F.col("_type"), 1).alias("length"),
+        type_parameter(F.col("_type"), 2).alias("scale"),
+        F.when(has_type, F.col("_nullable")).alias("is_optional"),
+        F.when(has_type, F.col("_default")).alias("default_value"),
+        "index_columns", "is_unique",
+        F.col("operation").isin(*DESTRUCTIVE).alias("is_destructive"),
+    )
 
 
 def explicit_renames(statements: DataFrame) -> DataFrame:
-    """(tbl, old_name, new_name) for every CHANGE and RENAME COLUMN that changes the name."""
-    change, rename = rf"(?i)CHANGE\s+(?:COLUMN\s+)?{NAME}\s+{NAME}\s+\w+", rf"(?i)RENAME\s+COLUMN\s+{NAME}\s+TO\s+{NAME}"
-    pairs = [
-        F.arrays_zip(
-            F.regexp_extract_all("ddl", F.lit(p), F.lit(1)).alias("old_name"),
-            F.regexp_extract_all("ddl", F.lit(p), F.lit(2)).alias("new_name"),
-        )
-        for p in (change, rename)
-    ]
-    both = F.concat(*pairs)
-    return (
-        statements.select("ddl_id", "tbl", F.explode(both).alias("_p"))
-        .select("ddl_id", "tbl", F.col("_p.old_name").alias("old_name"), F.col("_p.new_name").alias("new_name"))
-        .where("old_name <> new_name")
-    )
+    """(ddl_id, tbl, old_name, new_name) for every clause that gives a column another name."""
+    rows = statements if "system" in statements.columns else statements.withColumn("system", F.lit("mysql"))
+    renames = classify_clauses(alter_clauses(rows)).where("operation = 'RENAME_COLUMN' AND column_name <> new_name")
+    return renames.select("ddl_id", "tbl", F.col("column_name").alias("old_name"), F.col("new_name"))
 
 
 def table_renames(statements: DataFrame, existing: DataFrame) -> DataFrame:
-    """Pairs of each RENAME TABLE with a status: applied, or why it is left out.
+    """Pairs of each RENAME TABLE, and ALTER TABLE with RENAME TO, with a status: applied, or why
+    it is left out.
 
     ``existing`` lists the tables (``tbl``) the target has. A pair is left out when its old
     table is missing (the new one is created by its own feed) or its new name is taken.
     """
-    pattern = rf"(?i)(?:{Q}\w+{Q}\.)?{NAME}\s+TO\s+(?:{Q}\w+{Q}\.)?{NAME}"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("ddl", F.lit(pattern), F.lit(1)).alias("old_table"),
-        F.regexp_extract_all("ddl", F.lit(pattern), F.lit(2)).alias("new_table"),
-    )
-    rows = (
-        statements.where(statement_kind(F.col("ddl")) == "rename")
-        .select("ddl_id", F.posexplode(pairs).alias("clause_no", "_p"))
-        .select("ddl_id", "clause_no", F.col("_p.old_table").alias("old_table"), F.col("_p.new_table").alias("new_table"))
-    )
+    kind = statement_kind(F.col("ddl"))
+    listed = F.regexp_extract_all(F.regexp_replace("ddl", r"(?i)^\s*RENAME\s+TABLE\s+", ""), F.lit(_CLAUSE), F.lit(0))
+    pairs = statements.where(kind == "rename").select("ddl_id", F.posexplode(listed).alias("clause_no", "clause"))
+    pairs = pairs.withColumn("_w", tokens(F.col("clause")))
+    to = F.array_position(F.transform("_w", lambda x: F.upper(x)), "TO").cast("int")
+    w = F.col("_w")
+    pairs = pairs.where(to > 0).select("ddl_id", "clause_no", _name(w, to - 2).alias("old_table"), _dotted(w, to).alias("new_table"))
+    altered = alter_clauses(statements if "system" in statements.columns else statements.withColumn("system", F.lit(None).cast("string")))
+    altered = classify_clauses(altered).where("operation = 'RENAME_TABLE'").withColumn("_w", tokens(F.col("ddl")))
+    altered = altered.withColumn("_w", _skip(_rest(w, 2), "IF", "EXISTS"))
+    altered = altered.withColumn("_w", _skip(w, "ONLY"))
+    altered = altered.select("ddl_id", "clause_no", _dotted(w).alias("old_table"), F.col("new_name").alias("new_table"))
+    rows = pairs.unionByName(altered)
     have = existing.select("tbl").distinct()
     rows = rows.join(have.select(F.col("tbl").alias("old_table"), F.lit(True).alias("_old")), "old_table", "left")
     rows = rows.join(have.select(F.col("tbl").alias("new_table"), F.lit(True).alias("_new")), "new_table", "left")
@@ -198,18 +326,25 @@ def table_renames(statements: DataFrame, existing: DataFrame) -> DataFrame:
 
 def index_statements(statements: DataFrame) -> DataFrame:
     """CREATE [UNIQUE] INDEX and DROP INDEX statements as operations."""
-    create = rf"^\s*CREATE\s+(UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s+ON\s+(?:\w+\.)?{NAME}\s*\(([^)]+)\)"
-    drop = rf"^\s*DROP\s+INDEX\s+(?:IF\s+EXISTS\s+)?(?:\w+\.)?{NAME}"
-    ddl = F.col("ddl")
-    kind = statement_kind(ddl)
+    kind = statement_kind(F.col("ddl"))
     made = kind == "create_index"
-    return statements.where(kind.isin("create_index", "drop_index")).select(
+    rows = statements.where(kind.isin("create_index", "drop_index")).withColumn("_made", made)
+    rows = rows.withColumn("_w", _rest(tokens(F.col("ddl"))))
+    rows = rows.withColumns({"_unique": _starts(F.col("_w"), "UNIQUE"), "_w": _skip(F.col("_w"), "UNIQUE")})
+    rows = rows.withColumn("_w", _skip(_rest(F.col("_w")), "CONCURRENTLY"))  # behind INDEX
+    rows = rows.withColumn("_w", _skip(F.col("_w"), "IF", "NOT", "EXISTS"))
+    rows = rows.withColumn("_w", _skip(F.col("_w"), "IF", "EXISTS"))
+    rows = rows.withColumn("_on", F.array_position(F.transform("_w", lambda x: F.upper(x)), "ON").cast("int"))
+    rows = rows.withColumn("_target", _rest(F.col("_w"), F.col("_on")))
+    rows = rows.withColumn("_target", _skip(F.col("_target"), "ONLY"))
+    made, target = F.col("_made"), F.col("_target")
+    return rows.select(
         "ddl_id", F.lit(0).alias("clause_no"),
         F.when(made, "ADD_INDEX").otherwise("DROP_INDEX").alias("operation"),
-        F.when(made, _group(ddl, create, 3)).otherwise(F.col("tbl")).alias("tbl"),
-        F.when(made, _group(ddl, create, 2)).otherwise(_group(ddl, drop, 1)).alias("index_name"),
-        F.when(made, F.regexp_replace(_group(ddl, create, 4), rf"\s+|{Q}", "")).alias("index_columns"),
-        F.when(made, _group(ddl, create, 1).isNotNull()).alias("is_unique"),
+        F.when(made, F.when(F.col("_on") > 0, _dotted(target))).otherwise(F.col("tbl")).alias("tbl"),
+        F.when(~made | (F.col("_on") != 1), _dotted(F.col("_w"))).alias("index_name"),
+        F.when(made, _listed(target)).alias("index_columns"),
+        F.when(made, F.col("_unique")).alias("is_unique"),
     )
 
 
