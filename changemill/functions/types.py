@@ -13,138 +13,148 @@ from changemill.functions.decode import timestamp_from_text
 from changemill.session import lookup
 
 # ---- Fixed values -------------------------------------------------------------------------
-# Canonical type: source type names, per source system.
+# Canonical type of each source type name, per source system.
 CANONICAL_NAMES = {
-    "mysql": """
-        SmallInteger: tinyint, smallint
-        Integer: mediumint, int, integer, year, bit
-        BigInteger: bigint
-        Float: float, double, real
-        Numeric: decimal, numeric, dec
-        String: varchar, char, enum
-        Text: tinytext, text, mediumtext, longtext, set
-        LargeBinary: binary, varbinary, tinyblob, blob, mediumblob, longblob
-        Date: date
-        DateTime: datetime, timestamp
-        Time: time
-        JSON: json
-        Boolean: bool, boolean
-    """,
-    "mssql": """
-        SmallInteger: smallint, tinyint
-        Integer: int
-        BigInteger: bigint
-        Boolean: bit
-        Numeric: decimal, numeric, money, smallmoney
-        Float: float, real
-        DateTime: datetime, datetime2, smalldatetime, datetimeoffset
-        Date: date
-        Time: time
-        String: char, varchar, nchar, nvarchar, uniqueidentifier
-        Text: text, ntext, xml, sql_variant
-        LargeBinary: binary, varbinary, image
-    """,
-    "postgresql": """
-        SmallInteger: smallint, int2, smallserial
-        Integer: integer, int, int4, serial, bit, oid
-        BigInteger: bigint, int8, bigserial
-        Numeric: numeric, decimal, money
-        Float: real, float4, double precision, float8
-        Boolean: boolean, bool
-        String: character varying, varchar, character, char, name, interval, uuid, inet, cidr, macaddr, point, line, lseg, box, path, polygon, circle, bit varying
-        Text: text, tsvector, tsquery, xml
-        LargeBinary: bytea
-        DateTime: timestamp, timestamp without time zone, timestamp with time zone, timestamptz
-        Date: date
-        Time: time, time without time zone, time with time zone, timetz
-        JSON: json, jsonb
-    """,
+    "mysql": {
+        "tinyint": "SmallInteger", "smallint": "SmallInteger",
+        "mediumint": "Integer", "int": "Integer", "integer": "Integer", "year": "Integer", "bit": "Integer",
+        "bigint": "BigInteger",
+        "float": "Float", "double": "Float", "real": "Float",
+        "decimal": "Numeric", "numeric": "Numeric", "dec": "Numeric",
+        "varchar": "String", "char": "String", "enum": "String",
+        "tinytext": "Text", "text": "Text", "mediumtext": "Text", "longtext": "Text", "set": "Text",
+        "binary": "LargeBinary", "varbinary": "LargeBinary", "tinyblob": "LargeBinary", "blob": "LargeBinary",
+        "mediumblob": "LargeBinary", "longblob": "LargeBinary",
+        "date": "Date",
+        "datetime": "DateTime", "timestamp": "DateTime",
+        "time": "Time",
+        "json": "JSON",
+        "bool": "Boolean", "boolean": "Boolean",
+    },
+    "mssql": {
+        "smallint": "SmallInteger", "tinyint": "SmallInteger",
+        "int": "Integer",
+        "bigint": "BigInteger",
+        "bit": "Boolean",
+        "decimal": "Numeric", "numeric": "Numeric", "money": "Numeric", "smallmoney": "Numeric",
+        "float": "Float", "real": "Float",
+        "datetime": "DateTime", "datetime2": "DateTime", "smalldatetime": "DateTime",
+        "datetimeoffset": "DateTime",
+        "date": "Date",
+        "time": "Time",
+        "char": "String", "varchar": "String", "nchar": "String", "nvarchar": "String",
+        "uniqueidentifier": "String",
+        "text": "Text", "ntext": "Text", "xml": "Text", "sql_variant": "Text",
+        "binary": "LargeBinary", "varbinary": "LargeBinary", "image": "LargeBinary",
+    },
+    "postgresql": {
+        "smallint": "SmallInteger", "int2": "SmallInteger", "smallserial": "SmallInteger",
+        "integer": "Integer", "int": "Integer", "int4": "Integer", "serial": "Integer", "bit": "Integer",
+        "oid": "Integer",
+        "bigint": "BigInteger", "int8": "BigInteger", "bigserial": "BigInteger",
+        "numeric": "Numeric", "decimal": "Numeric", "money": "Numeric",
+        "real": "Float", "float4": "Float", "double precision": "Float", "float8": "Float",
+        "boolean": "Boolean", "bool": "Boolean",
+        "character varying": "String", "varchar": "String", "character": "String", "char": "String",
+        "name": "String", "interval": "String", "uuid": "String", "inet": "String", "cidr": "String",
+        "macaddr": "String", "point": "String", "line": "String", "lseg": "String", "box": "String",
+        "path": "String", "polygon": "String", "circle": "String", "bit varying": "String",
+        "text": "Text", "tsvector": "Text", "tsquery": "Text", "xml": "Text",
+        "bytea": "LargeBinary",
+        "timestamp": "DateTime", "timestamp without time zone": "DateTime",
+        "timestamp with time zone": "DateTime", "timestamptz": "DateTime",
+        "date": "Date",
+        "time": "Time", "time without time zone": "Time", "time with time zone": "Time", "timetz": "Time",
+        "json": "JSON", "jsonb": "JSON",
+    },
 }
 
-# Target type name: source type names, per (source, target). What is not listed takes the
+# Target type name of each source type name, per (source, target). What is not listed takes the
 # default of the pair; None keeps the source name in upper case.
 TRANSLATIONS = {
-    ("mysql", "postgresql"): """
-        SMALLINT: tinyint, year
-        INTEGER: mediumint, int, integer
-        BIGINT: bigint
-        REAL: float
-        DOUBLE PRECISION: double
-        NUMERIC: decimal, numeric
-        TIMESTAMP: datetime, timestamp
-        TEXT: tinytext, mediumtext, longtext, set
-        BYTEA: blob, tinyblob, mediumblob, longblob, binary, varbinary
-        BIT: bit
-        BOOLEAN: bool, boolean
-        JSONB: json
-        VARCHAR: enum
-    """,
-    ("postgresql", "mysql"): """
-        SMALLINT: smallint, int2
-        INT: integer, int, int4
-        BIGINT: bigint, int8
-        INT AUTO_INCREMENT: serial
-        BIGINT AUTO_INCREMENT: bigserial
-        FLOAT: real, float4
-        DOUBLE: double precision, float8
-        DECIMAL: numeric, decimal
-        TINYINT(1): boolean, bool
-        DATETIME: timestamp, timestamp without time zone, timestamp with time zone, timestamptz
-        LONGBLOB: bytea
-        JSON: json, jsonb
-        VARCHAR(36): uuid
-        LONGTEXT: text
-        VARCHAR: character varying, varchar
-        CHAR: character, char
-        VARCHAR(50): interval, cidr
-        VARCHAR(45): inet
-        VARCHAR(17): macaddr
-        DECIMAL(19,4): money
-    """,
-    ("mssql", "postgresql"): """
-        INTEGER: int
-        BIGINT: bigint
-        SMALLINT: smallint, tinyint
-        BOOLEAN: bit
-        NUMERIC: decimal, numeric
-        NUMERIC(19,4): money
-        NUMERIC(10,4): smallmoney
-        DOUBLE PRECISION: float
-        REAL: real
-        TIMESTAMP: datetime, datetime2, smalldatetime
-        TIMESTAMP WITH TIME ZONE: datetimeoffset
-        DATE: date
-        TIME: time
-        CHAR: char, nchar
-        VARCHAR: varchar, nvarchar
-        TEXT: text, ntext
-        BYTEA: binary, varbinary, image
-        UUID: uniqueidentifier
-        XML: xml
-    """,
-    ("mssql", "mysql"): """
-        INT: int
-        BIGINT: bigint
-        SMALLINT: smallint
-        TINYINT: tinyint
-        TINYINT(1): bit
-        DECIMAL: decimal, numeric
-        DECIMAL(19,4): money
-        DECIMAL(10,4): smallmoney
-        DOUBLE: float
-        FLOAT: real
-        DATETIME: datetime, smalldatetime, datetimeoffset
-        DATETIME(6): datetime2
-        DATE: date
-        TIME: time
-        CHAR: char, nchar
-        VARCHAR: varchar, nvarchar
-        LONGTEXT: text, ntext, xml
-        BINARY: binary
-        VARBINARY: varbinary
-        LONGBLOB: image
-        VARCHAR(36): uniqueidentifier
-    """,
+    ("mysql", "postgresql"): {
+        "tinyint": "SMALLINT", "year": "SMALLINT",
+        "mediumint": "INTEGER", "int": "INTEGER", "integer": "INTEGER",
+        "bigint": "BIGINT",
+        "float": "REAL",
+        "double": "DOUBLE PRECISION",
+        "decimal": "NUMERIC", "numeric": "NUMERIC",
+        "datetime": "TIMESTAMP", "timestamp": "TIMESTAMP",
+        "tinytext": "TEXT", "mediumtext": "TEXT", "longtext": "TEXT", "set": "TEXT",
+        "blob": "BYTEA", "tinyblob": "BYTEA", "mediumblob": "BYTEA", "longblob": "BYTEA", "binary": "BYTEA",
+        "varbinary": "BYTEA",
+        "bit": "BIT",
+        "bool": "BOOLEAN", "boolean": "BOOLEAN",
+        "json": "JSONB",
+        "enum": "VARCHAR",
+    },
+    ("postgresql", "mysql"): {
+        "smallint": "SMALLINT", "int2": "SMALLINT",
+        "integer": "INT", "int": "INT", "int4": "INT",
+        "bigint": "BIGINT", "int8": "BIGINT",
+        "serial": "INT AUTO_INCREMENT",
+        "bigserial": "BIGINT AUTO_INCREMENT",
+        "real": "FLOAT", "float4": "FLOAT",
+        "double precision": "DOUBLE", "float8": "DOUBLE",
+        "numeric": "DECIMAL", "decimal": "DECIMAL",
+        "boolean": "TINYINT(1)", "bool": "TINYINT(1)",
+        "timestamp": "DATETIME", "timestamp without time zone": "DATETIME",
+        "timestamp with time zone": "DATETIME", "timestamptz": "DATETIME",
+        "bytea": "LONGBLOB",
+        "json": "JSON", "jsonb": "JSON",
+        "uuid": "VARCHAR(36)",
+        "text": "LONGTEXT",
+        "character varying": "VARCHAR", "varchar": "VARCHAR",
+        "character": "CHAR", "char": "CHAR",
+        "interval": "VARCHAR(50)", "cidr": "VARCHAR(50)",
+        "inet": "VARCHAR(45)",
+        "macaddr": "VARCHAR(17)",
+        "money": "DECIMAL(19,4)",
+    },
+    ("mssql", "postgresql"): {
+        "int": "INTEGER",
+        "bigint": "BIGINT",
+        "smallint": "SMALLINT", "tinyint": "SMALLINT",
+        "bit": "BOOLEAN",
+        "decimal": "NUMERIC", "numeric": "NUMERIC",
+        "money": "NUMERIC(19,4)",
+        "smallmoney": "NUMERIC(10,4)",
+        "float": "DOUBLE PRECISION",
+        "real": "REAL",
+        "datetime": "TIMESTAMP", "datetime2": "TIMESTAMP", "smalldatetime": "TIMESTAMP",
+        "datetimeoffset": "TIMESTAMP WITH TIME ZONE",
+        "date": "DATE",
+        "time": "TIME",
+        "char": "CHAR", "nchar": "CHAR",
+        "varchar": "VARCHAR", "nvarchar": "VARCHAR",
+        "text": "TEXT", "ntext": "TEXT",
+        "binary": "BYTEA", "varbinary": "BYTEA", "image": "BYTEA",
+        "uniqueidentifier": "UUID",
+        "xml": "XML",
+    },
+    ("mssql", "mysql"): {
+        "int": "INT",
+        "bigint": "BIGINT",
+        "smallint": "SMALLINT",
+        "tinyint": "TINYINT",
+        "bit": "TINYINT(1)",
+        "decimal": "DECIMAL", "numeric": "DECIMAL",
+        "money": "DECIMAL(19,4)",
+        "smallmoney": "DECIMAL(10,4)",
+        "float": "DOUBLE",
+        "real": "FLOAT",
+        "datetime": "DATETIME", "smalldatetime": "DATETIME", "datetimeoffset": "DATETIME",
+        "datetime2": "DATETIME(6)",
+        "date": "DATE",
+        "time": "TIME",
+        "char": "CHAR", "nchar": "CHAR",
+        "varchar": "VARCHAR", "nvarchar": "VARCHAR",
+        "text": "LONGTEXT", "ntext": "LONGTEXT", "xml": "LONGTEXT",
+        "binary": "BINARY",
+        "varbinary": "VARBINARY",
+        "image": "LONGBLOB",
+        "uniqueidentifier": "VARCHAR(36)",
+    },
 }
 TRANSLATION_DEFAULTS = {
     ("mysql", "postgresql"): None,
@@ -165,29 +175,29 @@ MAX_LENGTH_NAMES = {
 }
 # Similar types: a rename by position needs two names of one group.
 SIMILAR_GROUPS = (
-    "INT, INTEGER, INT4",
-    "BIGINT, INT8",
-    "SMALLINT, INT2",
-    "VARCHAR, CHARACTER VARYING, TEXT",
-    "TIMESTAMP, DATETIME",
-    "BOOL, BOOLEAN, TINYINT",
-    "FLOAT, REAL, FLOAT4",
-    "DOUBLE, DOUBLE PRECISION, FLOAT8",
-    "NUMERIC, DECIMAL",
+    ("INT", "INTEGER", "INT4"),
+    ("BIGINT", "INT8"),
+    ("SMALLINT", "INT2"),
+    ("VARCHAR", "CHARACTER VARYING", "TEXT"),
+    ("TIMESTAMP", "DATETIME"),
+    ("BOOL", "BOOLEAN", "TINYINT"),
+    ("FLOAT", "REAL", "FLOAT4"),
+    ("DOUBLE", "DOUBLE PRECISION", "FLOAT8"),
+    ("NUMERIC", "DECIMAL"),
 )
 # Equal types of the typed difference, by canonical name; the last two compare lengths.
 EQUAL_GROUPS = {
-    "INTEGER": "INT, INT4, INTEGER",
-    "BIGINT": "INT8, BIGINT",
-    "SMALLINT": "INT2, SMALLINT",
-    "TEXT": "TEXT, VARCHAR",
-    "TIMESTAMP WITHOUT TIME ZONE": "TIMESTAMP, TIMESTAMP WITHOUT TIME ZONE",
-    "TIMESTAMP WITH TIME ZONE": "TIMESTAMPTZ, TIMESTAMP WITH TIME ZONE",
-    "DOUBLE PRECISION": "FLOAT8, DOUBLE PRECISION, DOUBLE",
-    "REAL": "FLOAT4, REAL, FLOAT",
-    "BOOLEAN": "BOOL, BOOLEAN",
-    "CHARACTER VARYING": "VARCHAR, CHARACTER VARYING",
-    "NUMERIC": "DECIMAL, NUMERIC",
+    "INTEGER": ("INT", "INT4", "INTEGER"),
+    "BIGINT": ("INT8", "BIGINT"),
+    "SMALLINT": ("INT2", "SMALLINT"),
+    "TEXT": ("TEXT", "VARCHAR"),
+    "TIMESTAMP WITHOUT TIME ZONE": ("TIMESTAMP", "TIMESTAMP WITHOUT TIME ZONE"),
+    "TIMESTAMP WITH TIME ZONE": ("TIMESTAMPTZ", "TIMESTAMP WITH TIME ZONE"),
+    "DOUBLE PRECISION": ("FLOAT8", "DOUBLE PRECISION", "DOUBLE"),
+    "REAL": ("FLOAT4", "REAL", "FLOAT"),
+    "BOOLEAN": ("BOOL", "BOOLEAN"),
+    "CHARACTER VARYING": ("VARCHAR", "CHARACTER VARYING"),
+    "NUMERIC": ("DECIMAL", "NUMERIC"),
 }
 LENGTH_GROUPS = ("CHARACTER VARYING", "NUMERIC")
 # Type changes that need an explicit conversion, in either direction.
@@ -204,19 +214,13 @@ SPARK_TYPES = {
 # -------------------------------------------------------------------------------------------
 
 
-def _pairs(text: str) -> list[tuple[str, str]]:
-    """Lines of ``result: name, name`` to (name, result) pairs."""
-    lines = [line.strip().split(": ", 1) for line in text.strip().splitlines()]
-    return [(name.strip(), result) for result, names in lines for name in names.split(",")]
-
-
 def canonical_lookup(spark: SparkSession) -> DataFrame:
-    rows = [(s, n, c) for s, text in CANONICAL_NAMES.items() for n, c in _pairs(text)]
+    rows = [(s, n, c) for s, names in CANONICAL_NAMES.items() for n, c in names.items()]
     return lookup(spark, rows, "system string,base_type string,canonical string")
 
 
 def translation_lookup(spark: SparkSession, target: str) -> DataFrame:
-    rows = [(s, n, r) for (s, t), text in TRANSLATIONS.items() if t == target for n, r in _pairs(text)]
+    rows = [(s, n, r) for (s, t), names in TRANSLATIONS.items() if t == target for n, r in names.items()]
     return lookup(spark, rows, f"system string,base_type string,{target}_name string")
 
 
@@ -240,17 +244,22 @@ def similar_group(type_name: Column) -> Column:
     name = F.upper(base_type(type_name))
     branch = F
     for group in SIMILAR_GROUPS:
-        members = group.split(", ")
-        branch = branch.when(name.isin(*members), F.lit(members[0]))
+        branch = branch.when(name.isin(*group), F.lit(group[0]))
     return branch.otherwise(name)
 
 
 def types_differ(source: Column, source_len: Column, target: Column, target_len: Column) -> Column:
-    """Typed comparison: equal names or one equal group; two groups also compare lengths."""
+    """Typed comparison: equal names or one equal group; two groups also compare lengths, and of
+    the character types only an unbounded one equals TEXT."""
     a, b = F.upper(base_type(source)), F.upper(base_type(target))
-    branch = F
-    for canonical, text in EQUAL_GROUPS.items():
-        members = text.split(", ")
+    a_chars, b_chars = a.isin("VARCHAR", "CHARACTER VARYING"), b.isin("VARCHAR", "CHARACTER VARYING")
+    bounded = lambda length: F.coalesce(length > 0, F.lit(False))
+    branch = (
+        F.when(a_chars & b_chars, ~source_len.eqNullSafe(target_len))
+        .when(a_chars & (b == "TEXT"), bounded(source_len))
+        .when((a == "TEXT") & b_chars, bounded(target_len))
+    )
+    for canonical, members in EQUAL_GROUPS.items():
         lengths = ~source_len.eqNullSafe(target_len) if canonical in LENGTH_GROUPS else F.lit(False)
         branch = branch.when(a.isin(*members) & b.isin(*members), lengths)
     return branch.otherwise(a != b)

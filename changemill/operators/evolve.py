@@ -37,14 +37,17 @@ def evolve_rows(
     columns: dict[str, str],
     table: str = "topic",
     order: str = "off",
+    one_table: bool = False,
 ) -> DataFrame:
     """Bring every row to the last schema, whatever schema it was written under.
 
     ``operations`` are (tbl, off, operation, column_name, new_name, type_name, default_value)
     ordered by offset. A row is changed by exactly the operations of its table that come after
     it: a rename carries the value over, a drop clears it, an added column takes its default,
-    a modified column is cast where the value fits. Only projections: apply it after the fold,
-    where one row per key is left.
+    a modified column is cast where the value fits. Rows of other tables keep what they have: a
+    column that several tables share keeps its own type and holds the cast value in it, and
+    only where the rows are ``one_table``'s does it take the new type. Only projections: apply it
+    after the fold, where one row per key is left.
     """
     values: dict[str, Column] = {name: F.col(name) for name in columns}
     types = dict(columns)
@@ -65,8 +68,12 @@ def evolve_rows(
             current = values.get(name, F.lit(None).cast(types[name]))
             values[name] = F.when(affected, F.lit(op.default_value).try_cast(types[name])).otherwise(current)
         elif op.operation == "MODIFY_COLUMN" and name in values:
-            types[name] = op.type_name
-            values[name] = values[name].try_cast(op.type_name)
+            if one_table:
+                types[name] = op.type_name
+                values[name] = values[name].try_cast(op.type_name)
+            else:
+                cast = values[name].try_cast(op.type_name).try_cast(types[name])
+                values[name] = F.when(affected, cast).otherwise(values[name])
     kept = [c for c in rows.columns if c not in values]
     return rows.select(*kept, *[value.alias(name) for name, value in values.items()])
 

@@ -12,16 +12,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
-
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def _type_texts() -> list[str]:
     """Every known type name of every system, plain and with parameters, and unknown ones."""
-    from changemill.functions.types import CANONICAL_NAMES, _pairs
+    from changemill.functions.types import CANONICAL_NAMES
 
-    texts = [(s, n) for s, text in CANONICAL_NAMES.items() for n, _ in _pairs(text)]
-    texts += [(s, n.upper() + "(12,3)") for s, text in CANONICAL_NAMES.items() for n, c in _pairs(text) if c in ("Numeric", "String")]
+    texts = [(s, n) for s, names in CANONICAL_NAMES.items() for n in names]
+    texts += [(s, n.upper() + "(12,3)") for s, names in CANONICAL_NAMES.items() for n, c in names.items() if c in ("Numeric", "String")]
     texts += [("postgresql", "timestamp(6) with time zone"), ("mysql", "geometry"), ("mssql", "hierarchyid"), ("mysql", "DECIMAL(10,0)")]
     return [f"({i}, '{s}', '{n}')" for i, (s, n) in enumerate(texts)]
 

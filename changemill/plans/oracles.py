@@ -9,9 +9,8 @@ from changemill.functions.types import (
     SPARK_TYPES,
     TRANSLATION_DEFAULTS,
     TRANSLATIONS,
-    _pairs,
 )
-from changemill.plans.fixtures import with_views
+from changemill.plans.fixtures import TABLES, with_views
 
 FOLDED = """
 f AS (SELECT * FROM {feed} WHERE op <> 't'),
@@ -79,8 +78,8 @@ gated AS (SELECT ddl_id, clause_no, tbl, operation,
                       WHEN after_wait THEN 'blocked' WHEN is_destructive THEN 'pending_approval' ELSE 'apply' END AS status
           FROM ops)"""
 
-CANONICAL_ROWS = _rows([(s, n, c) for s, text in CANONICAL_NAMES.items() for n, c in _pairs(text)])
-TRANSLATION_ROWS = _rows([(s, t, n, r) for (s, t), text in TRANSLATIONS.items() for n, r in _pairs(text)])
+CANONICAL_ROWS = _rows([(s, n, c) for s, names in CANONICAL_NAMES.items() for n, c in names.items()])
+TRANSLATION_ROWS = _rows([(s, t, n, r) for (s, t), names in TRANSLATIONS.items() for n, r in names.items()])
 SIZED_ROWS = _rows([(s, t, n) for (s, t), found in SIZED_NAMES.items() for n in found])
 MAX_ROWS = _rows([(s, t, n, r) for (s, t), found in MAX_LENGTH_NAMES.items() for n, r in found.items()])
 SPARK_ROWS = _rows(list(SPARK_TYPES.items()))
@@ -251,7 +250,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY off DESC) AS
 SELECT o_orderkey, o_totalprice, off FROM r WHERE rn = 1 AND op <> 'd'""",
     "row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}"
-        for t in ("customer", "orders", "lineitem", "events", "part", "supplier", "nation", "orders_copy")
+        for t in (*TABLES, "orders_copy")
     ),
     "compared_counts": """
 SELECT m.pipeline, m.source_table, m.target_table, coalesce(s.n, -1) AS source_rows, coalesce(t.n, -1) AS target_rows,
@@ -289,7 +288,8 @@ SELECT off, db, ddl, 'event' AS outcome FROM history_rows WHERE NOT broken AND N
 UNION ALL SELECT off, NULL AS db, NULL AS ddl, 'malformed_json' AS outcome FROM history_rows WHERE broken""",
     "table_profile": " UNION ALL ".join(
         f"SELECT '{t}' AS tbl, {c} AS columns, count(*) AS n FROM {t}"
-        for t, c in {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6}.items()
+        for t, c in {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+                     "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}.items()
     ),
     "null_counts": """
 SELECT 'user_id' AS column_name, count(*) FILTER (user_id IS NULL) AS null_rows FROM evolving_feed
@@ -375,11 +375,14 @@ UNION ALL SELECT tbl, 5, 'DROP_COLUMN', name, NULL, true FROM ot WHERE NOT EXIST
 WITH j AS (SELECT coalesce(s.tbl, t.tbl) AS tbl, coalesce(s.name, t.name) AS name, s.name AS sn, t.name AS tn, s.type_name AS st, t.type_name AS tt,
                   s.length AS sl, t.length AS tl
            FROM source_columns s FULL JOIN target_columns t ON s.tbl = t.tbl AND s.name = t.name),
-o AS (SELECT *, CASE WHEN tbl NOT IN (SELECT tbl FROM source_columns) THEN NULL WHEN tbl NOT IN (SELECT tbl FROM target_columns) THEN 'CREATE_TABLE'
+a AS MATERIALIZED (SELECT DISTINCT tbl AS a_tbl FROM source_columns), b AS MATERIALIZED (SELECT DISTINCT tbl AS b_tbl FROM target_columns),
+k AS (SELECT j.*, a_tbl, b_tbl FROM j LEFT JOIN a ON j.tbl = a_tbl LEFT JOIN b ON j.tbl = b_tbl),
+o AS (SELECT *, CASE WHEN a_tbl IS NULL THEN NULL WHEN b_tbl IS NULL THEN 'CREATE_TABLE'
                      WHEN tn IS NULL THEN 'ADD_COLUMN' WHEN sn IS NULL THEN 'DROP_COLUMN'
-                     WHEN (st = 'INT' AND tt = 'INTEGER') OR (st = 'VARCHAR' AND tt = 'TEXT') OR st = tt
+                     WHEN (st = 'INT' AND tt = 'INTEGER') OR (st = 'VARCHAR' AND tt = 'TEXT' AND coalesce(sl, 0) <= 0)
+                       OR (st = tt AND (st NOT IN ('VARCHAR', 'DECIMAL', 'NUMERIC') OR sl IS NOT DISTINCT FROM tl))
                        OR (st = 'DECIMAL' AND tt = 'NUMERIC' AND sl IS NOT DISTINCT FROM tl) THEN NULL
-                     ELSE 'MODIFY_COLUMN' END AS operation FROM j)
+                     ELSE 'MODIFY_COLUMN' END AS operation FROM k)
 SELECT tbl, operation, name AS column_name, st AS type_name, CASE WHEN operation = 'MODIFY_COLUMN' THEN tt END AS old_type,
        operation = 'DROP_COLUMN' AS is_destructive FROM o WHERE operation IS NOT NULL""",
     "tables_without_keys": """

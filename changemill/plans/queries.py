@@ -408,7 +408,7 @@ def handover_state(spark, sf_dir):
 
 @query
 def row_counts(spark, sf_dir):
-    plain = {t: table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "events", "part", "supplier", "nation")}
+    plain = {t: table(spark, sf_dir, t) for t in TABLES}
     return reconcile.row_counts({**plain, "orders_copy": view(spark, sf_dir, "orders_copy")})
 
 

@@ -186,7 +186,7 @@ class Pipeline:
         state = self.state(table)
         rows = state.soft_deleted() if self.spec.delete_mode == "soft" else state.current()
         columns = {f.name: f.dataType.simpleString() for f in table.row.fields if f.name not in table.keys}
-        return evolve_rows(rows, operations, columns) if operations else rows
+        return evolve_rows(rows, operations, columns, one_table=True) if operations else rows
 
     def constraint_violations(self) -> DataFrame:
         """Declared keys and references that the targets break: (target_table, kind, columns, n)."""
@@ -209,16 +209,48 @@ class Pipeline:
         return union_feeds(found).where("n > 0")
 
     def run(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Start, or take up again, the stream of a checkpoint.
+
+        Each checkpoint counts its batches from zero, so the number its first batch has in the
+        state is kept beside the state: a restart goes on counting where it was. A checkpoint
+        that the state does not know would make new batches look old, and is refused.
+        """
         problems = self.plan()
         if problems:
             raise ValueError("; ".join(problems))
+        first = self._first_batch_of(checkpoint)
+        if first is None:
+            if self._next_batch():
+                raise ValueError(f"the state of {self.name} was not written from {checkpoint}; use recover() to go on with a new checkpoint")
+            first = self._remember(checkpoint, 0)
+        self.first_batch = first
         return start(feed, self.on_batch, checkpoint, self.spec.frequency, self.name)
 
     def recover(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Start over with a new checkpoint on the kept state, without reading snapshots."""
-        self.first_batch = max([self.state(t).next_batch() for t in self.spec.enabled_tables], default=0)
+        """Start over with a new checkpoint on the kept state, without reading snapshots; a
+        checkpoint that was recovered to before is only taken up again."""
+        if self._first_batch_of(checkpoint) is None:
+            self._remember(checkpoint, self._next_batch())
         return self.run(feed, checkpoint)
 
+    def _next_batch(self) -> int:
+        return max([self.state(t).next_batch() for t in self.spec.enabled_tables], default=0)
+
+    @property
+    def _runs(self) -> str:
+        return f"{self.name}_checkpoints"
+
+    def _first_batch_of(self, checkpoint: str) -> int | None:
+        if not self.spark.catalog.tableExists(self._runs):
+            return None
+        row = self.spark.table(self._runs).where(F.col("checkpoint") == checkpoint).agg(F.max("first_batch")).first()
+        return row[0]
+
+    def _remember(self, checkpoint: str, first: int) -> int:
+        row = self.spark.range(1).select(F.lit(checkpoint).alias("checkpoint"), F.lit(first).cast("bigint").alias("first_batch"))
+        row.write.format("parquet").option("path", f"{self.location}/{self._runs}").mode("append").saveAsTable(self._runs)
+        return first
+
 
 def may_run(control: DataFrame, pipeline: str) -> bool:
     """Whether both sides of a pipeline run; a paused one is stopped and resumes from its checkpoint."""

@@ -209,3 +209,36 @@ def test_widen_and_not_null(spark):
     assert [tuple(r) for r in evolve.widen(old, new).collect()] == [(1, None)]
     df = spark.createDataFrame([(True, True), (False, True), (False, False)], "k boolean, o boolean")
     assert [r[0] for r in df.select(evolve.not_null(F.col("k"), F.col("o"))).collect()] == [True, False, True]
+
+
+def test_modify_keeps_other_tables_values(spark):
+    df = spark.createDataFrame([("a", 1, "12"), ("a", 9, "x"), ("b", 1, "abc")], "topic string, off bigint, w string")
+    change = [Row(tbl="a", off=5, operation="MODIFY_COLUMN", column_name="w", new_name=None, type_name="int", default_value=None)]
+    shared = {(r.topic, r.off): r.w for r in evolve.evolve_rows(df, change, {"w": "string"}).collect()}
+    assert shared == {("a", 1): "12", ("a", 9): "x", ("b", 1): "abc"}
+    one = evolve.evolve_rows(df.where("topic = 'a'"), change, {"w": "string"}, one_table=True)
+    assert one.schema["w"].dataType.simpleString() == "int" and [r.w for r in one.orderBy("off").collect()] == [12, None]
+
+
+@pytest.mark.parametrize(
+    "text,operation,column,index",
+    [
+        ("ALTER TABLE t ADD FULLTEXT INDEX ft (a, b)", "ADD_INDEX", None, "ft"),
+        ("ALTER TABLE t ADD UNIQUE uq (a)", "ADD_INDEX", None, "uq"),
+        ("ALTER TABLE t ADD FOREIGN KEY fk (a) REFERENCES o (b)", "ADD_CONSTRAINT", None, "fk"),
+        ("ALTER TABLE t DROP PARTITION p0", "UNKNOWN", None, None),
+        ("ALTER TABLE t DROP CHECK c1", "DROP_CONSTRAINT", None, "c1"),
+        ("ALTER  TABLE t ADD c INT COMMENT 'x, DROP COLUMN y'", "ADD_COLUMN", "c", None),
+        ("ALTER TABLE t RENAME TO u", "RENAME_TABLE", None, None),
+    ],
+)
+def test_clauses_that_look_like_columns(spark, text, operation, column, index):
+    found = parsed(spark, text)
+    assert [(r.operation, r.column_name, r.index_name) for r in found] == [(operation, column, index)]
+
+
+def test_quoted_defaults_column_lists_and_table_renames(spark, rows):
+    assert parsed(spark, "ALTER TABLE t ADD c VARCHAR(9) DEFAULT 'a,b' NOT NULL")[0].default_value == "a,b"
+    assert [r.column_name for r in parsed(spark, "ALTER TABLE t ADD COLUMN (a INT, b INT)")] == ["a", "b"]
+    have = spark.createDataFrame([("a",)], "tbl string")
+    assert rows(ddl.table_renames(statements(spark, "ALTER TABLE s.a RENAME TO s.b"), have), "old_table", "new_table", "status") == [("a", "b", "apply")]

@@ -123,6 +123,13 @@ def test_pipeline_applies_all_tables_and_recovers(spark, rows):
     again = Pipeline(spark, spec(), folder, "pipe")
     again.recover(read_files(spark, path, True, 2), f"{folder}/ck2").awaitTermination()
     assert rows(again.state(again.spec.tables[0]).current(), "id", "v") == [(1, "z")]
+    # a restart of the recovered stream, in a process that knows nothing of it, goes on counting
+    feed_files(spark, [(a, 0, 5, "u", 1, "new"), (a, 0, 6, "c", 7, "n")], folder, 1)
+    Pipeline(spark, spec(), folder, "pipe").run(read_files(spark, path, True, 2), f"{folder}/ck2").awaitTermination()
+    assert rows(again.state(again.spec.tables[0]).current(), "id", "v") == [(1, "new"), (7, "n")]
+    # a checkpoint that the state does not know is refused, not skipped
+    with pytest.raises(ValueError, match="recover"):
+        Pipeline(spark, spec(), folder, "pipe").run(read_files(spark, path, True, 2), f"{folder}/ck3")
 
 
 def test_tolerance_none_stops_the_stream_and_loses_nothing(spark, rows):
@@ -258,6 +265,8 @@ def test_insert_modes_in_the_stream_decide_alike_on_replay(spark, rows, mode, fi
     table = pipeline.spec.tables[0]
     path = feed_files(spark, [(topic, 0, 1, "c", 1, "x"), (topic, 0, 2, "c", 2, "y")], folder, 1)
     for checkpoint in ("ck", "ck_again"):  # the second checkpoint replays batch 0 under the same number
+        if checkpoint == "ck_again":
+            pipeline._remember(f"{folder}/ck_again", 0)
         pipeline.run(read_files(spark, path, True), f"{folder}/{checkpoint}").awaitTermination()
         assert rows(pipeline.target_rows(table), "id", "v") == first
     feed_files(spark, [(topic, 0, 3, "c", 1, "again"), (topic, 0, 4, "c", 3, "n")], folder, 1)
@@ -277,6 +286,7 @@ def test_compaction_inside_the_stream_and_replays_after_it(spark, rows):
         pipeline.run(read_files(spark, path, True), f"{folder}/ck").awaitTermination()
     assert pipeline.state(table)._version() == 2 and pipeline.state(table)._batches() == []
     # batch 0 of another checkpoint is one that the base covers: no row changes, none is refused
+    pipeline._remember(f"{folder}/ck_again", 0)
     pipeline.run(read_files(spark, path, True), f"{folder}/ck_again").awaitTermination()
     assert rows(pipeline.target_rows(table), "id") == [(0,), (1,), (2,), (3,)]
     assert read_dead_letters(spark, f"{folder}/dead_letters/shop_a").count() == 0

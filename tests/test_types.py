@@ -69,7 +69,7 @@ def test_translations(spark, system, name, length, scale, postgresql, mysql):
 
 
 def test_every_listed_name_has_its_type(spark):
-    listed = [(s, n, c) for s, text in types.CANONICAL_NAMES.items() for n, c in types._pairs(text)]
+    listed = [(s, n, c) for s, names in types.CANONICAL_NAMES.items() for n, c in names.items()]
     got = {(r.system, r.type_name): r.canonical for r in typed(spark, *[(s, n, 9, None) for s, n, _ in listed])}
     assert got == {(s, n): c for s, n, c in listed}
 
@@ -79,10 +79,10 @@ def test_similar_and_equal_types(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     same = [r[0] for r in df.select(types.similar_group(F.col("a")) == types.similar_group(F.col("b"))).collect()]
     assert same == [True, True, True, True, False, True]
-    rows = [("VARCHAR", 20, "CHARACTER VARYING", 30), ("NUMERIC", 10, "DECIMAL", 10), ("NUMERIC", 10, "DECIMAL", 12), ("VARCHAR", 5, "TEXT", None), ("INT", None, "DATE", None)]
+    rows = [("VARCHAR", 20, "CHARACTER VARYING", 30), ("NUMERIC", 10, "DECIMAL", 10), ("NUMERIC", 10, "DECIMAL", 12), ("VARCHAR", 5, "TEXT", None), ("VARCHAR", None, "TEXT", None), ("VARCHAR", 50, "VARCHAR", 10), ("INT", None, "DATE", None)]
     df = spark.createDataFrame(rows, "a string, al int, b string, bl int")
     differ = [r[0] for r in df.select(types.types_differ(F.col("a"), F.col("al"), F.col("b"), F.col("bl"))).collect()]
-    assert differ == [True, False, True, False, True]
+    assert differ == [True, False, True, True, False, True, True]
 
 
 def test_lossy_casts_in_both_directions(spark):
