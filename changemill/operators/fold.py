@@ -41,6 +41,29 @@ def latest_per_key(
     )
 
 
+def latest_with_image(feed: DataFrame, keys: Sequence[str], order: str = "off", op: str = "op") -> DataFrame:
+    """Like :func:`latest_per_key`, but a delete without values keeps those of the key's last
+    change that had some. Associative as well: a delete that was folded holds its image."""
+    carried = [c for c in feed.columns if c not in keys]
+    values = [c for c in carried if c not in (order, op, "part")]
+    if not values:
+        return latest_per_key(feed, keys, order)
+    has_image = F.col(op).isin(*LIVE_OPS)
+    for value in values:
+        has_image = has_image | F.col(value).isNotNull()
+    folded = by_key(feed, keys).agg(
+        F.max_by(F.struct(*carried), F.col(order)).alias("_last"),
+        F.max_by(F.when(has_image, F.struct(*values)), F.when(has_image, F.col(order))).alias("_image"),
+    )
+    dead = F.col(f"_last.`{op}`") == "d"
+    return folded.select(*[
+        F.col(c) if c in keys
+        else F.when(dead, F.col(f"_image.`{c}`")).otherwise(F.col(f"_last.`{c}`")).alias(c) if c in values
+        else F.col(f"_last.`{c}`").alias(c)
+        for c in feed.columns
+    ])
+
+
 def last_truncates(feed: DataFrame, table: str = "topic", order: str = "off", op: str = "op") -> DataFrame:
     """Greatest truncate offset per table: one row per truncated table."""
     return feed.where(F.col(op) == "t").groupBy(table).agg(F.max(order).alias("_t_off"))

@@ -98,7 +98,8 @@ class Pipeline:
 
     def state(self, table: TableSpec) -> StateTable:
         return StateTable(
-            self.spark, f"{self.name}_{table.target}", ["topic", *table.keys], self.location, buckets=self.buckets
+            self.spark, f"{self.name}_{table.target}", ["topic", *table.keys], self.location, buckets=self.buckets,
+            keep_images=self.spec.delete_mode == "soft",
         )
 
     def rows_of(self, batch: DataFrame, table: TableSpec) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.operators.fold import LIVE_OPS, fold_changes, last_truncates, latest_per_key
+from changemill.operators.fold import LIVE_OPS, last_truncates, latest_per_key, latest_with_image
 from changemill.session import measured
 
 
@@ -34,12 +34,14 @@ class StateTable:
         order: str = "off",
         op: str = "op",
         buckets: int = 200,
+        keep_images: bool = False,
     ):
         if table not in keys:
             raise ValueError(f"the keys of a state table include its table column {table!r}")
         self.spark, self.name, self.keys = spark, name, list(keys)
         self.location, self.buckets = location, buckets
         self.table, self.order, self.op = table, order, op
+        self.keep_images = keep_images  # deleted rows keep the values of their last live change
         self._held: list[DataFrame] = []
 
     # -- writing ---------------------------------------------------------------------------
@@ -158,7 +160,12 @@ class StateTable:
         keyless = {
             key: F.when(F.col(self.op) != "t", F.col(key)) for key in self.keys if key != self.table
         }
-        return latest_per_key(batch.withColumns(keyless), self.keys, self.order)
+        return self._latest(batch.withColumns(keyless))
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        if self.keep_images:
+            return latest_with_image(rows, self.keys, self.order, self.op)
+        return latest_per_key(rows, self.keys, self.order)
 
     def _add_columns(self, table: str, df: DataFrame) -> None:
         """Basic evolution: columns a batch brings in are added to the table as nullable."""
@@ -216,7 +223,7 @@ class StateTable:
         if recent is None:
             rows = base.where(F.col(self.op) != "t")
         else:
-            rows = fold_changes(recent, self.keys, self.order, self.op)
+            rows = self._latest(recent.where(F.col(self.op) != "t"))
             if base is not None:
                 rows = self._over_base(base, self._hold(rows))
         marks = self._hold(self._markers(before_batch).select(self.table, F.col(self.order).alias("_t_off")))
@@ -236,10 +243,27 @@ class StateTable:
         kept = older.join(newer, self.keys, "left").where(
             F.col("_new").isNull() | (F.col("_new") < F.col(self.order))
         ).drop("_new")
+        if self.keep_images:
+            recent = self._with_base_images(older, recent)
         stale = older.join(newer, self.keys).where(F.col("_new") < F.col(self.order)).select(*self.keys)
         return kept.unionByName(recent.join(stale, self.keys, "left_anti"), allowMissingColumns=True)
 
 
+    def _with_base_images(self, older: DataFrame, recent: DataFrame) -> DataFrame:
+        """Deletes whose batches saw no values of the row take those of the base."""
+        values = [c for c in recent.columns if c in older.columns and c not in (*self.keys, self.order, self.op, "part")]
+        if not values:
+            return recent
+        bare = F.col(self.op) == "d"
+        for value in values:
+            bare = bare & F.col(value).isNull()
+        images = older.select(*self.keys, F.struct(*values).alias("_image"))
+        filled = recent.join(images, self.keys, "left")
+        return filled.select(*[
+            F.when(bare, F.col(f"_image.`{c}`")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in recent.columns
+        ])
+
+
 def merge_into(changes: DataFrame, target: str, keys: Sequence[str], op: str = "op") -> None:
     """Folded changes into a table whose format supports MERGE."""
     condition = F.lit(True)

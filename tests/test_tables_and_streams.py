@@ -333,3 +333,19 @@ def test_missing_row_schema_holds_the_stream(spark):
     pipeline = Pipeline(spark, spec(tables=(TableSpec("shop", "a", T.StructType(), ("id",)),)), folder, "noschema")
     with pytest.raises(Exception, match="no row schema"):
         pipeline.run(read_files(spark, path, True), f"{folder}/ck").awaitTermination()
+
+
+def test_soft_deletes_keep_the_last_image_over_batches_and_compaction(spark):
+    schema = "topic string, id int, off bigint, op string, v string, w int"
+    state = StateTable(spark, "soft_images", ["topic", "id"], run_dir(spark, "soft"), buckets=2, keep_images=True)
+    batch = lambda *rows: spark.createDataFrame([("t", *r) for r in rows], schema)
+    state.apply(batch((1, 1, "c", "x", 1), (2, 2, "c", "y", 2), (3, 3, "c", "z", None)), 0)
+    state.compact()
+    state.apply(batch((1, 4, "d", None, None), (3, 5, "u", "zz", 3), (3, 6, "d", None, None)), 1)
+    state.apply(batch((1, 7, "d", None, None)), 2)  # the tombstone behind the delete
+    expected = [(1, "x", 1, True), (2, "y", 2, False), (3, "zz", 3, True)]
+    found = lambda: sorted((r.id, r.v, r.w, r["__deleted"]) for r in state.soft_deleted().collect())
+    assert found() == expected
+    state.compact()
+    assert found() == expected
+    assert sorted(r.id for r in state.current().collect()) == [2]
