@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changemill.session import measured
+from changemill.session import join_spread, measured
 
 LIVE_OPS = ("c", "u", "r")
 
@@ -180,12 +180,12 @@ def split_insert_mode(
     """Insert-only sink: (rows that can be inserted, rows that would break the key).
 
     A row breaks the key when the state has it already or when an earlier row of the batch
-    inserts it. The first row per key comes from one aggregate joined back by its offset, so
-    repeated keys are never gathered into one task.
+    inserts it. The first row per key comes from one aggregate; joined back, the rows of a key
+    are spread, so a repeated key is not gathered into one task.
     """
     existing = state.select(*keys).distinct().withColumn("_exists", F.lit(True))
     first = changes.groupBy(*keys).agg(F.min(order).alias("_first")).join(existing, list(keys), "left")
-    marked = changes.join(first, list(keys))
+    marked = join_spread(changes, first, list(keys))
     reason = F.when(F.col("_exists"), F.lit("key_exists")).when(
         F.col(order) > F.col("_first"), F.lit("duplicate_in_batch")
     )

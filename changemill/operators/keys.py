@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changemill.functions.names import IDENTIFIER_LIMIT
+from changemill.session import join_spread
 
 
 def foreign_key_targets(fks: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def orphans(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> Dat
 
     ``columns`` maps child columns to parent columns. Child keys are checked once each: the
     distinct references are anti-joined, and only the missing ones go back to the rows, so a
-    reference shared by a third of the rows crosses the parent join as one row.
+    reference shared by a third of the rows crosses the parent join as one row; the join back
+    spreads the rows of a key.
     """
     keys = list(columns)
     present = child
@@ -115,7 +117,7 @@ def orphans(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> Dat
         present = present.where(F.col(key).isNotNull())
     refs = parent.select(*[F.col(p).alias(c) for c, p in columns.items()])
     missing = present.select(*keys).distinct().join(refs, keys, "left_anti")
-    return present.join(missing, keys, "left_semi")
+    return join_spread(present, missing, keys, "left_semi")
 
 
 def orphan_counts(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFrame:

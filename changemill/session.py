@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +51,21 @@ def measured(df: DataFrame) -> DataFrame:
     return cached
 
 
+SALTS = 16
+
+
+def join_spread(rows: DataFrame, verdicts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with one verdict a key, hot keys included.
+
+    Verdicts that come from an aggregate over the keys lie partitioned by them, and a join would
+    send all rows of a key to that one place. Here the rows of a key go to one of ``SALTS`` places by the task they come
+    from, and each verdict to all of them.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    everywhere = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(everywhere, [*keys, "_salt"], how).drop("_salt")
+
+
 def lookup(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """Driver-side metadata (a mapping, a type table) as a DataFrame of known size."""
     names = [field.split()[0] for field in schema.split(",")]
