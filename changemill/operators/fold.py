@@ -14,9 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changemill.operators.ordering import nearest_in_group
 from changemill.session import join_spread, measured
 
 LIVE_OPS = ("c", "u", "r")
+#: Offsets of a slice in which previous changes of a key are looked up.
+_SLICE = 1 << 16
 
 
 def by_key(df: DataFrame, keys: Sequence[str]):
@@ -176,23 +179,52 @@ def split_insert_mode(
     changes: DataFrame,
     keys: Sequence[str],
     order: str = "off",
+    op: str = "op",
 ) -> tuple[DataFrame, DataFrame]:
     """Insert-only sink: (rows that can be inserted, rows that would break the key).
 
-    A row breaks the key when the state has it already or when an earlier row of the batch
-    inserts it. The first row per key comes from one aggregate; joined back, the rows of a key
-    are spread, so a repeated key is not gathered into one task.
+    Each key's changes are replayed in order: a live row breaks the key when the row before it in the
+    batch is live too, or when the state has the key and no delete came in between; a delete makes
+    room again. So the answer does not depend on where a batch was cut. Previous changes are
+    looked up slice by slice, and the state's verdict is spread over the rows of a key.
     """
     existing = state.select(*keys).distinct().withColumn("_exists", F.lit(True))
-    first = changes.groupBy(*keys).agg(F.min(order).alias("_first")).join(existing, list(keys), "left")
-    marked = join_spread(changes, first, list(keys))
-    reason = F.when(F.col("_exists"), F.lit("key_exists")).when(
-        F.col(order) > F.col("_first"), F.lit("duplicate_in_batch")
+    before = {"_before": F.col(op), "_deleted": F.when(F.col(op) == "d", F.col(order))}
+    marked = nearest_in_group(changes, list(keys), [order], before, F.floor(F.col(order) / _SLICE))
+    marked = join_spread(marked.where(F.col(op).isin(*LIVE_OPS)), existing, list(keys), "left")
+    reason = F.when(F.col("_exists") & F.col("_deleted").isNull(), F.lit("key_exists")).when(
+        F.col("_before").isin(*LIVE_OPS), F.lit("duplicate_in_batch")
     )
-    marked = marked.withColumn("reason", reason).drop("_exists", "_first")
+    marked = marked.withColumn("reason", reason).select(*changes.columns, "reason")
     return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
 
 
+def insert_mode_state(
+    state: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    order: str = "off",
+    op: str = "op",
+) -> DataFrame:
+    """Rows of an insert-only sink after a batch: deleted keys are gone, accepted rows are there
+    unless a delete of their key followed."""
+    accepted, _ = split_insert_mode(state, changes, keys, order, op)
+    deletes = changes.where(F.col(op) == "d").groupBy(*keys).agg(F.max(order).alias("_deleted"))
+    left = state.join(deletes.select(*keys), list(keys), "left_anti")
+    lasting = join_spread(accepted, deletes, list(keys), "left").where(
+        F.col("_deleted").isNull() | (F.col(order) > F.col("_deleted"))
+    )
+    return left.unionByName(lasting.select(*state.columns))
+
+
+def update_mode_changes(changes: DataFrame, keys: Sequence[str], order: str = "off", op: str = "op") -> DataFrame:
+    """Live rows that an update-only sink may apply: those before the first delete of their key,
+    since a key that is gone is unknown from then on."""
+    gone = changes.where(F.col(op) == "d").groupBy(*keys).agg(F.min(order).alias("_gone"))
+    live = join_spread(changes.where(F.col(op).isin(*LIVE_OPS)), gone, list(keys), "left")
+    return live.where(F.col("_gone").isNull() | (F.col(order) < F.col("_gone"))).drop("_gone")
+
+
 def update_mode_state(
     state: DataFrame,
     changes: DataFrame,
@@ -200,11 +232,14 @@ def update_mode_state(
     order: str = "off",
     op: str = "op",
 ) -> DataFrame:
-    """Update-only sink: existing keys take the last live image, unknown keys are ignored."""
+    """Update-only sink: existing keys take the last live image, nulls included, or go with a
+    delete; unknown keys are ignored."""
     values = [c for c in state.columns if c not in keys]
-    batch = latest_per_key(changes.where(F.col(op).isin(*LIVE_OPS)), keys, order)
-    new = measured(batch.select(*keys, F.struct(*values).alias("_new")))
-    return state.join(new, list(keys), "left").select(
+    new = latest_per_key(changes.where(F.col(op).isin(*LIVE_OPS)), keys, order)
+    new = new.select(*keys, F.struct(*values).alias("_new"))
+    gone = changes.where(F.col(op) == "d").select(*keys).distinct()
+    rows = state.join(gone, list(keys), "left_anti").join(new, list(keys), "left")
+    return rows.select(
         *[
             F.col(c)
             if c in keys

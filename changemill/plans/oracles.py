@@ -110,10 +110,12 @@ similar_types AS (SELECT * FROM (VALUES ('INT','INT'),('INTEGER','INT'),('INT4',
 
 _ORDERS = {
     "insert_first": """
-first_row AS (SELECT c_custkey, min(off) AS first_off FROM customer_inserts GROUP BY c_custkey),
-marked AS (SELECT i.*, CASE WHEN c.c_custkey IS NOT NULL THEN 'key_exists' WHEN i.off > r.first_off THEN 'duplicate_in_batch' END AS reason
-           FROM customer_inserts i JOIN first_row r ON i.c_custkey = r.c_custkey
-           LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) c ON i.c_custkey = c.c_custkey)""",
+replayed AS (SELECT *, lag(op) OVER (PARTITION BY c_custkey ORDER BY off) AS before,
+                    max(CASE WHEN op = 'd' THEN off END) OVER (PARTITION BY c_custkey ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deleted,
+                    max(CASE WHEN op = 'd' THEN off END) OVER (PARTITION BY c_custkey) AS last_delete FROM customer_inserts),
+marked AS (SELECT i.*, CASE WHEN c.c_custkey IS NOT NULL AND i.deleted IS NULL THEN 'key_exists'
+                            WHEN i.before <> 'd' THEN 'duplicate_in_batch' END AS reason
+           FROM replayed i LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) c ON i.c_custkey = c.c_custkey WHERE i.op <> 'd')""",
     "chunks": """
 chunks AS (SELECT o_orderkey, o_totalprice, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1024) AS BIGINT) AS chunk FROM orders)""",
 }
@@ -136,13 +138,18 @@ SELECT l.topic, l.user_id, i.event_type, i.value, l.off, l.op = 'd' AS __deleted
 FROM last l LEFT JOIN image i ON l.topic = i.topic AND l.user_id = i.user_id""",
     "insert_mode_state": f"""WITH {_ORDERS['insert_first']}
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
-UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM marked WHERE reason IS NULL""",
+WHERE c_custkey NOT IN (SELECT c_custkey FROM customer_inserts WHERE op = 'd')
+UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM marked
+WHERE reason IS NULL AND (last_delete IS NULL OR off > last_delete)""",
     "insert_mode_rejects": f"WITH {_ORDERS['insert_first']} SELECT c_custkey, off, reason FROM marked WHERE reason IS NOT NULL",
     "update_mode_state": """
 WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY off DESC) AS rn FROM customer_inserts WHERE op <> 'd') WHERE rn = 1)
-SELECT c.c_custkey, coalesce(l.c_name, c.c_name) AS c_name, coalesce(l.c_nationkey, c.c_nationkey) AS c_nationkey,
-       coalesce(l.c_acctbal, c.c_acctbal) AS c_acctbal, coalesce(l.c_mktsegment, c.c_mktsegment) AS c_mktsegment
-FROM customer c LEFT JOIN l ON c.c_custkey = l.c_custkey""",
+SELECT c.c_custkey, CASE WHEN l.c_custkey IS NULL THEN c.c_name ELSE l.c_name END AS c_name,
+       CASE WHEN l.c_custkey IS NULL THEN c.c_nationkey ELSE l.c_nationkey END AS c_nationkey,
+       CASE WHEN l.c_custkey IS NULL THEN c.c_acctbal ELSE l.c_acctbal END AS c_acctbal,
+       CASE WHEN l.c_custkey IS NULL THEN c.c_mktsegment ELSE l.c_mktsegment END AS c_mktsegment
+FROM customer c LEFT JOIN l ON c.c_custkey = l.c_custkey
+WHERE c.c_custkey NOT IN (SELECT c_custkey FROM customer_inserts WHERE op = 'd')""",
     "merge_customer": """
 WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY off DESC) AS rn FROM customer_changes) WHERE rn = 1)
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM l)

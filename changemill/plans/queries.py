@@ -77,9 +77,8 @@ def soft_delete_state(spark, sf_dir):
 @query
 def insert_mode_state(spark, sf_dir):
     customer, inserts = table(spark, sf_dir, "customer"), view(spark, sf_dir, "customer_inserts")
-    accepted, _ = fold.split_insert_mode(customer.select("c_custkey"), inserts, ["c_custkey"])
     columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-    return customer.select(*columns).unionByName(accepted.select(*columns))
+    return fold.insert_mode_state(customer.select(*columns), inserts, ["c_custkey"])
 
 
 @query

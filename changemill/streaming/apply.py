@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from changemill.functions.envelope import dead_rows, decode_envelope, good_rows
 from changemill.functions.types import conform
 from changemill.operators.evolve import evolve_rows
-from changemill.operators.fold import LIVE_OPS, split_insert_mode
+from changemill.operators.fold import LIVE_OPS, split_insert_mode, update_mode_changes
 from changemill.operators.keys import duplicate_keys, orphan_counts
 from changemill.session import cut_lineage
 from changemill.sources.feed import union_feeds, with_topic_parts
@@ -173,12 +173,13 @@ class Pipeline:
         """Insert mode refuses keys that exist, update mode ignores keys that do not. Both compare
         with the state that the batch found, and keep the outcome, so a replay decides alike."""
         keys = state.keys
-        live = rows.where(F.col("op").isin(*LIVE_OPS))
+        keyed = rows.where(F.col("op") != "t")
         rest = rows.where(~F.col("op").isin(*LIVE_OPS))
         found = state.current(number).select(*keys) if state.has_rows_before(number) else rows.limit(0).select(*keys)
         if self.spec.insert_mode == "update":
+            live = update_mode_changes(keyed, keys)
             return cut_lineage(live.join(found, keys, "left_semi").unionByName(rest)), None
-        accepted, refused = split_insert_mode(found, live, keys)
+        accepted, refused = split_insert_mode(found, keyed, keys)
         return cut_lineage(accepted.unionByName(rest)), cut_lineage(refused)
 
     def target_rows(self, table: TableSpec, operations: Sequence[Row] = ()) -> DataFrame:

@@ -117,7 +117,8 @@ def test_insert_and_update_modes(spark, rows):
     good, bad = fold.split_insert_mode(state, changes.where("op = 'c'"), ["k"])
     assert rows(good, "k", "v") == [(3, "y")]
     assert rows(bad, "k", "off", "reason") == [(2, 1, "key_exists"), (3, 3, "duplicate_in_batch")]
-    assert rows(fold.update_mode_state(state, changes, ["k"]), "k", "v") == [(1, "n"), (2, "x")]
+    assert rows(fold.update_mode_state(state, changes, ["k"]), "k", "v") == [(2, "x")]
+    assert rows(fold.insert_mode_state(state, changes, ["k"]), "k", "v") == [(2, "b"), (3, "y")]
     assert rows(fold.merge_changes(state, changes, ["k"]), "k", "v") == [(2, "x"), (3, "z")]
 
 
@@ -128,3 +129,29 @@ def test_key_modes(spark):
     for bad in (("record_key", (), ()), ("record_value", (), ()), ("other", (), ())):
         with pytest.raises(ValueError):
             fold.key_columns(*bad)
+
+
+@pytest.mark.parametrize("mode", ["insert", "update"])
+def test_modes_do_not_depend_on_where_a_batch_is_cut(spark, mode):
+    """One batch of a key's changes gives the state that one batch a change gives."""
+    ops = [(1, "c"), (1, "d"), (1, "c"), (2, "d"), (2, "u"), (3, "u"), (3, "u"), (2, "c"), (4, "c"), (4, "d"), (3, "d"), (1, "c")]
+    changes = [(k, f"v{i}", i, op) for i, (k, op) in enumerate(ops)]
+    schema = "k bigint, v string, off bigint, op string"
+    apply = fold.insert_mode_state if mode == "insert" else fold.update_mode_state
+    start = [(2, "b"), (3, "c")]
+    results = []
+    for size in (len(changes), 5, 3):
+        state = spark.createDataFrame(start, "k bigint, v string")
+        for at in range(0, len(changes), size):
+            found = apply(state, spark.createDataFrame(changes[at : at + size], schema), ["k"]).collect()
+            state = spark.createDataFrame(found, "k bigint, v string")
+        results.append(sorted(tuple(r) for r in state.collect()))
+    expected = {}
+    for k, v in start:
+        expected[k] = v
+    for k, v, _, op in changes:
+        if op == "d":
+            expected.pop(k, None)
+        elif (k in expected) == (mode == "update"):
+            expected[k] = v
+    assert results == [sorted(expected.items())] * 3
