@@ -242,3 +242,19 @@ def test_quoted_defaults_column_lists_and_table_renames(spark, rows):
     assert [r.column_name for r in parsed(spark, "ALTER TABLE t ADD COLUMN (a INT, b INT)")] == ["a", "b"]
     have = spark.createDataFrame([("a",)], "tbl string")
     assert rows(ddl.table_renames(statements(spark, "ALTER TABLE s.a RENAME TO s.b"), have), "old_table", "new_table", "status") == [("a", "b", "apply")]
+
+
+def test_every_relevant_statement_leaves_a_row_in_the_stream(spark):
+    from changemill.streaming.ddl import statements_to_operations
+
+    texts = [
+        ("mysql", "ALTER TABLE t ADD a INT, FORCE"), ("mysql", "RENAME TABLE t TO u"), ("mssql", "ALTER TABLE t ADD a INT"),
+        ("postgresql", "CREATE INDEX i ON t (a)"), ("mysql", "ALTER TABLE t RENAME TO v"), ("mysql", "ALTER TABLE t ADD CHECK ((a > 0))"),
+    ]
+    rows = [(i, i, system, "t", text) for i, (system, text) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ddl_id bigint, off bigint, system string, tbl string, ddl string")
+    found = statements_to_operations(df, spark.createDataFrame([("t",)], "tbl string")).collect()
+    assert sorted((r.off, r.operation, r.new_name, r.status) for r in found) == [
+        (0, "ADD_COLUMN", None, "apply"), (0, "UNKNOWN", None, "dead_letter"), (1, "RENAME_TABLE", "u", "apply"),
+        (2, "UNKNOWN", None, "diff_metadata"), (3, "ADD_INDEX", "i", "recorded"), (4, "RENAME_TABLE", "v", "apply"), (5, "UNKNOWN", None, "dead_letter"),
+    ]
