@@ -4,7 +4,8 @@ Two multinomials over hashed 1- and 2-grams of a text's lower-cased runs of word
 symbols: one from trusted documents, one from the whole corpus. A document's score is the mean,
 over its n-grams, of log p(trusted) - log p(corpus); a document below the threshold fails, every
 time and wherever it stands. The corpus side counts every document; the trusted side is a bounded sample of the
-labelled ones. The model is one number a bucket. Everything is built-in expressions.
+labelled ones, smoothed towards the corpus: the less trusted text there is, the nearer to 0 all scores
+are, and without any they are 0, so that no document fails by its score. The model is one number a bucket. Everything is built-in expressions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from changemill.llm.common import WHITE, fresh, let, whole, words
 BUCKETS = 1 << 14
 #: Trusted documents that the target multinomial is fitted on, at the most.
 MOST_TRUSTED = 20_000
+#: Counts a bucket of the corpus; as many of the corpus multinomial are added to the trusted one.
 SMOOTHING = 1.0
 THRESHOLD = -0.5
 #: Words of a repeat; a power of two.
@@ -46,16 +48,18 @@ def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED, key: str = "doc_id"
 
 
 def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """Weight of each bucket: its log probability among ``trusted`` (bounded, distinct ids) less that among all ``docs``."""
+    """Weight of each bucket: its log probability among ``trusted`` (bounded, distinct ids) less that among all ``docs``.
+    Without trusted documents every weight is 0."""
     trusted = trusted.select(F.col(key).alias("_key"), F.lit(1).alias("_good"))
     rows = docs.select(F.col(key).alias("_id"), _buckets(whole(text), buckets).alias("_grams"))
     rows = rows.join(F.broadcast(trusted), F.col("_id") == F.col("_key"), "left")
     counts = rows.select(F.explode("_grams").alias("b"), F.coalesce("_good", F.lit(0)).alias("g")).groupBy("b")
     found = {r.b: (r.good, r.n) for r in counts.agg(F.sum("g").alias("good"), F.count("*").alias("n")).collect()}
-    good_all = sum(g for g, _ in found.values()) + SMOOTHING * buckets
-    raw_all = sum(n for _, n in found.values()) + SMOOTHING * buckets
-    pairs = (found.get(b, (0, 0)) for b in range(buckets))
-    return [math.log((g + SMOOTHING) / good_all) - math.log((n + SMOOTHING) / raw_all) for g, n in pairs]
+    added = SMOOTHING * buckets
+    good_all = sum(g for g, _ in found.values()) + added
+    raw_all = sum(n for _, n in found.values()) + added
+    pairs = ((g, (n + SMOOTHING) / raw_all) for g, n in (found.get(b, (0, 0)) for b in range(buckets)))
+    return [math.log((g + added * raw) / (good_all * raw)) for g, raw in pairs]
 
 
 def score(text: Column, weights: list[float]) -> Column:

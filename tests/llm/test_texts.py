@@ -221,3 +221,18 @@ def test_quality_of_odd_rows(spark, odd):
     assert all(r.base_failed and not r.kept for r in rows if not r.text)
     nothing = odd.limit(0)
     assert quality.judge(nothing, quality.fit(nothing, quality.trusted_ids(labels.limit(0)))).count() == 0
+
+
+def test_little_or_no_trusted_text_fails_no_good_document(spark):
+    """No labels, labels of other documents, and five trusted ones: scores stay near 0."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = quality.trusted_ids(labels)
+    for few in (trusted.limit(0), spark.createDataFrame([(-1,)], "doc_id long")):
+        weights = quality.fit(docs, few)
+        assert max(map(abs, weights)) < 1e-9
+        assert quality.judge(docs, weights).where("kept = base_failed").count() == 0
+    five = trusted.orderBy("doc_id").limit(5)
+    held = quality.judge(docs.join(trusted.exceptAll(five), "doc_id"), quality.fit(docs, five))
+    assert held.where("NOT base_failed").count() > 20
+    assert held.where("NOT base_failed AND NOT kept").count() == 0
