@@ -165,7 +165,7 @@ def pack(
     """
     if size < 2 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    words = WordIds.load(tokenizer)
+    words = WordIds.load(tokenizer, added=True)
     is_end = words.sentence_ends()
     end = np.array([end_id], dtype="<u4").tobytes()
 

@@ -63,7 +63,7 @@ def write(
     end id alone, repeated rows are stored as often as they come, other columns are not read.
     An empty table gives empty files. ``folder`` must be one that all executors reach.
     """
-    words = WordIds.load(tokenizer)
+    words = WordIds.load(tokenizer, added=True)
     end = np.array([end_id], dtype="<u4").tobytes()
     rows = df.select(F.col(key).cast("long").alias("id"), whole(text).alias("text"))
     n = rows.count()

@@ -4,6 +4,9 @@ The file's text (a few MB, whatever the data) is read on the driver and travels
 Where the pre-tokenizer drops white space, the words between blanks and line feeds are encoded
 independently of each other, so equal words are encoded once and their ids joined as bytes.
 The file must be of that kind (its pre-tokenizer keeps letters and signs apart, too).
+
+The file's added tokens (``<|endoftext|>``) are either text like any other or, as is the library's
+default, cut out of the raw text first: each is one id, and what lies between is encoded alone.
 """
 
 from __future__ import annotations
@@ -32,22 +35,29 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class WordIds:
-    """Encoder of one tokenizers file: texts to little-endian 32-bit ids."""
+    """Encoder of one tokenizers file: texts to little-endian 32-bit ids.
+
+    ``added``: the file's added tokens have ids of their own, as by the library's default; without
+    it they are encoded as text.
+    """
 
-    def __init__(self, spec: str):
-        self.spec = spec
-        self.key = hashlib.sha256(spec.encode()).hexdigest()
+    def __init__(self, spec: str, added: bool = False):
+        self.spec, self.added = spec, added
+        self.key = f"{hashlib.sha256(spec.encode()).hexdigest()}-{added}"
         self.memo: dict[str, bytes] = {}
         self.model = None
         self.lowers = '"Lowercase"' in spec
+        self.own = _added_tokens(spec) if added else {}
+        longest_first = sorted(self.own, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest_first))) if self.own else None
 
     @classmethod
-    def load(cls, path: str) -> WordIds:
+    def load(cls, path: str, added: bool = False) -> WordIds:
         with open(path, encoding="utf-8") as file:
-            return cls(file.read())
+            return cls(file.read(), added)
 
     def __reduce__(self):
-        return _again, (self.key, self.spec)
+        return _again, (self.key, self.spec, self.added)
 
     def _model(self):
         if self.model is None:
@@ -93,6 +103,16 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text; equal words of the texts are encoded once."""
+        if self.cut is None:
+            return self._encode_plain(texts)
+        found = [[] if all(t not in text for t in self.own) else self.cut.findall(text) for text in texts]
+        if not any(found):
+            return self._encode_plain(texts)
+        parts = [self.cut.split(text) if hits else [text] for text, hits in zip(texts, found, strict=True)]
+        ids = iter(self._encode_plain([part for some in parts for part in some]))
+        return [next(ids) + b"".join(self.own[token] + next(ids) for token in hits) for hits in found]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         if self.lowers:  # bytes.lower() changes A-Z only
             texts = [text.encode().lower().decode() for text in texts]
         split = [text.replace("\n", " ").split(" ") for text in texts]
@@ -108,7 +128,8 @@ class WordIds:
     def flags(self, test: Callable[[str], object]) -> np.ndarray:
         """For each id: does its text pass the test?"""
         vocabulary = json.loads(self.spec)["model"]["vocab"]
-        flags = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        highest = max([*vocabulary.values(), *(t["id"] for t in json.loads(self.spec)["added_tokens"])])
+        flags = np.zeros(highest + 1, dtype=bool)
         flags[[i for token, i in vocabulary.items() if test(token)]] = True
         return flags
 
@@ -117,12 +138,21 @@ class WordIds:
         return self.flags(_SENTENCE_END.search)
 
 
+def _added_tokens(spec: str) -> dict[str, bytes]:
+    """Packed id of each added token. Only tokens that match the raw text as it stands are known here."""
+    found = json.loads(spec)["added_tokens"]
+    for token in found:
+        if token["normalized"] or token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} does not match raw text as it stands")
+    return {token["content"]: pack_ids([token["id"]]) for token in found}
+
+
 _KNOWN: dict[str, WordIds] = {}
 
 
-def _again(key: str, spec: str) -> WordIds:
+def _again(key: str, spec: str, added: bool) -> WordIds:
     """One encoder a worker and file, so that its memory lasts over tasks."""
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = WordIds(spec)
+        _KNOWN[key] = WordIds(spec, added)
     return _KNOWN[key]

@@ -149,3 +149,17 @@ def test_files_of_odd_rows(spark, odd, tmp_path):
     assert [r.doc_id for r in rows] == [None, 1, 2, 2, 3, 4, 4]
     token_store.write(odd.limit(0), str(tmp_path / "b"), WORDS, 2)
     assert token_store.read(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_added_tokens_have_the_ids_of_the_unaltered_library(spark, tmp_path):
+    """Packed and stored ids of texts that hold the file's added tokens, in any place and case."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "A<|startoftext|><|endoftext|>.B\n", "<|ENDOFTEXT|> x", "end|> <|endoftext", None, ""]
+    texts += [t.replace("'LL", "<|startoftext|>") for t in odd_texts(2000)]
+    unaltered = Tokenizer.from_file(WORDS)
+    expected = {i: [*unaltered.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert sum(49407 in ids for ids in expected.values()) > 300 and sum(49406 in ids for ids in expected.values()) > 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(packing.pack(df, WORDS, 2).collect(), expected, 4096)
+    token_store.write(df, str(tmp_path), WORDS, 2)
+    rows = token_store.read(spark, str(tmp_path)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == expected
