@@ -236,3 +236,33 @@ def test_little_or_no_trusted_text_fails_no_good_document(spark):
     held = quality.judge(docs.join(trusted.exceptAll(five), "doc_id"), quality.fit(docs, five))
     assert held.where("NOT base_failed").count() > 20
     assert held.where("NOT base_failed AND NOT kept").count() == 0
+
+
+@pytest.mark.parametrize("before", ["", "KEY=", "/", "id_", "my/example/path/"])
+def test_random_keys_of_every_alphabet_are_found(spark, before):
+    rnd = random.Random(9)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {
+        "HEX": digits + "ABCDEF", "Hex": digits + "abcdefABCDEF", "base32": upper + "234567", "base36": digits + upper.lower(),
+        "base62": digits + upper + upper.lower(), "base64": digits + upper + upper.lower() + "+/",
+    }
+    keys = []
+    for name, letters in alphabets.items():
+        for size in (20, 24, 40):
+            drawn = ("".join(rnd.choice(letters) for _ in range(size)) for _ in range(1000))
+            keys += [(name, size, k) for k in [k for k in drawn if re.search("[0-9]", k) and re.search("[A-Za-z]", k)][:150]]
+    df = spark.createDataFrame(keys, "name string, size int, key string").withColumn("text", F.concat(F.lit(f"see {before}"), "key", F.lit(" x")))
+    found = secret_scan.scan(df).groupBy("name", "size").agg(F.avg((F.size("secrets") > 0).cast("int")).alias("part")).collect()
+    # a sign may cut base 64 so that a window has no digit
+    assert {(r.name, r.size): r.part for r in found if r.part < 0.95} == {}
+
+
+def test_allow_list_holds_for_the_part_of_the_window(spark):
+    key = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    cases = {
+        f"/docs/example/{key}": True, f"/aaaaaaaa/{key}": True, f"/123e4567-e89b-12d3-a456-426614174000/{key}": True,
+        f"/docs/{key}example": False, "/users/123e4567-e89b-12d3-a456-426614174000/edit": False,
+        "/some/long/path/to/version2/of/words-in-a-row": False, "/2024-01-01/some_words_and_20240101": False,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    assert {r.text: bool(r.secrets) for r in secret_scan.scan(df).collect()} == cases
