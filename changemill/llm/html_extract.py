@@ -166,11 +166,23 @@ def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "") ->
     return out
 
 
-# ---- Templates: [label, children, constant text hash or None, text length, pages] ------------------
+# ---- Templates: [label, children, constant text hash or None, text length, digests of its pages] ----
+# Of the digests, AGREE are enough.
 
 
-def skeleton(node: Node) -> list:
-    """A page's tree as a template of one page: block elements only, like siblings folded."""
+def skeleton(root: Node) -> list:
+    """A page's tree as a template of one page."""
+    tree = _folded(root)
+    seen, todo = [tree[2]], [tree]
+    while todo:
+        node = todo.pop()
+        node[4] = seen
+        todo.extend(node[1])
+    return tree
+
+
+def _folded(node: Node) -> list:
+    """A subtree's template: block elements only, like siblings folded."""
     own: list[str] = []
     kids: dict[str, list[Node]] = {}
     todo = list(reversed(node.content))
@@ -186,10 +198,10 @@ def skeleton(node: Node) -> list:
     for label, like in kids.items():
         folded = Node(like[0].tag, label, False)
         folded.content = [x for k in like for x in k.content] if len(like) > 1 else like[0].content
-        children.append(skeleton(folded))
+        children.append(_folded(folded))
     text = " ".join("".join(own).split())
     digest = xxhash.xxh3_64_intdigest("\n".join([text, *[str(c[2]) for c in children]]))
-    return [node.label, children, digest, len(text) + sum(c[3] for c in children), 1]
+    return [node.label, children, digest, len(text) + sum(c[3] for c in children), []]
 
 
 def match(a: list, b: list, memo: dict) -> int:
@@ -232,33 +244,39 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
     """Template of two aligned trees. A node that one lacks keeps its own counts."""
     memo = {} if memo is None else memo
     children = [merge(x, y, memo) if x and y else x or y for x, y in aligned(a[1], b[1], memo)]
-    return [a[0], children, a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
+    seen = a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:AGREE]
+    return [a[0], children, a[2] if a[2] == b[2] else None, a[3] + b[3], seen]
 
 
-def wrapper(template: list, distinct: int) -> dict:
+def wrapper(template: list) -> dict:
     """Path of the content slot, and paths of constant containers in it."""
     slot, path = _main(template, ""), None
     if slot is None:  # by text: down to the container that still holds most of it
         node, path = template, ""
         while True:
-            inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and (c[2] is None or distinct < AGREE)]
+            inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and not _constant(c)]
             best = max(inner, key=lambda c: c[3], default=None)
             if best is None or best[3] < 0.6 * node[3] or not best[1]:
                 break
             node, path = best, f"{path}/{best[0]}"
         slot = (node, path)
     node, path = slot
-    constant: list[str] = []
-    todo = [(c, f"{path}/{c[0]}") for c in node[1]] if distinct >= AGREE else []
+    constant, varying = set(), set()
+    todo = [(c, f"{path}/{c[0]}") for c in node[1]]
     while todo:
         c, where = todo.pop()
         if _tag(c) in _TEXT_BLOCKS:
             continue
-        if c[2] is not None and c[4] >= AGREE and c[3]:
-            constant.append(where)
+        if _constant(c) and c[3]:
+            constant.add(where)
         else:
+            varying.add(where)
             todo.extend((x, f"{where}/{x[0]}") for x in c[1])
-    return {"slot": path, "constant": sorted(constant)}
+    return {"slot": path, "constant": sorted(constant - varying)}
+
+
+def _constant(node: list) -> bool:
+    return node[2] is not None and len(node[4]) >= AGREE
 
 
 def _tag(node: list) -> str:
@@ -286,7 +304,7 @@ def extract(page: str, spec: dict) -> str:
     nodes = _at(root, spec["slot"])
     path = spec["slot"]
     if not nodes:
-        own = wrapper(skeleton(root), 1)
+        own = wrapper(skeleton(root))
         nodes, path, dropped = _at(root, own["slot"]), own["slot"], frozenset()
     return "\n".join(b for node in nodes for b in blocks(node, dropped, path))
 
@@ -316,9 +334,9 @@ def templates(pages: DataFrame, host: str = "host", page: str = "html") -> DataF
     """(host, spec): each host's wrapper as JSON."""
     schema = "host string, template string"
 
-    def fold(state: dict, key: str, tree: list, seen: list[int]) -> None:
+    def fold(state: dict, key: str, tree: list) -> None:
         old = state.get(key)
-        state[key] = (merge(old[0], tree), sorted({*old[1], *seen})[:AGREE]) if old else (tree, seen)
+        state[key] = merge(old, tree) if old else tree
 
     def rows(state: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -331,8 +349,7 @@ def templates(pages: DataFrame, host: str = "host", page: str = "html") -> DataF
             hosts, at = batch.column(0).to_pylist(), 0
             for part in slices(batch.column(1)):
                 for text in part.to_pylist():
-                    tree = skeleton(parse(text))
-                    fold(state, hosts[at], tree, [tree[2]])
+                    fold(state, hosts[at], skeleton(parse(text)))
                     at += 1
                 if len(state) > MOST_HOSTS:
                     yield rows(state)
@@ -347,13 +364,12 @@ def templates(pages: DataFrame, host: str = "host", page: str = "html") -> DataF
                 if state and key not in state:
                     yield specs(state)
                     state.clear()
-                tree, seen = json.loads(text)
-                fold(state, key, tree, seen)
+                fold(state, key, json.loads(text))
         if state:
             yield specs(state)
 
     def specs(state: dict) -> pa.RecordBatch:
-        found = [json.dumps(wrapper(tree, len(seen))) for tree, seen in state.values()]
+        found = [json.dumps(wrapper(tree)) for tree in state.values()]
         return pa.RecordBatch.from_arrays([pa.array(list(state), pa.string()), pa.array(found, pa.string())], names=["host", "spec"])
 
     parts = pages.select(F.col(host).alias("host"), whole(page).alias("html")).mapInArrow(induce, schema)

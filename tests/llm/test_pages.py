@@ -72,6 +72,32 @@ def test_odd_pages(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def texts_of(pages):
+    """Texts of one host's pages, without Spark."""
+    template = None
+    for page in pages:
+        tree = html_extract.skeleton(html_extract.parse(page))
+        template = html_extract.merge(template, tree) if template else tree
+    spec = html_extract.wrapper(template)
+    return [html_extract.extract(page, spec) for page in pages]
+
+
+def test_copies_of_one_article_keep_its_lists_and_tables():
+    page = "<body><article><h1>T{0}</h1><p>Text of number {0}</p>{1}<div class=box>Same</div></article>"
+    pages = [page.format(i, "") for i in range(4)] + [page.format(9, "<ul><li>only here</ul><div class=note>and here</div>")] * 3
+    found = texts_of(pages)
+    assert found[:4] == [f"T{i}\nText of number {i}" for i in range(4)]
+    assert found[4:] == ["T9\nText of number 9\nonly here\nand here"] * 3
+
+
+def test_a_varying_node_of_a_constant_path_stays():
+    page = "<body><article><h1>T{0}</h1><p>Text of number {0}</p>{1}</article>"
+    box, mark = "<div class=box>Same words</div>", "<ul><li>x{0}</ul>"
+    pages = [page.format(i, box + mark.format(i)) for i in range(4)] + [page.format(i, mark.format(i) + f"<div class=box>New {i}</div>") for i in range(4, 8)]
+    found = texts_of(pages)
+    assert all(f"New {i}" in found[i] for i in range(4, 8))
+
+
 # ---- URLs ----
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/")]
