@@ -4,7 +4,8 @@ Pages of one host are made by one program. Their DOM trees, with runs of like si
 node, are aligned by simple tree matching into a template of the host: matched nodes count their
 pages, their text and whether it is the same on all of them. Nodes of constant text are the template; the
 slot whose text varies and holds the most running text is the content. Each page is aligned with its host's
-template, and the blocks of its slot, without nested boilerplate, are its text.
+template, and the blocks of its slot, without nested boilerplate, are its text. Class and id words alone drop
+no element that varies and holds much of its host's text.
 
 Each task folds its pages into one template a host, and the tasks' templates are merged in
 a stream sorted by host: a host with a third of all pages costs each task one template. Templates
@@ -31,11 +32,13 @@ from changemill.session import run_dir
 MOST_HOSTS = 20_000
 #: Distinct pages that must agree before text counts as constant.
 AGREE = 3
+#: Part of the text from which a named element that varies is kept.
+KEPT = 1 / 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: A tag that the end of the page cuts off.
 _CUT_TAG = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")
-_NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 _RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
 _RAW_END = {t: re.compile(rf"</{t}[\s/>][^>]*>?|</{t}>|\Z", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,19 +56,27 @@ _DROP_TAGS = frozenset(
     "nav header footer aside form script style noscript template iframe button select textarea input dialog menu svg canvas "
     "object audio video head title fieldset".split()
 )
-_DROP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|respond|repl(?:y|ies)|cookies?|consent|notices?|"
+#: Words of a name that stand for boilerplate, and words that may stand beside them.
+_DROP_WORDS = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|respond|repl(?:y|ies)|cookies?|consent|notices?|"
     r"disclaimer|footer|header|masthead|menus?|nav|navbar|navigation|newsletter|subscribe|pagination|pager|popup|modal|promo\w*|related|"
-    r"recommended|share|sharing|sidebar|social|sponsor\w*|toolbar|widget|toc|skip)(?:$|[\s_-])",
+    r"recommended|share|sharing|sidebar|social|sponsor\w*|toolbar|widgets?|toc|skip",
     re.I,
 )
+_LAYOUT_WORDS = re.compile(
+    r"\d+(?:x\d+)?|area|articles|bar|block|bottom|box|buttons?|container|content|fixed|form|global|icons?|inner|items?|js|left|links?|list|main|"
+    r"outer|page|posts|primary|right|secondary|section|site|slot|sticky|stories|to|top|unit|wp|wrap|wrapper",
+    re.I,
+)
+#: Elements that no class or id word drops.
+_NEVER_NAMED = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _MAIN_TAGS = ("article", "main")
 
 
 class Node:
-    """An element: its label (tag and first name), whether it is boilerplate by its kind, and its
-    content in page order, strings and nodes."""
+    """An element: its label (tag and first name, after ``!`` if its names stand for boilerplate),
+    whether it is boilerplate by its kind, and its content in page order, strings and nodes."""
 
     __slots__ = ("boiler", "content", "label", "tag")
 
@@ -73,6 +84,25 @@ class Node:
         self.tag, self.label, self.boiler, self.content = tag, label, boiler, []
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-cased name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return found
+
+
+def is_boilerplate_name(names: str) -> bool:
+    """Whether one of the names is made of words for boilerplate, alone or with words for places."""
+
+    def fits(name: str) -> bool:
+        words = [w for w in re.split("[_-]", name) if w]
+        drops = [bool(_DROP_WORDS.fullmatch(w)) for w in words]
+        return any(drops) and all(d or _LAYOUT_WORDS.fullmatch(w) for d, w in zip(drops, words, strict=True))
+
+    return any(map(fits, names.split()))
+
+
 def parse(page: str) -> Node:
     """The element tree of a page. Ends of elements that may be left out are supplied; text of
     scripts, styles and the like is not kept."""
@@ -117,11 +147,12 @@ def parse(page: str) -> Node:
         if tag == "tr" or tag == "body":
             while len(stack) > 1 and stack[-1].tag in ("td", "th", "head"):
                 stack.pop()
-        names = {k.lower(): v.strip("\"'") for k, v in _NAME.findall(m[3])} if m[3].strip() else {}
-        name = " ".join(x for x in (names.get("class"), names.get("id")) if x)
-        boiler = tag in _DROP_TAGS or "hidden" in names or names.get("role", "") in _DROP_ROLES
-        boiler = boiler or bool(name and tag not in ("html", "body") and _DROP_NAMES.search(name))
-        node = Node(tag, f"{tag}.{name.split()[0]}" if name else tag, boiler)
+        names = attributes(m[3]) if m[3].strip() else {}
+        name = " ".join(x for x in (names.get("class"), names.get("id")) if x and x.strip())
+        boiler = tag in _DROP_TAGS or "hidden" in names or names.get("role", "").lower() in _DROP_ROLES
+        named = bool(name) and tag not in _NEVER_NAMED and is_boilerplate_name(name)
+        boiler = boiler or (named and tag in _INLINE)
+        node = Node(tag, ("!" if named else "") + (f"{tag}.{name.split()[0].replace('/', '-')}" if name else tag), boiler)
         stack[-1].content.append(node)
         if tag in _RAW:
             at = _RAW_END[tag].search(page, at).end()
@@ -130,9 +161,9 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "") -> list[str]:
+def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "", kept: frozenset[str] = frozenset()) -> list[str]:
     """Texts of a subtree's blocks in page order: references decoded, white space as one blank.
-    Boilerplate and nodes at ``dropped`` paths are left out."""
+    Boilerplate, also by name but for ``kept`` paths, and nodes at ``dropped`` paths are left out."""
     out: list[str] = []
     open_: list[str] = []
 
@@ -158,7 +189,7 @@ def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "") ->
         else:
             close()
             here = f"{where}/{item.label}" if item is not node else where
-            if item is not node and (item.boiler or here in dropped):
+            if item is not node and (item.boiler or here in dropped or (item.label[0] == "!" and here not in kept)):
                 continue
             todo.append((None, ""))
             todo.extend((x, here) for x in reversed(item.content))
@@ -167,7 +198,7 @@ def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "") ->
 
 
 # ---- Templates: [label, children, constant text hash or None, text length, digests of its pages] ----
-# Of the digests, AGREE are enough.
+# The hash leaves out elements whose names stand for boilerplate. Of the digests, AGREE are enough.
 
 
 def skeleton(root: Node) -> list:
@@ -200,7 +231,7 @@ def _folded(node: Node) -> list:
         folded.content = [x for k in like for x in k.content] if len(like) > 1 else like[0].content
         children.append(_folded(folded))
     text = " ".join("".join(own).split())
-    digest = xxhash.xxh3_64_intdigest("\n".join([text, *[str(c[2]) for c in children]]))
+    digest = xxhash.xxh3_64_intdigest("\n".join([text, *[str(c[2]) for c in children if c[0][0] != "!"]]))
     return [node.label, children, digest, len(text) + sum(c[3] for c in children), []]
 
 
@@ -249,30 +280,52 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
 
 
 def wrapper(template: list) -> dict:
-    """Path of the content slot, and paths of constant containers in it."""
-    slot, path = _main(template, ""), None
+    """Path of the content slot, paths of constant containers in them, and of elements kept against their names."""
+    kept: set[str] = set()
+    weight: dict[int, int] = {}
+    least = KEPT * template[3]
+
+    def weigh(node: list, path: str) -> int:
+        """Varying text below a node, without what is dropped by its name."""
+        before = len(kept)
+        own = node[3] - sum(c[3] for c in node[1])
+        below = 0
+        for c in node[1]:
+            where = f"{path}/{c[0]}"
+            if c[0][0] == "!":
+                if _constant(c) or c[3] < least:
+                    weight[id(c)] = 0
+                    continue
+                kept.add(where)
+            below += weigh(c, where)
+        settled = _constant(node) and len(kept) == before
+        weight[id(node)] = 0 if settled else own + below
+        return weight[id(node)]
+
+    weigh(template, "")
+    slot = _main(template, "", weight)
     if slot is None:  # by text: down to the container that still holds most of it
         node, path = template, ""
         while True:
-            inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and not _constant(c)]
-            best = max(inner, key=lambda c: c[3], default=None)
-            if best is None or best[3] < 0.6 * node[3] or not best[1]:
+            inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and weight[id(c)]]
+            best = max(inner, key=lambda c: weight[id(c)], default=None)
+            if best is None or weight[id(best)] < 0.6 * weight[id(node)] or not best[1]:
                 break
             node, path = best, f"{path}/{best[0]}"
         slot = (node, path)
-    node, path = slot
+    slots = [slot]
     constant, varying = set(), set()
-    todo = [(c, f"{path}/{c[0]}") for c in node[1]]
+    todo = [(c, f"{path}/{c[0]}") for node, path in slots for c in node[1]]
     while todo:
         c, where = todo.pop()
         if _tag(c) in _TEXT_BLOCKS:
             continue
-        if _constant(c) and c[3]:
+        if _constant(c) and c[3] and not weight.get(id(c)):
             constant.add(where)
         else:
             varying.add(where)
             todo.extend((x, f"{where}/{x[0]}") for x in c[1])
-    return {"slot": path, "constant": sorted(constant - varying)}
+    return {"slots": sorted({path for _, path in slots}), "constant": sorted(constant - varying), "kept": sorted(kept)}
 
 
 def _constant(node: list) -> bool:
@@ -280,10 +333,10 @@ def _constant(node: list) -> bool:
 
 
 def _tag(node: list) -> str:
-    return node[0].partition(".")[0]
+    return node[0].lstrip("!").partition(".")[0]
 
 
-def _main(node: list, path: str) -> tuple | None:
+def _main(node: list, path: str, weight: dict[int, int]) -> tuple | None:
     """The article or main node of most text, if there is one with text."""
     found = []
     todo = [(node, path)]
@@ -292,7 +345,7 @@ def _main(node: list, path: str) -> tuple | None:
         if _tag(x) in _MAIN_TAGS and x[3]:
             found.append((x[3], where, x))
         else:
-            todo.extend((c, f"{where}/{c[0]}") for c in x[1])
+            todo.extend((c, f"{where}/{c[0]}") for c in x[1] if c[0][0] != "!" or weight.get(id(c)))
     best = max(found, key=lambda f: f[:2], default=None)
     return best and (best[2], best[1])
 
@@ -300,31 +353,36 @@ def _main(node: list, path: str) -> tuple | None:
 def extract(page: str, spec: dict) -> str:
     """Text of a page by its host's wrapper; a page without the slot by its own tree."""
     root = parse(page)
-    dropped = frozenset(spec["constant"])
-    nodes = _at(root, spec["slot"])
-    path = spec["slot"]
-    if not nodes:
-        own = wrapper(skeleton(root))
-        nodes, path, dropped = _at(root, own["slot"]), own["slot"], frozenset()
-    return "\n".join(b for node in nodes for b in blocks(node, dropped, path))
-
-
-def _at(root: Node, path: str) -> list[Node]:
-    nodes = [root]
-    for label in path.split("/")[1:]:
-        below = []
-        for node in nodes:
-            todo = list(reversed(node.content))
-            while todo:
-                x = todo.pop()
+    return _text(root, spec if _at(root, spec["slots"]) else wrapper(skeleton(root)))
+
+
+def _text(root: Node, spec: dict) -> str:
+    dropped, kept = frozenset(spec["constant"]), frozenset(spec["kept"])
+    return "\n".join(b for node, path in _at(root, spec["slots"]) for b in blocks(node, dropped, path, kept))
+
+
+def _at(root: Node, paths: list[str]) -> list[tuple[Node, str]]:
+    """Nodes at the paths, none of which lies below another, in page order."""
+    ends = set(paths)
+    ways = {path[:at] for path in paths for at in range(len(path)) if path[at] == "/"}
+    found, todo = [], [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        if path in ends:
+            found.append((node, path))
+        elif path in ways:
+            below = []
+            inner = list(reversed(node.content))
+            while inner:
+                x = inner.pop()
                 if isinstance(x, str):
                     continue
                 if x.tag in _INLINE:
-                    todo.extend(reversed(x.content))
-                elif x.label == label and not x.boiler:
-                    below.append(x)
-        nodes = below
-    return nodes
+                    inner.extend(reversed(x.content))
+                elif not x.boiler:
+                    below.append((x, f"{path}/{x.label}"))
+            todo.extend(reversed(below))
+    return found
 
 
 # ---- Spark ------------------------------------------------------------------------------------------

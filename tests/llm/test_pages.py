@@ -98,6 +98,18 @@ def test_a_varying_node_of_a_constant_path_stays():
     assert all(f"New {i}" in found[i] for i in range(4, 8))
 
 
+@pytest.mark.parametrize("names", ["class='content has-sidebar'", "class='entry-content with-banner'", "class='post category-social'", "title='the hidden cost'", "data-x=hidden", "class=sidebar"])
+def test_names_and_values_lose_no_article(names):
+    page = "<body><div class=ads>Buy {0}</div><div %s><h2 id='related-work'>Work {0}</h2><p>Much running text of page {0}</p><section id='social-policy'><p>s{0}</p></section></div><div id=comments>c{0}</div>" % names
+    assert texts_of([page.format(i) for i in range(5)]) == [f"Work {i}\nMuch running text of page {i}\ns{i}" for i in range(5)]
+
+
+def test_headings_paragraphs_and_articles_are_dropped_by_no_name():
+    page = "<body><article class=sponsored><h2 class=header>H{0}</h2><p class=notice>Running text {0}</p><div hidden>no {0}</div><div class='site-header'>b{0}</div></article>"
+    assert texts_of([page.format(i) for i in range(5)]) == [f"H{i}\nRunning text {i}" for i in range(5)]
+    assert html_extract.attributes(" a = 'x class=ad' ID=\"b\" hidden class=c/d e") == {"a": "x class=ad", "id": "b", "hidden": "", "class": "c/d", "e": ""}
+
+
 # ---- URLs ----
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/")]
