@@ -3,9 +3,10 @@
 Pages of one host are made by one program. Their DOM trees, with runs of like siblings folded into one
 node, are aligned by simple tree matching into a template of the host: matched nodes count their
 pages, their text and whether it is the same on all of them. Nodes of constant text are the template; the
-slot whose text varies and holds the most running text is the content. Each page is aligned with its host's
-template, and the blocks of its slot, without nested boilerplate, are its text. Class and id words alone drop
-no element that varies and holds much of its host's text.
+slots whose text varies and holds the most running text are the content. Each page is aligned with its host's
+template, and the blocks of its slots, without nested boilerplate, are its text. An ``article`` or ``main``
+is no slot by its name: it only ends the way down. Class and id words alone drop no element that varies and
+holds much of its host's text.
 
 Each task folds its pages into one template a host, and the tasks' templates are merged in
 a stream sorted by host: a host with a third of all pages costs each task one template. Templates
@@ -32,8 +33,8 @@ from changemill.session import run_dir
 MOST_HOSTS = 20_000
 #: Distinct pages that must agree before text counts as constant.
 AGREE = 3
-#: Part of the text from which a named element that varies is kept.
-KEPT = 1 / 3
+#: Parts of the varying text: of slots together, of each slot, and of a named element that is kept.
+SLOTS, SLOT, KEPT = 0.6, 0.2, 1 / 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: A tag that the end of the page cuts off.
@@ -280,7 +281,7 @@ def merge(a: list, b: list, memo: dict | None = None) -> list:
 
 
 def wrapper(template: list) -> dict:
-    """Path of the content slot, paths of constant containers in them, and of elements kept against their names."""
+    """Paths of the content slots, of constant containers in them, and of elements kept against their names."""
     kept: set[str] = set()
     weight: dict[int, int] = {}
     least = KEPT * template[3]
@@ -303,17 +304,20 @@ def wrapper(template: list) -> dict:
         return weight[id(node)]
 
     weigh(template, "")
-    slot = _main(template, "", weight)
-    if slot is None:  # by text: down to the container that still holds most of it
-        node, path = template, ""
-        while True:
-            inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and weight[id(c)]]
-            best = max(inner, key=lambda c: weight[id(c)], default=None)
-            if best is None or weight[id(best)] < 0.6 * weight[id(node)] or not best[1]:
-                break
-            node, path = best, f"{path}/{best[0]}"
-        slot = (node, path)
-    slots = [slot]
+    slots: list[tuple[list, str]] = []
+    todo = [(template, "")]
+    while todo:
+        node, path = todo.pop()
+        inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and weight[id(c)]]
+        big = [c for c in inner if weight[id(c)] >= SLOT * weight[id(node)]]
+        if any(_tag(c) in _MAIN_TAGS for c in big) and all(_tag(c) in _MAIN_TAGS for c in big):
+            big = [c for c in inner if _tag(c) in _MAIN_TAGS]
+        enough = big and sum(weight[id(c)] for c in big) >= SLOTS * weight[id(node)]
+        of_main = all(_tag(c) in _MAIN_TAGS for c in big)
+        if _tag(node) in _MAIN_TAGS or not enough or (not of_main and (len(big) > 1 or not big[0][1])):
+            slots.append((node, path))
+        else:
+            todo.extend((c, f"{path}/{c[0]}") for c in big)
     constant, varying = set(), set()
     todo = [(c, f"{path}/{c[0]}") for node, path in slots for c in node[1]]
     while todo:
@@ -336,24 +340,10 @@ def _tag(node: list) -> str:
     return node[0].lstrip("!").partition(".")[0]
 
 
-def _main(node: list, path: str, weight: dict[int, int]) -> tuple | None:
-    """The article or main node of most text, if there is one with text."""
-    found = []
-    todo = [(node, path)]
-    while todo:
-        x, where = todo.pop()
-        if _tag(x) in _MAIN_TAGS and x[3]:
-            found.append((x[3], where, x))
-        else:
-            todo.extend((c, f"{where}/{c[0]}") for c in x[1] if c[0][0] != "!" or weight.get(id(c)))
-    best = max(found, key=lambda f: f[:2], default=None)
-    return best and (best[2], best[1])
-
-
 def extract(page: str, spec: dict) -> str:
-    """Text of a page by its host's wrapper; a page without the slot by its own tree."""
+    """Text of a page by its host's wrapper; a page without text in the slots by its own tree."""
     root = parse(page)
-    return _text(root, spec if _at(root, spec["slots"]) else wrapper(skeleton(root)))
+    return _text(root, spec) or _text(root, wrapper(skeleton(root)))
 
 
 def _text(root: Node, spec: dict) -> str:

@@ -110,6 +110,24 @@ def test_headings_paragraphs_and_articles_are_dropped_by_no_name():
     assert html_extract.attributes(" a = 'x class=ad' ID=\"b\" hidden class=c/d e") == {"a": "x class=ad", "id": "b", "hidden": "", "class": "c/d", "e": ""}
 
 
+def test_teasers_in_articles_do_not_hide_the_body():
+    page = "<body><div class=post><h2>T{0}</h2><p>" + "Body text number {0} of the page. " * 8 + "</p></div><div class=more><article class=card>teaser {0}</article><article class=card>more {0}</article></div>"
+    for i, text in enumerate(texts_of([page.format(i) for i in range(5)])):
+        assert text.startswith(f"T{i}\nBody text number {i}") and text.count("Body") == 8 and "teaser" not in text
+
+
+def test_several_articles_of_a_page_are_all_content():
+    page = "<body><p>Menu of all</p><article class=lead><p>Lead {0}</p></article><article class=body><p>" + "Body text number {0}. " * 8 + "</p></article>"
+    found = texts_of([page.format(i) for i in range(5)])
+    assert found == [f"Lead {i}\n" + " ".join([f"Body text number {i}."] * 8) for i in range(5)]
+
+
+def test_a_page_with_an_empty_slot_has_its_own_text():
+    page = "<body><article><h1>T{0}</h1><p>Text of number {0}, a long one</p></article>"
+    pages = [page.format(i) for i in range(5)] + ["<body><article></article><div class=post><p>Other place</p></div>"]
+    assert texts_of(pages)[5] == "Other place"
+
+
 # ---- URLs ----
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/")]
