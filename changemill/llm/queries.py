@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, fingerprint, html_extract, line_dedup, ngram_join, packing, quality, secret_scan, token_store, url_filter
+from changemill.llm import bpe, fingerprint, html_extract, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, token_store, url_filter
 from changemill.llm.common import whole
 from changemill.session import run_dir
 
@@ -132,3 +132,18 @@ def op7_html_text(spark, sf_dir):
     """Main text of every page by its host's wrapper."""
     pages = html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: Tokens of a document that are too many.
+LIMIT = 2048
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    """Counts every text's tokens by the store of its prefixes' counts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = token_counts.prefix_counts(docs, public_tokenizers.path(WORDS))
+    n_tokens = token_counts.total()
+    return docs.select(
+        "doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), n_tokens.alias("n_tokens"), (n_tokens > LIMIT).alias("over_limit")
+    )
