@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.llm import bpe, fingerprint, html_extract, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, token_store, url_filter
-from changemill.llm.common import whole
+from changemill.llm import bpe, fingerprint, hard_negatives, html_extract, line_dedup, ngram_join, packing, periodic_runs, quality, secret_scan, token_counts, token_store, url_filter
+from changemill.llm.common import let, whole, words
 from changemill.session import run_dir
 
 QUERIES = {}
@@ -147,3 +147,44 @@ def op12_token_counts(spark, sf_dir):
     return docs.select(
         "doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), n_tokens.alias("n_tokens"), (n_tokens > LIMIT).alias("over_limit")
     )
+
+
+def _planted(key: str, text: str) -> Column:
+    """Words of a text; in one document of ten a block of them, chosen by its id, repeats to the end."""
+    h = F.crc32(F.col(key).cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+        block = F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))
+        made = F.concat(F.slice(w, F.lit(1), a), F.slice(F.flatten(block), F.lit(1), n - a))
+        return F.when((h % 10 == 0) & (n > 0), made).otherwise(w)
+
+    return let(words(whole(text)), repeat)
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    """Finds every text's periodic runs of words and collapses them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = periodic_runs.find_runs(docs, of_words=_planted("doc_id", "text")).drop("text")
+    runs = F.col("periodic")["runs"]
+    docs = docs.withColumn("best", periodic_runs.longest_repeat(runs))
+    best = {c: F.col("best")[c] for c in ("start", "length", "period")}
+    return docs.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), *[c.alias(name) for name, c in best.items()],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        _sha(periodic_runs.as_text(runs)).alias("runs_sha256"), _sha(F.array_join(F.col("periodic")["kept"], " ")).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Mines negatives for every anchor's positives from integer vectors; every seventh id's label is off by one."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = hard_negatives.usable(rows, "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives.mine(rows.select("vec_id", vector.alias("vector"), label.alias("label")), F.col("vec_id") % 50 == 0)
