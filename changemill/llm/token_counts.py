@@ -16,11 +16,13 @@ is read on the driver and travels with the tasks (a few MB, whatever the data).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,17 @@ from pyspark.sql import types as T
 
 from changemill.llm.common import slices, whole
 
-#: Words whose steps, and pairs of tokens whose verdicts, a worker remembers; beyond it the memory
-#: starts anew. Speed only.
+#: Words whose steps, prefixes of pre-tokens whose last tokens, and pairs of tokens whose verdicts a
+#: worker remembers; beyond it the memory starts anew. Prefixes up to so many bytes. Speed only.
 MEMO_WORDS = 400_000
+MEMO_PREFIXES = 600_000
 MEMO_PAIRS = 1_000_000
+LONGEST_PREFIX = 24
 STORE = "struct<total:bigint,width:int,steps:binary>"
+#: Words whose letter case and pre-tokens are a matter of single code points: printable ASCII and Latin letters.
+_LATIN = regex.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+").fullmatch
 _NEVER = 1 << 60
+_COUNT = (1 << 32) - 1
 #: Runs without the white space of Unicode's property, which is the library's.
 _DARK = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -65,6 +72,7 @@ class PrefixCounts:
     def __init__(self, spec: str):
         self.spec, self.key = spec, hashlib.sha256(spec.encode()).hexdigest()
         self.memo: dict[str, bytes | list[int]] = {}
+        self.prefixes: dict[bytes, int] = {}
         self.pairs: dict[int, bool] = {}
         self.model = None
 
@@ -118,18 +126,19 @@ class PrefixCounts:
         grows = all(made[part][2] < at for a, b, at in made.values() for part in (a, b) if part in made)
         if not grows:
             raise ValueError("an entry is merged before its parts")
-        #: Entries and their beginnings: the id without and with a word end, -1 for none.
-        self.entries: dict[bytes, tuple[int, int]] = {}
+        #: A tree of the entries' bytes from the last to the first. A node is the next nodes by byte, and the
+        #: ids of the entry that begins there without and with a word end, -1 for none.
+        self.endings: list = [{}, -1, -1]
         self.spines: dict[int, tuple] = {}
         for token, i in vocabulary.items():
             bare = token.removesuffix(end)
             if not bare or not all(c in self.raw_of for c in bare) or (len(bare) > 1 and not self._stays(i)):
                 continue
-            raw = bytes(map(self.raw_of.__getitem__, bare))
-            opened, closed = self.entries.get(raw, (-1, -1))
-            self.entries[raw] = (opened, i) if bare != token else (i, closed)
-            for k in range(1, len(raw)):
-                self.entries.setdefault(raw[:k], (-1, -1))
+            node = self.endings
+            for c in reversed(bare):
+                node = node[0].setdefault(self.raw_of[c], [{}, -1, -1])
+            node[1 if bare == token else 2] = i
+        gc.freeze()  # the tables stay: looking through them again and again takes longer than the work
 
     def _stays(self, token: int) -> bool:
         """Is the entry the encoding of its own text? Its two parts must meet as one merge."""
@@ -181,37 +190,56 @@ class PrefixCounts:
 
     # ---- Pre-tokens, words, texts ----
 
-    def _counts(self, raw: bytes) -> list[int]:
-        """Tokens of each prefix of a pre-token's bytes, closed by the word end, that ends with a code point.
+    def _prefix(self, raw: bytes, i: int, before: list[int]) -> int:
+        """State of the prefix of ``i`` bytes: its last token (and one) and count where the word goes on, and its
+        count where it is closed, 32 bits each in one integer.
 
-        From each place on, with its last token known, go the entries that begin there, as far as any
-        does. The longest entry comes first to an end, and only one fits.
+        The entries that end here are found byte by byte backwards; the longest are tried first, and one fits.
         """
-        known, pairs, fits = self.entries.get, self.pairs.get, self.fits
-        n = len(raw)
-        last, count, out = [-1] * n, [0] * n, [0] * n
-        for at in range(n):
-            before, base = last[at - 1], count[at - 1]
-            for i in range(at, n):
-                entry = known(raw[at : i + 1])
-                if entry is None:
-                    break
-                opened, closed = entry
-                if opened >= 0 and last[i] < 0:
-                    fit = not at or pairs(before << 20 | opened)
-                    if fit is None:
-                        fit = fits(before, opened)
-                    if fit:
-                        last[i], count[i] = opened, base + 1
-                if closed >= 0 and not out[i]:
-                    fit = not at or pairs(before << 20 | closed)
-                    if fit is None:
-                        fit = fits(before, closed)
-                    if fit:
-                        out[i] = base + 1
+        nodes, pairs = self.endings[0], self.pairs.get
+        opened, closed = [], []
+        for at in range(i - 1, -1, -1):
+            node = nodes.get(raw[at])
+            if node is None:
+                break
+            nodes, open_token, closed_token = node
+            if open_token >= 0:
+                opened.append((before[at], at, open_token))
+            if closed_token >= 0:
+                closed.append((before[at], at, closed_token))
+        state = 0
+        for last, at, token in reversed(opened):
+            fits = not at or pairs((last >> 64) << 20 | token)
+            if fits is None:
+                fits = self.fits(last >> 64, token)
+            if fits:
+                state = token << 64 | ((last >> 32 & _COUNT) + 1) << 32
+                break
+        for last, at, token in reversed(closed):  # none inside of a code point
+            fits = not at or pairs((last >> 64) << 20 | token)
+            if fits is None:
+                fits = self.fits(last >> 64, token)
+            if fits:
+                return state | (last >> 32 & _COUNT) + 1
+        return state
+
+    def _counts(self, raw: bytes) -> list[int]:
+        """Tokens of each prefix of a pre-token's bytes, closed by the word end, that ends with a code point.
+        Prefixes that pre-tokens share are worked out once."""
+        known, before, n = self.prefixes, [0], len(raw)
+        for i in range(1, min(n, LONGEST_PREFIX) + 1):
+            head = raw[:i]
+            state = known.get(head)
+            if state is None:
+                if len(known) >= MEMO_PREFIXES:
+                    known.clear()
+                state = known[head] = self._prefix(raw, i, before)
+            before.append(state)
+        for i in range(LONGEST_PREFIX + 1, n + 1):
+            before.append(self._prefix(raw, i, before))
         if raw.isascii():
-            return out
-        return [c for i, c in enumerate(out, 1) if i == n or raw[i] & 0xC0 != 0x80]
+            return [state & _COUNT for state in before[1:]]
+        return [state & _COUNT for i, state in enumerate(before) if i and (i == n or raw[i] & 0xC0 != 0x80)]
 
     def _piece(self, piece: str) -> list[int]:
         """Counts of the prefixes of a pre-token. A contraction is one only as a whole."""
@@ -221,9 +249,9 @@ class PrefixCounts:
         return self._counts(piece.encode())
 
     def _joined(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for piece in pieces:
-            base = out[-1] if out else 0
+        out = self._piece(pieces[0]) if pieces else []
+        for piece in pieces[1:]:
+            base = out[-1]
             out += [base + c for c in self._piece(piece)]
         return out
 
@@ -245,7 +273,9 @@ class PrefixCounts:
         joins no prefix ends: there the count is that of the last prefix before it."""
         if self.model is None:
             self._prepare()
-        if word.isascii() and word.isprintable() and " " not in word:
+        if word.isascii() and word.isalpha():
+            return self._counts(word.lower().encode())
+        if _LATIN(word):
             return self._joined(self.find_all(word.lower()))
         out, at = [], 0
         for part in _DARK.finditer(word):
@@ -271,10 +301,10 @@ class PrefixCounts:
     def _steps(self, word: str) -> bytes | list[int]:
         """Steps of a word: bytes where each fits into one."""
         found = self.counts(word)
-        steps = [b - a for a, b in zip([0, *found], found, strict=False)]
-        if all(-128 <= s < 128 for s in steps):
-            return bytes([s & 255 for s in steps])
-        return steps
+        steps = list(map(sub, found, [0, *found]))
+        if not steps or (min(steps) >= 0 and max(steps) < 128):
+            return bytes(steps)
+        return bytes([s & 255 for s in steps]) if -128 <= min(steps) and max(steps) < 128 else steps
 
     def _plain(self, text: str) -> list[bytes | list[int]]:
         """Steps of the words and of the blanks between them."""
