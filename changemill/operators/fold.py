@@ -48,7 +48,7 @@ def latest_with_image(feed: DataFrame, keys: Sequence[str], order: str = "off",
     """Like :func:`latest_per_key`, but a delete without values keeps those of the key's last
     change that had some. Associative as well: a delete that was folded holds its image."""
     carried = [c for c in feed.columns if c not in keys]
-    values = [c for c in carried if c not in (order, op, "part")]
+    values = [c for c in carried if c not in (order, op, "part", "off")]
     if not values:
         return latest_per_key(feed, keys, order)
     has_image = F.col(op).isin(*LIVE_OPS)

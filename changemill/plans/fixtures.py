@@ -41,6 +41,15 @@ VIEWS: dict[str, str] = {
                     WHEN event_type = 'error' THEN 'd' ELSE 'u' END AS op,
                ts, user_id, event_type, value, props
         FROM events""",
+    # The same changes dealt by key over six partitions, each with its own offsets; the source position is left
+    # to compare them. In the lagging feed the last partition has been read to the middle only.
+    "partitioned_feed": """
+        SELECT topic, CAST(floor(user_id / 4) % 6 AS INT) AS part,
+               row_number() OVER (PARTITION BY topic, floor(user_id / 4) % 6 ORDER BY off) - 1 AS off,
+               off AS pos, op, user_id, event_type, value
+        FROM feed""",
+    "lagging_feed": """
+        SELECT * FROM partitioned_feed WHERE part < 5 OR 2 * pos <= (SELECT max(pos) FROM partitioned_feed)""",
     "orders_feed": """
         SELECT concat('client_1_db_2_v_1.shop.', CASE WHEN o_orderkey IS NULL THEN 'none' ELSE 'orders' END) AS topic,
                0 AS part, o_orderkey AS off,

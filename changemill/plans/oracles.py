@@ -481,6 +481,22 @@ WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE
 SELECT CASE WHEN topic LIKE '%users_3' THEN 'people' ELSE concat('shop_', split_part(topic, '.', 3)) END AS target_table, user_id, event_type, value, off
 FROM w WHERE op <> 'd'"""
 SQL["stream_dead_letters"] = "SELECT topic, off, damage AS error_class FROM damaged_feed WHERE damage IS NOT NULL AND topic NOT LIKE '%users_1'"
+_BARRIERS = """
+WITH v AS (SELECT topic, part, max(pos) AS pos, max(off) + 1 AS next FROM {feed} GROUP BY topic, part),
+b AS (SELECT topic, CASE WHEN count(*) >= 6 THEN min(pos) END AS reached FROM v GROUP BY topic),
+t AS (SELECT f.topic, f.part, f.off, f.pos, coalesce(f.pos <= b.reached, false) AS released FROM {feed} f JOIN b ON f.topic = b.topic WHERE f.op = 't'),
+last AS (SELECT topic, max(pos) AS pos FROM t WHERE released GROUP BY topic),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic, user_id ORDER BY pos DESC) AS n FROM {feed} WHERE op <> 't'),
+w AS (SELECT r.topic, r.part, r.user_id, r.event_type, r.value, r.off, r.pos FROM r LEFT JOIN last ON r.topic = last.topic
+      WHERE r.n = 1 AND r.op <> 'd' AND (last.pos IS NULL OR r.pos > last.pos))"""
+SQL["partitioned_state"] = SQL["stream_partitioned_state"] = _BARRIERS.format(feed="partitioned_feed") + " SELECT * FROM w"
+SQL["stream_lagging_partition_state"] = _BARRIERS.format(feed="lagging_feed") + " SELECT * FROM w"
+SQL["pending_truncates"] = SQL["stream_pending_truncates"] = (
+    _BARRIERS.format(feed="lagging_feed") + " SELECT topic, part, off, pos FROM t WHERE NOT released"
+)
+SQL["stream_commit_positions"] = _BARRIERS.format(feed="lagging_feed") + """
+SELECT v.topic, v.part, least(v.next, coalesce(p.first, v.next)) AS commit_position
+FROM v LEFT JOIN (SELECT topic, part, min(off) AS first FROM t WHERE NOT released GROUP BY topic, part) AS p ON v.topic = p.topic AND v.part = p.part"""
 SQL["stream_events_per_op_window"] = """
 SELECT date_trunc('hour', ts) AS window_start, topic, op, count(*) AS n FROM feed
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM feed) - INTERVAL 10 MINUTE GROUP BY 1, 2, 3"""

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from changemill.functions import decode, envelope, names, types
 from changemill.operators import (
+    barriers,
     ddl,
     evolve,
     fold,
@@ -63,6 +64,19 @@ def truncate_aware_state(spark, sf_dir):
     return fold.truncate_aware_state(user_feed(spark, sf_dir), USER_KEYS).select(*STATE_COLUMNS)
 
 
+@query
+def partitioned_state(spark, sf_dir):
+    """Truncate-aware state of keyed topics of six partitions, compared by source position."""
+    rows = barriers.partitioned_state(view(spark, sf_dir, "partitioned_feed"), USER_KEYS, partitions=6)
+    return rows.select("topic", "part", "user_id", "event_type", "value", "off", "pos")
+
+
+@query
+def pending_truncates(spark, sf_dir):
+    """Truncates that a partition has not come to yet."""
+    return barriers.pending_truncates(view(spark, sf_dir, "lagging_feed"), partitions=6).select("topic", "part", "off", "pos")
+
+
 @query
 def latest_change(spark, sf_dir):
     """Last change of every key whatever its operation, deletes included."""

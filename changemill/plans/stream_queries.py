@@ -134,6 +134,46 @@ def _all_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows, rejects
 
 
+def _partitioned(spark: SparkSession, sf_dir: str, feed: str) -> Pipeline:
+    """A pipeline over topics of six partitions, which come one after the other: truncates arrive early in the
+    first ones, and each waits for the partitions that are behind it."""
+    folder = run_dir(spark, "partitions")
+    messages = envelope.encode_envelope(view(spark, sf_dir, feed), ["user_id", "event_type", "value"], ["user_id"])
+    shaped = messages.withColumn("ts", F.lit(None).cast("timestamp_ntz")).select(*FEED_SCHEMA.names)
+    shaped.repartitionByRange(FILES, "part", "off").write.parquet(f"{folder}/feed")
+    tables = tuple(TableSpec("shop", f"users_{i}", USER_ROW, ("user_id",)) for i in range(4))
+    spec = PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual", ordering="position", partitions=6)
+    pipeline = Pipeline(spark, spec, folder, f"q_{folder.rsplit('-', 1)[1][:12]}", buckets=8, compact_every=2)
+    pipeline.run(read_files(spark, f"{folder}/feed", True, FILES_PER_BATCH), f"{folder}/checkpoint").awaitTermination()
+    return pipeline
+
+
+@query
+def stream_partitioned_state(spark, sf_dir):
+    """Keyed topics of six partitions: rows compare by source position, truncates wait for all partitions."""
+    pipeline = _partitioned(spark, sf_dir, "partitioned_feed")
+    return union_feeds([pipeline.state(t).current().select("topic", "part", "user_id", "event_type", "value", "off", "pos") for t in pipeline.spec.tables])
+
+
+@query
+def stream_lagging_partition_state(spark, sf_dir):
+    """The same while one partition is behind: truncates that it has not come to have no effect yet."""
+    pipeline = _partitioned(spark, sf_dir, "lagging_feed")
+    return union_feeds([pipeline.state(t).current().select("topic", "part", "user_id", "event_type", "value", "off", "pos") for t in pipeline.spec.tables])
+
+
+@query
+def stream_pending_truncates(spark, sf_dir):
+    """Truncates that wait for the partition that is behind."""
+    return _partitioned(spark, sf_dir, "lagging_feed").pending_truncates().select("topic", "part", "off", "pos")
+
+
+@query
+def stream_commit_positions(spark, sf_dir):
+    """What may be committed meanwhile: never past a pending truncate."""
+    return _partitioned(spark, sf_dir, "lagging_feed").commit_positions()
+
+
 @query
 def stream_evolved_state(spark, sf_dir):
     """Change stream with DDL between its changes: rows keep their offset in the state, and the

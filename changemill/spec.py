@@ -15,6 +15,7 @@ from changemill.sources.snapshot import SNAPSHOT_MODES
 SYNC_TYPES = ("full", "incremental", "realtime")
 INSERT_MODES = ("upsert", "insert", "update")
 DELETE_MODES = ("hard", "soft", "ignore")
+ORDERINGS = ("offset", "position")
 KEY_MODES = ("none", "kafka", "record_key", "record_value")
 FREQUENCY_MINUTES = {"1min": 1, "5min": 5, "15min": 15, "30min": 30, "hourly": 60, "daily": 1440}
 SINK_BATCH_ROWS = 3000
@@ -58,6 +59,11 @@ class PipelineSpec:
     tolerance: str = "none"
     drop_before_sync: bool = False
     auto_execute_destructive: bool = False
+    #: What changes compare by: the feed's offsets, or the source's log position, which truncates of a topic
+    #: of several partitions need.
+    ordering: str = "offset"
+    #: Partitions of a topic; None takes those seen so far for all.
+    partitions: int | None = None
 
     @property
     def prefix(self) -> str:
@@ -74,6 +80,7 @@ class PipelineSpec:
             ("insert mode", self.insert_mode, INSERT_MODES), ("key mode", self.key_mode, KEY_MODES),
             ("delete mode", self.delete_mode, DELETE_MODES), ("snapshot mode", self.snapshot_mode, SNAPSHOT_MODES),
             ("sync type", self.sync_type, SYNC_TYPES), ("tolerance", self.tolerance, ("none", "all")),
+            ("ordering", self.ordering, ORDERINGS),
             ("frequency", self.frequency, ("realtime", "manual", *FREQUENCY_MINUTES)),
         ]
         found += [f"unknown {what} {value!r}" for what, value, known in checks if value not in known]

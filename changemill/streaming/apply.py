@@ -99,9 +99,13 @@ class Pipeline:
     def state(self, table: TableSpec) -> StateTable:
         return StateTable(
             self.spark, f"{self.name}_{table.target}", ["topic", *table.keys], self.location, buckets=self.buckets,
-            keep_images=self.spec.delete_mode == "soft",
+            keep_images=self.spec.delete_mode == "soft", order=self.order, partitions=self.spec.partitions,
         )
 
+    @property
+    def order(self) -> str:
+        return "pos" if self.spec.ordering == "position" else "off"
+
     def rows_of(self, batch: DataFrame, table: TableSpec) -> DataFrame:
         """Decoded rows of one table of a batch, with ``_error`` for those that do not fit."""
         if not table.row.fields:
@@ -111,10 +115,7 @@ class Pipeline:
             & (F.col("source_schema") == table.source_schema)
             & (F.col("source_table") == table.source_table)
         ).select(*batch.columns)
-        decoded = decode_envelope(mine, table.row, table.keys)
-        # Offsets order a table only inside one partition, and a truncate needs that order.
-        unordered = F.when(F.col("part") != 0, F.lit("unordered_partition"))
-        decoded = decoded.withColumn("_error", F.coalesce("_error", unordered))
+        decoded = decode_envelope(mine, table.row, table.keys, position=self.order == "pos")
         if not table.casts:
             return decoded
         cast = conform(decoded, table.casts)
@@ -177,9 +178,9 @@ class Pipeline:
         rest = rows.where(~F.col("op").isin(*LIVE_OPS))
         found = state.current(number).select(*keys) if state.has_rows_before(number) else rows.limit(0).select(*keys)
         if self.spec.insert_mode == "update":
-            live = update_mode_changes(keyed, keys)
+            live = update_mode_changes(keyed, keys, self.order)
             return cut_lineage(live.join(found, keys, "left_semi").unionByName(rest)), None
-        accepted, refused = split_insert_mode(found, keyed, keys)
+        accepted, refused = split_insert_mode(found, keyed, keys, self.order)
         return cut_lineage(accepted.unionByName(rest)), cut_lineage(refused)
 
     def target_rows(self, table: TableSpec, operations: Sequence[Row] = ()) -> DataFrame:
@@ -190,6 +191,16 @@ class Pipeline:
         columns = {f.name: f.dataType.simpleString() for f in table.row.fields if f.name not in table.keys}
         return evolve_rows(rows, operations, columns, one_table=True) if operations else rows
 
+    def pending_truncates(self) -> DataFrame:
+        """Truncates of the enabled tables that wait for a partition: (target_table, topic, part, off, ...)."""
+        return union_feeds(
+            [self.state(t).pending().select(F.lit(t.target).alias("target_table"), "*") for t in self.spec.enabled_tables]
+        )
+
+    def commit_positions(self) -> DataFrame:
+        """Offsets that a consumer group may commit: (topic, part, commit_position), never past a pending truncate."""
+        return union_feeds([self.state(t).commit_positions() for t in self.spec.enabled_tables])
+
     def constraint_violations(self) -> DataFrame:
         """Declared keys and references that the targets break: (target_table, kind, columns, n)."""
         found = []

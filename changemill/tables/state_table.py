@@ -7,8 +7,13 @@
                     it already partitioned.
 ``<name>_versions`` one row per compaction: the base and the batch it reaches.
 
+Rows compare by ``order``. By offset (the default) a truncate wipes the earlier rows of its own partition. By
+source position it wipes those of its table, once every partition has come to its position; till then it is
+pending. Truncates are kept until one after them is released; the base also holds the last position of each
+partition, as rows of operation ``p``, since the rows that had it may be gone.
+
 Applying a batch costs the batch, not the state. Reading folds the changes since the base and
-anti-joins their keys from the base. Where a table format with MERGE is configured,
+anti-joins their keys from the base; nothing is cached, so a replayed batch is never read from files it has replaced. Where a table format with MERGE is configured,
 ``merge_into`` writes straight into it instead.
 """
 
@@ -19,8 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemill.operators.fold import LIVE_OPS, last_truncates, latest_per_key, latest_with_image
-from changemill.session import measured
+from changemill.operators.barriers import barrier_floor, position_vector, with_release
+from changemill.operators.fold import LIVE_OPS, latest_per_key, latest_with_image
+from changemill.operators.truncates import commit_positions
+
+#: Rows of a state that are not rows of its table: truncates and positions of partitions.
+MARKS = ("t", "p")
 
 
 class StateTable:
@@ -35,6 +44,7 @@ class StateTable:
         op: str = "op",
         buckets: int = 200,
         keep_images: bool = False,
+        partitions: int | None = None,
     ):
         if table not in keys:
             raise ValueError(f"the keys of a state table include its table column {table!r}")
@@ -42,7 +52,8 @@ class StateTable:
         self.location, self.buckets = location, buckets
         self.table, self.order, self.op = table, order, op
         self.keep_images = keep_images  # deleted rows keep the values of their last live change
-        self._held: list[DataFrame] = []
+        self.partitions = partitions  # of a topic; None takes those seen so far for all
+        self.by_position = order != "off"
 
     # -- writing ---------------------------------------------------------------------------
     def apply(self, batch: DataFrame, batch_id: int) -> bool:
@@ -77,9 +88,9 @@ class StateTable:
         if not batches:
             return
         through, version = max(batches), self._version() + 1
-        rows = self._folded().unionByName(self._markers(), allowMissingColumns=True)
+        rows = self._folded().unionByName(self._lasting_marks(), allowMissingColumns=True)
         if purge_deletes_before is not None:
-            rows = rows.where((F.col(self.op) != "d") | (F.col(self.order) >= purge_deletes_before))
+            rows = rows.where((F.col(self.op) != "d") | (F.col("off") >= purge_deletes_before))
         base = f"{self.name}_base_{version}"
         # The same hash decides shuffle partition and bucket: one file per bucket.
         rows = rows.repartition(self.buckets, *self.keys)
@@ -93,7 +104,6 @@ class StateTable:
         self.spark.sql(f"ALTER TABLE {self.name}_changes DROP IF EXISTS {covered}")
         if version > 1:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version - 2}")
-        self.release()
 
     def maybe_compact(self, max_batches: int) -> bool:
         """Compact once so many batches lie on top of the base, which bounds what a read folds."""
@@ -106,13 +116,7 @@ class StateTable:
         """Whether a batch is part of the base already; its replay has nothing left to do."""
         return batch_id <= self._reach()
 
-    def release(self) -> None:
-        """Free what reading the state has cached."""
-        while self._held:
-            self._held.pop().unpersist()
-
     def drop(self) -> None:
-        self.release()
         for version in range(self._version() + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version}")
         for part in ("changes", "versions"):
@@ -136,36 +140,49 @@ class StateTable:
         return self._version() > 0 or any(b < batch_id for b in self._batches())
 
     def positions(self) -> DataFrame:
-        """Greatest applied offset per table."""
-        rows = [df.select(self.table, self.order) for df in (self._base(), self._recent()) if df is not None]
-        both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-        return both.groupBy(self.table).agg(F.max(self.order).alias(self.order))
+        """Greatest applied offset or position per table."""
+        return self.vector().groupBy(self.table).agg(F.max(self.order).alias(self.order))
+
+    def vector(self, before_batch: int | None = None) -> DataFrame:
+        """Last applied offset or position of each partition of each table."""
+        return position_vector(self._all(before_batch), self.table, "part", self.order)
+
+    def pending(self) -> DataFrame:
+        """Truncates that have not taken effect: (table, part, off, order column)."""
+        columns = list(dict.fromkeys([self.table, "part", "off", self.order]))
+        return self._truncates().where("NOT released").select(*columns)
+
+    def commit_positions(self) -> DataFrame:
+        """Offset to commit for each partition: the next one to read, but never past a pending truncate."""
+        table = F.col(self.table).alias("topic")
+        reached = self._all().groupBy(table, "part").agg((F.max("off") + 1).alias("position"))
+        return commit_positions(reached, self.pending().select(table, "part", "off"))
 
     def next_batch(self) -> int:
         """First free batch number: where a new stream over the same state starts counting."""
         return max([self._reach(), *self._batches()]) + 1
 
-    def _hold(self, df: DataFrame) -> DataFrame:
-        self._held.append(measured(df))
-        return self._held[-1]
-
     # -- parts -----------------------------------------------------------------------------
     def _writer(self, df: DataFrame, part: str):
         writer = df.write.format("parquet")
         return writer.option("path", f"{self.location}/{self.name}_{part}") if self.location else writer
 
     def _with_markers(self, batch: DataFrame) -> DataFrame:
-        """The batch folded in one pass: truncates have no key, so the last one of a table is the
-        row of its null key."""
+        """The batch folded in one pass: truncates have no key and are kept each, as rows of a null key."""
+        if "part" not in batch.columns:
+            batch = batch.withColumn("part", F.lit(0))
+        if self.order not in batch.columns:
+            raise ValueError(f"the rows have no column {self.order}")
         keyless = {
             key: F.when(F.col(self.op) != "t", F.col(key)) for key in self.keys if key != self.table
         }
-        return self._latest(batch.withColumns(keyless))
+        truncate = F.when(F.col(self.op) == "t", F.struct("part", "off"))
+        return self._latest(batch.withColumns({**keyless, "_truncate": truncate}), [*self.keys, "_truncate"]).drop("_truncate")
 
-    def _latest(self, rows: DataFrame) -> DataFrame:
+    def _latest(self, rows: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
         if self.keep_images:
-            return latest_with_image(rows, self.keys, self.order, self.op)
-        return latest_per_key(rows, self.keys, self.order)
+            return latest_with_image(rows, keys or self.keys, self.order, self.op)
+        return latest_per_key(rows, keys or self.keys, self.order)
 
     def _add_columns(self, table: str, df: DataFrame) -> None:
         """Basic evolution: columns a batch brings in are added to the table as nullable."""
@@ -208,12 +225,36 @@ class StateTable:
         rows = self.spark.table(changes).where(F.col("batch_id") > self._reach())
         return (rows if before_batch is None else rows.where(F.col("batch_id") < before_batch)).drop("batch_id")
 
-    def _markers(self, before_batch: int | None = None) -> DataFrame:
-        parts = [df.where(F.col(self.op) == "t") for df in (self._base(), self._recent(before_batch)) if df is not None]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-        return last_truncates(rows, self.table, self.order, self.op).select(
-            self.table, F.col("_t_off").alias(self.order), F.lit("t").alias(self.op)
-        )
+    def _all(self, before_batch: int | None = None) -> DataFrame:
+        """Places and operations of all rows, marks included."""
+        columns = list(dict.fromkeys([self.table, "part", "off", self.order, self.op]))
+        parts = [df.select(*columns) for df in (self._base(), self._recent(before_batch)) if df is not None]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _truncates(self, before_batch: int | None = None) -> DataFrame:
+        """Truncates that the state knows, with ``released``."""
+        rows = self._all(before_batch).where(F.col(self.op) == "t")
+        if not self.by_position:
+            return rows.withColumn("released", F.lit(True))
+        floor = barrier_floor(self.vector(before_batch), self.table, self.order, self.partitions)
+        return with_release(rows, floor, self.table, self.order)
+
+    def _wiped(self, before_batch: int | None = None) -> DataFrame:
+        """Order up to which a table, or a partition of it, is empty: (table, part or not, ``_t_off``)."""
+        released = self._truncates(before_batch).where("released")
+        return released.groupBy(*self._scope).agg(F.max(self.order).alias("_t_off"))
+
+    @property
+    def _scope(self) -> list[str]:
+        return [self.table] if self.by_position else [self.table, "part"]
+
+    def _lasting_marks(self) -> DataFrame:
+        """Marks of a new base: the last released truncates, the pending ones, and the last positions."""
+        columns = list(dict.fromkeys([self.table, "part", "off", self.order, self.op]))
+        truncates = self._truncates().join(self._wiped(), self._scope, "left")
+        lasting = truncates.where((~F.col("released")) | (F.col(self.order) == F.col("_t_off"))).select(*columns)
+        last = self._all().groupBy(self.table, "part").agg(*[F.max(c).alias(c) for c in dict.fromkeys(["off", self.order])])
+        return lasting.distinct().unionByName(last.withColumn(self.op, F.lit("p")).select(*columns))
 
     def _folded(self, before_batch: int | None = None) -> DataFrame:
         """One row per key: recent changes over the base, minus what truncates wiped out."""
@@ -221,13 +262,13 @@ class StateTable:
         if base is None and recent is None:
             raise ValueError(f"state table {self.name} has no data yet")
         if recent is None:
-            rows = base.where(F.col(self.op) != "t")
+            rows = base.where(~F.col(self.op).isin(*MARKS))
         else:
-            rows = self._latest(recent.where(F.col(self.op) != "t"))
+            rows = self._latest(recent.where(~F.col(self.op).isin(*MARKS)))
             if base is not None:
-                rows = self._over_base(base, self._hold(rows))
-        marks = self._hold(self._markers(before_batch).select(self.table, F.col(self.order).alias("_t_off")))
-        kept = rows.join(marks, self.table, "left").where(
+                rows = self._over_base(base, rows)
+        marks = self._wiped(before_batch)
+        kept = rows.join(marks, self._scope, "left").where(
             F.col("_t_off").isNull() | (F.col(self.order) > F.col("_t_off"))
         )
         return kept.select(*rows.columns)
@@ -239,7 +280,7 @@ class StateTable:
         both sides are compared by order, one row per key on each side.
         """
         newer = recent.select(*self.keys, F.col(self.order).alias("_new"))
-        older = base.where(F.col(self.op) != "t")
+        older = base.where(~F.col(self.op).isin(*MARKS))
         kept = older.join(newer, self.keys, "left").where(
             F.col("_new").isNull() | (F.col("_new") < F.col(self.order))
         ).drop("_new")
@@ -251,7 +292,7 @@ class StateTable:
 
     def _with_base_images(self, older: DataFrame, recent: DataFrame) -> DataFrame:
         """Deletes whose batches saw no values of the row take those of the base."""
-        values = [c for c in recent.columns if c in older.columns and c not in (*self.keys, self.order, self.op, "part")]
+        values = [c for c in recent.columns if c in older.columns and c not in (*self.keys, self.order, self.op, "part", "off")]
         if not values:
             return recent
         bare = F.col(self.op) == "d"

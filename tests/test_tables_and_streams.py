@@ -292,14 +292,15 @@ def test_compaction_inside_the_stream_and_replays_after_it(spark, rows):
     assert read_dead_letters(spark, f"{folder}/dead_letters/shop_a").count() == 0
 
 
-def test_rows_of_a_second_partition_are_refused(spark, rows):
+def test_rows_of_a_second_partition_are_applied(spark, rows):
     folder = run_dir(spark, "partitions")
     topic = "client_1_db_2_v_1.shop.a"
     path = feed_files(spark, [(topic, 0, 1, "c", 1, "x"), (topic, 1, 1, "t", None, None)], folder, 1)
     pipeline = Pipeline(spark, spec(tolerance="all"), folder, "partitions")
     pipeline.run(read_files(spark, path, True), f"{folder}/ck").awaitTermination()
     assert rows(pipeline.target_rows(pipeline.spec.tables[0]), "id") == [(1,)]
-    assert rows(read_dead_letters(spark, f"{folder}/dead_letters/shop_a"), "part", "error_class") == [(1, "unordered_partition")]
+    # a truncate empties its own partition: offsets do not compare with those of others
+    assert rows(read_dead_letters(spark, f"{folder}/dead_letters/shop_a"), "part", "error_class") == []
 
 
 def test_delete_modes(spark, rows):
