@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from changemill.llm.common import slices, whole
 
 _MASK = (1 << 64) - 1
-#: Chunks whose ids a worker remembers; beyond it the memory starts anew. Speed only.
-MEMO_CHUNKS = 600_000
+#: Chunks and pre-tokens whose ids a worker remembers; beyond it the memory starts anew. Speed only.
+MEMO_CHUNKS = 400_000
+MEMO_PIECES = 400_000
 #: Keys of one bucket of the perfect hash, on average.
 _BUCKET = 2
 #: The part of a heap entry that has the start within a pre-token.
@@ -83,17 +85,18 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else -1
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge_bytes(piece: bytes, ranks: dict[bytes, int], single: list[int], double: list[int]) -> list[int]:
     """Ids of a pre-token outside the vocabulary: a heap of pairs over linked bytes.
 
     A heap entry is rank and start of a pair in one integer; it is stale when the pair that now
-    starts there has another rank.
+    starts there has another rank. ``single`` and ``double`` hold the ranks of one and two bytes, -1 for none.
     """
     n = len(piece)
     after = list(range(1, n + 2))  # the part at i is piece[i:after[i]]
     before = list(range(-1, n))
+    ids = [single[b] for b in piece]  # of the part at i; -1 inside of a part
     find, push, pop = ranks.get, heapq.heappush, heapq.heappop
-    pair = [find(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair = [double[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
     pair.append(-1)
     heap = [rank << 40 | i for i, rank in enumerate(pair) if rank >= 0]
     heapq.heapify(heap)
@@ -104,7 +107,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             continue
         j = after[i]
         stop = after[i] = after[j]
-        pair[j] = -1
+        ids[i], ids[j], pair[j] = rank, -1, -1
         if stop < n:
             before[stop] = i
             pair[i] = rank = find(piece[i : after[stop]], -1)
@@ -114,14 +117,12 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             pair[i] = -1
         left = before[i]
         if left >= 0:
-            pair[left] = rank = find(piece[left:stop], -1)
-            if rank >= 0:
-                push(heap, rank << 40 | left)
-    out, at = [], 0
-    while at < n:
-        out.append(ranks[piece[at : after[at]]])
-        at = after[at]
-    return out
+            rank = find(piece[left:stop], -1)
+            if rank != pair[left]:
+                pair[left] = rank
+                if rank >= 0:
+                    push(heap, rank << 40 | left)
+    return [i for i in ids if i >= 0]
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -145,30 +146,46 @@ class Codec:
         for piece, rank in ranks.items():
             self.vocabulary[rank] = piece
         self.find_all = regex.compile(pattern).findall
+        self.cuts = pattern == public_tokenizers.PATTERN
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.double = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.key = xxhash.xxh3_128_hexdigest(repr((pattern, sorted(ranks.items()))))
 
     def __reduce__(self):
         return _codec_again, (self.key, self.ranks, self.pattern, self.table)
 
-    def piece(self, pre_token: str) -> list[int]:
+    def piece(self, pre_token: str) -> bytes:
+        """Packed ids of a pre-token."""
         raw = pre_token.encode()
         rank = self.table.find(raw)
-        return [rank] if rank >= 0 else merge_bytes(raw, self.ranks)
+        return pack_ids([rank] if rank >= 0 else merge_bytes(raw, self.ranks, self.single, self.double))
 
     def chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        known, out = self.pieces, []
         for pre_token in self.find_all(chunk):
-            ids += self.piece(pre_token)
-        return pack_ids(ids)
+            ids = known.get(pre_token)
+            if ids is None:
+                if len(known) >= MEMO_PIECES:
+                    known.clear()
+                ids = self.piece(pre_token)
+                if len(pre_token) <= 32:
+                    known[pre_token] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers.
 
-        A single blank between two other characters always opens the pre-token after it, so
-        the chunks between such blanks are independent and equal ones are encoded once.
+        By the public pattern a single blank between two other characters always opens the pre-token after it,
+        so the chunks between such blanks are independent and equal ones are encoded once. A text is one
+        chunk by any other pattern.
         """
-        parts = _CUT.split(text) if _RUN.search(text) else _lead(text)
+        if self.cuts:
+            parts = _CUT.split(text) if _RUN.search(text) else _lead(text)
+        else:
+            parts = [text]
         memo, out = self.memo, []
         for part in parts:
             ids = memo.get(part)
@@ -221,7 +238,8 @@ def load(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids of its whole texts (array of int) in column ``ids``, which replaces a
-    column of that name. A null or empty text has no ids; every row keeps its own, also repeated ones."""
+    column of that name. A null or empty text has no ids; every row keeps its own, also repeated ones; a text of any
+    length takes n log n at most; an empty table gives an empty one."""
     codec = load(path, pattern)
 
     @F.arrow_udf("array<int>")
