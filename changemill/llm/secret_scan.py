@@ -1,7 +1,7 @@
 """Secrets in texts: three patterns, and the entropy of windows that slide over candidate strings.
 
 A candidate is a run of 20 or more characters that a token may be made of; signs cut it into parts.
-A window of 20 slides over it; the sum of c log c over the window's character counts is carried
+A window of 20 slides over it; its character counts and the sum of c log c over them are carried
 along, and a step changes only the counts of the character that leaves and of the one that enters.
 The window's own characters (hexadecimal, letters of one case and digits, both cases, signs too) set its
 threshold. A candidate with a window that reaches it is a span, unless a form of the allow-list
@@ -49,46 +49,72 @@ def _matches(text: Column, pattern: str, keep) -> Column:
         ends = F.zip_with(starts_of(sizes), between, lambda at, gap: at + F.length(gap))
         return F.zip_with(ends, found, lambda at, hit: F.struct(at.alias("at"), hit.alias("hit")))
 
-    found = let(hits, lambda h: F.when(F.exists(h, keep), placed(h)).otherwise(none))
-    return F.filter(found, lambda m: keep(m["hit"]))
+    def passing(found: Column, passes: Column) -> Column:
+        chosen = F.filter(placed(found), lambda _, i: F.get(passes, i))
+        return F.when(F.exists(passes, lambda x: x), chosen).otherwise(none)
 
+    return let(hits, lambda h: let(F.transform(h, keep), lambda passes: passing(h, passes)))
 
-def _g(count: Column) -> Column:
-    """c log2 c, 0 for 0."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(0.0)
 
+#: Units of a bit in which sums are carried: whole numbers do not drift, however long a candidate is.
+_UNIT = 1 << 40
 
-def _over_windows(candidate: Column, window: int, zero: Column, see) -> Column:
-    """Aggregate over the windows of a candidate: ``see(so_far, sum of c log2 c, start)``."""
 
-    def slide(chars: Column) -> Column:
-        count = lambda part, c: F.size(F.filter(part, lambda x: x == c))
-        first = F.slice(chars, 1, window)
-        total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, c: s + _g(count(first, c)))
-        n = F.size(chars)
+def _over_windows(chars: Column, window: int, zero: Column, see) -> Column:
+    """Aggregate over the windows of a candidate's characters: ``see(so_far, sum of c log2 c, start)``.
+
+    The counts of the window's characters are carried along; a step changes that of the character that
+    leaves and that of the one that enters.
+    """
+    terms = F.array(*[F.lit(round(c * math.log2(c) * _UNIT) if c else 0).cast("long") for c in range(window + 2)])
+    term = lambda count: F.get(terms, count)
+
+    def slide(codes: Column, alphabet: Column) -> Column:
+        first = F.slice(codes, 1, window)
+        begin_counts = F.transform(alphabet, lambda _, k: F.size(F.filter(first, lambda x: x == k)))
+        n = F.size(codes)
         steps = F.when(n > window, F.sequence(F.lit(window), n - 1)).otherwise(F.array().cast("array<int>"))
+        state = lambda total, counts, seen: F.struct(total.alias("sum"), counts.alias("counts"), seen.alias("seen"))
 
         def step(s: Column, i: Column) -> Column:
-            kept = F.slice(chars, i - window + 2, window - 1)  # what stays in the window
-            out, new = F.get(chars, i - window), F.get(chars, i)
-            left, stays = count(kept, out), count(kept, new)
-            moved = s["sum"] - _g(left + 1) + _g(left) + _g(stays + 1) - _g(stays)
-            return let(moved, lambda v: F.struct(v.alias("sum"), see(s["seen"], v, i - window + 1).alias("seen")))
+            pair = F.struct(F.get(codes, i - window).alias("out"), F.get(codes, i).alias("new"))
+
+            def moved(p: Column) -> Column:
+                left, entered = F.get(s["counts"], p["out"]), F.get(s["counts"], p["new"])
+                total = s["sum"] - term(left) + term(left - 1) - term(entered) + term(entered + 1)
+                counts = F.transform(s["counts"], lambda c, k: c + F.when(k == p["new"], 1).when(k == p["out"], -1).otherwise(0))
+                same = p["out"] == p["new"]
+                return let(
+                    F.when(same, s["sum"]).otherwise(total),
+                    lambda v: state(v, F.when(same, s["counts"]).otherwise(counts), see(s["seen"], v, i - window + 1)),
+                )
+
+            return let(pair, moved)
+
+        def begin(counts: Column) -> Column:
+            total = F.aggregate(counts, F.lit(0).cast("long"), lambda t, c: t + term(c))
+            return let(total, lambda t: state(t, counts, see(zero, t, F.lit(0))))
 
-        begin = let(total, lambda t: F.struct(t.alias("sum"), see(zero, t, F.lit(0)).alias("seen")))
-        return F.aggregate(steps, begin, step, lambda s: s["seen"])
+        return F.aggregate(steps, let(begin_counts, begin), step, lambda s: s["seen"])
 
-    return let(F.split(candidate, "", -1), lambda c: slide(F.filter(c, lambda x: x != "")))
+    def coded(alphabet: Column) -> Column:
+        return let(F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int") - 1), lambda codes: slide(codes, alphabet))
+
+    return let(F.array_distinct(chars), coded)
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, "", -1), lambda x: x != "")
 
 
 def _bits(total: Column, window: int) -> Column:
-    return F.lit(math.log2(window)) - total / window
+    return F.lit(math.log2(window)) - total / (window * _UNIT)
 
 
 def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """Highest Shannon entropy, in bits a character, of the windows of a candidate."""
     highest = lambda seen, total, at: F.greatest(seen, _bits(total, window))
-    return _over_windows(candidate, window, F.lit(0.0), highest)
+    return let(_characters(candidate), lambda chars: _over_windows(chars, window, F.lit(0.0), highest))
 
 
 def _threshold(text: Column) -> Column:
@@ -119,17 +145,21 @@ def _parts(candidate: Column) -> Column:
 
 
 def _is_secret(candidate: Column) -> Column:
-    def scanned(parts: Column) -> Column:
+    def scanned(parts: Column, chars: Column) -> Column:
         def see(seen: Column, total: Column, at: Column) -> Column:
-            window = lambda text: F.substr(text, (at + 1).cast("int"), F.lit(WINDOW))
-            free = let(window(parts), lambda p: p.contains("m") & ~p.contains("x"))
+            window = lambda values: F.slice(values, at + 1, F.lit(WINDOW))
+            free = let(window(parts), lambda p: F.array_contains(p, "m") & ~F.array_contains(p, "x"))
             # Below the least threshold the characters do not matter.
             near = _bits(total, WINDOW) >= HEX_BITS
-            return seen | F.coalesce(near & free & (_bits(total, WINDOW) >= let(window(candidate), _threshold)), F.lit(False))
+            return seen | F.coalesce(near & free & (_bits(total, WINDOW) >= let(F.array_join(window(chars), ""), _threshold)), F.lit(False))
+
+        return _over_windows(chars, WINDOW, F.lit(False), see)
 
-        return F.when(parts.contains("m"), _over_windows(candidate, WINDOW, F.lit(False), see)).otherwise(False)
+    def held(parts: Column) -> Column:
+        scan = let(_characters(parts), lambda p: let(_characters(candidate), lambda c: scanned(p, c)))
+        return F.when(parts.contains("m"), scan).otherwise(False)
 
-    return let(_parts(candidate), scanned)
+    return let(_parts(candidate), held)
 
 
 def spans_of(text: Column) -> Column:
@@ -157,7 +187,8 @@ def spans_of(text: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """``df`` with the spans of its whole texts in ``out``, an array that replaces a column of that
-    name. Null and empty texts have none; rows are scanned one by one, repeated or not."""
+    name. Null and empty texts have none; rows are scanned one by one, repeated or not; a candidate takes time
+    in proportion to its length; an empty table gives an empty one."""
     return df.withColumn(out, spans_of(whole(text)))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,63 @@ def test_entropy_spans_and_allow_list(spark):
     assert {r.text: [s for s in r.s.split(",") if s] for r in found} == cases
 
 
+def plain_parts(candidate):
+    cut = re.sub(secret_scan.IDENTIFIER, "~" * 36, candidate)
+    out = ""
+    for part in re.findall("[A-Za-z0-9]+|~+|[-_/+=]+", cut):
+        explained = part[0] == "~" or any(re.search(form, part) for form in secret_scan.PLACEHOLDERS)
+        kind = "s" if part[0] in "-_/+=" else "x" if explained else "w" if re.fullmatch("[A-Za-z]+|[0-9]+", part) else "m"
+        out += kind * len(part)
+    return out
+
+
+def plain_threshold(window):
+    if not (re.search("[0-9]", window) and re.search("[A-Za-z]", window)):
+        return math.inf
+    if re.fullmatch("[0-9a-fA-F]+", window):
+        return secret_scan.HEX_BITS
+    if re.fullmatch("[a-z0-9]+|[A-Z0-9]+", window):
+        return secret_scan.ONE_CASE_BITS
+    return secret_scan.MIXED_BITS if re.search("[a-z]", window) and re.search("[A-Z]", window) else secret_scan.SIGNS_BITS
+
+
+def all_spans(text):
+    found, n = base_spans(text), secret_scan.WINDOW
+    base = list(found)
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        parts = plain_parts(m[0])
+        for at in range(len(parts) - n + 1):
+            if "m" in parts[at : at + n] and "x" not in parts[at : at + n] and entropy(m[0][at : at + n]) >= plain_threshold(m[0][at : at + n]):
+                if not any(a <= m.start() and b >= m.end() for a, _, b in base):
+                    found.append((m.start(), 3, m.end()))
+                break
+    return sorted(found)
+
+
+def test_all_spans_are_those_of_a_plain_scan(spark, documents):
+    rnd = random.Random(9)
+    key = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    kinds = ["0123456789abcdef", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz234567", "aB3dE5fG7hJ9kL1mN3pQ5rS7zZ+/=", "some-words_in/a-row2024"]
+    pieces = lambda: [key(rnd.choice(kinds), rnd.randint(1, 45)), rnd.choice([" ", "-", "_", "KEY=", "example", "\n", "é", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaa"])]
+    texts = ["".join(x for _ in range(rnd.randint(0, 6)) for x in pieces()) for _ in range(900)] + list(documents.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.scan(df).collect()
+    for r in rows:
+        assert [(s.start, s.kind_no, s.end) for s in r.secrets] == all_spans(r.text), r.text[:200]
+    assert sum(s.kind_no == 3 for r in rows for s in r.secrets) > 150
+
+
+def test_long_candidates_take_time_in_proportion(spark):
+    took = []
+    for n in (1000, 50_000, 400_000):  # the first one compiles
+        text = "some-slug-of-words-" * (n // 19) + "ab3d4-"
+        df = spark.createDataFrame([(text,)], "text string").coalesce(1)
+        began = time.time()
+        assert secret_scan.scan(df).first().secrets == []
+        took.append(time.time() - began)
+    assert took[2] < 12 * took[1] + 3
+
+
 def test_redaction_masks_spans_and_nothing_else(spark, documents):
     df = spark.createDataFrame(list(documents.items()), "doc_id long, text string")
     for r in secret_scan.redact(df).collect():
