@@ -10,7 +10,9 @@ holds much of its host's text.
 
 Each task folds its pages into one template a host, and the tasks' templates are merged in
 a stream sorted by host: a host with a third of all pages costs each task one template. Templates
-are as large as the kinds of page of their host, not as their number.
+are as large as the kinds of page of their host, not as their number: labels leave out names with digits (a
+name without any that differs on each page still makes a node each). Where siblings come in several orders, the alignment,
+and with it the template, can depend on which pages a task holds.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +39,13 @@ AGREE = 3
 #: Parts of the varying text: of slots together, of each slot, and of a named element that is kept.
 SLOTS, SLOT, KEPT = 0.6, 0.2, 1 / 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration, or a tag, which ends at its sign or at the next tag. Nothing is given back, so a page
+#: takes time in proportion to its length.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)"
+    r"((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"']|<(?![a-zA-Z/!?]))*+)(?:>|(?=<))",
+    re.S,
+)
 #: A tag that the end of the page cuts off.
 _CUT_TAG = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")
 _ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
@@ -73,6 +82,12 @@ _LAYOUT_WORDS = re.compile(
 _NEVER_NAMED = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _MAIN_TAGS = ("article", "main")
+#: Place of the root; a place is a hash of the labels on the way to it.
+ROOT = 0
+
+
+def place(above: int, label: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{above:x}/{label}")
 
 
 class Node:
@@ -93,6 +108,16 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def steady_name(names: str) -> str:
+    """The name that a label takes: the first without digits, else the words of the first that have none. Numbers
+    of pages and posts would make a node of their own for each."""
+    some = names.split()
+    for name in some:
+        if not any(c.isdigit() for c in name):
+            return name.replace("/", "-")
+    return "-".join(w for w in re.split("[_-]", some[0].replace("/", "-")) if w and not any(c.isdigit() for c in w))
+
+
 def is_boilerplate_name(names: str) -> bool:
     """Whether one of the names is made of words for boilerplate, alone or with words for places."""
 
@@ -109,6 +134,12 @@ def parse(page: str) -> Node:
     scripts, styles and the like is not kept."""
     root = Node("#root", "#root", False)
     stack, at, n = [root], 0, len(page)
+    open_tags: Counter[str] = Counter()
+
+    def cut(i: int) -> None:
+        open_tags.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -121,50 +152,52 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(x.tag != "p" for x in stack):
+            if not open_tags[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if tag in _INLINE and stack[i].tag not in _INLINE:
                     break  # a stray end of an inline element closes no block
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and open_tags["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag not in _INLINE:
                     break
         like = _CLOSED_BY_LIKE.get(tag)
-        if like:
+        if like and any(open_tags[x] for x in like):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in like:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag not in _INLINE and stack[i].tag != "p":
                     break
         if tag == "tr" or tag == "body":
             while len(stack) > 1 and stack[-1].tag in ("td", "th", "head"):
-                stack.pop()
+                cut(len(stack) - 1)
         names = attributes(m[3]) if m[3].strip() else {}
         name = " ".join(x for x in (names.get("class"), names.get("id")) if x and x.strip())
         boiler = tag in _DROP_TAGS or "hidden" in names or names.get("role", "").lower() in _DROP_ROLES
         named = bool(name) and tag not in _NEVER_NAMED and is_boilerplate_name(name)
         boiler = boiler or (named and tag in _INLINE)
-        node = Node(tag, ("!" if named else "") + (f"{tag}.{name.split()[0].replace('/', '-')}" if name else tag), boiler)
+        steady = steady_name(name) if name else ""
+        node = Node(tag, ("!" if named else "") + (f"{tag}.{steady}" if steady else tag), boiler)
         stack[-1].content.append(node)
         if tag in _RAW:
             at = _RAW_END[tag].search(page, at).end()
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
-def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "", kept: frozenset[str] = frozenset()) -> list[str]:
+def blocks(node: Node, dropped: frozenset[int] = frozenset(), at: int = ROOT, kept: frozenset[int] = frozenset()) -> list[str]:
     """Texts of a subtree's blocks in page order: references decoded, white space as one blank.
-    Boilerplate, also by name but for ``kept`` paths, and nodes at ``dropped`` paths are left out."""
+    Boilerplate, also by name but for ``kept`` places, and nodes at ``dropped`` places are left out."""
     out: list[str] = []
     open_: list[str] = []
 
@@ -174,7 +207,7 @@ def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "", ke
         if text:
             out.append(text)
 
-    todo: list = [(node, path)]
+    todo: list = [(node, at)]
     while todo:
         item, where = todo.pop()
         if item is None:
@@ -189,10 +222,10 @@ def blocks(node: Node, dropped: frozenset[str] = frozenset(), path: str = "", ke
             todo.extend((x, where) for x in reversed(item.content))
         else:
             close()
-            here = f"{where}/{item.label}" if item is not node else where
+            here = place(where, item.label) if item is not node else where
             if item is not node and (item.boiler or here in dropped or (item.label[0] == "!" and here not in kept)):
                 continue
-            todo.append((None, ""))
+            todo.append((None, ROOT))
             todo.extend((x, here) for x in reversed(item.content))
     close()
     return out
@@ -214,43 +247,58 @@ def skeleton(root: Node) -> list:
 
 
 def _folded(node: Node) -> list:
-    """A subtree's template: block elements only, like siblings folded."""
-    own: list[str] = []
-    kids: dict[str, list[Node]] = {}
-    todo = list(reversed(node.content))
+    """A subtree's template: block elements only, like siblings folded. Trees are as deep as pages make them, so
+    nothing here calls itself."""
+    top: list = []
+    made: list[tuple[list, str, int]] = []  # every node after the one above it: template, own text
+    todo: list[tuple[str, list[Node], list]] = [(node.label, [node], top)]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            own.append(x)
-        elif x.tag in _INLINE:
-            todo.extend(reversed(x.content))
-        elif not x.boiler:
-            kids.setdefault(x.label, []).append(x)
-    children = []
-    for label, like in kids.items():
-        folded = Node(like[0].tag, label, False)
-        folded.content = [x for k in like for x in k.content] if len(like) > 1 else like[0].content
-        children.append(_folded(folded))
-    text = " ".join("".join(own).split())
-    digest = xxhash.xxh3_64_intdigest("\n".join([text, *[str(c[2]) for c in children if c[0][0] != "!"]]))
-    return [node.label, children, digest, len(text) + sum(c[3] for c in children), []]
+        label, like, tree = todo.pop()
+        own: list[str] = []
+        kids: dict[str, list[Node]] = {}
+        inner: list = [x for k in reversed(like) for x in reversed(k.content)]
+        while inner:
+            x = inner.pop()
+            if isinstance(x, str):
+                own.append(x)
+            elif x.tag in _INLINE:
+                inner.extend(reversed(x.content))
+            elif not x.boiler:
+                kids.setdefault(x.label, []).append(x)
+        tree[:] = [label, [[] for _ in kids], None, 0, []]
+        made.append((tree, " ".join("".join(own).split())))
+        todo.extend((name, some, child) for (name, some), child in zip(kids.items(), tree[1], strict=True))
+    for tree, text in reversed(made):
+        tree[2] = xxhash.xxh3_64_intdigest("\n".join([text, *[str(c[2]) for c in tree[1] if c[0][0] != "!"]]))
+        tree[3] = len(text) + sum(c[3] for c in tree[1])
+    return top
 
 
 def match(a: list, b: list, memo: dict) -> int:
     """Simple tree matching: most pairs of nodes that equal labels and the order of siblings allow."""
     if a[0] != b[0]:
         return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _table(a[1], b[1], memo)[-1][-1]
-    return memo[key]
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if (id(x), id(y)) in memo:
+            todo.pop()
+            continue
+        unknown = [(p, q) for p in x[1] for q in y[1] if p[0] == q[0] and (id(p), id(q)) not in memo]
+        if unknown:
+            todo.extend(unknown)
+            continue
+        memo[id(x), id(y)] = 1 + _table(x[1], y[1], memo)[-1][-1]
+        todo.pop()
+    return memo[id(a), id(b)]
 
 
 def _table(xs: list, ys: list, memo: dict) -> list[list[int]]:
+    """Most pairs of the first siblings on both sides; the pairs of siblings themselves are in the memory."""
     table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs, 1):
         for j, y in enumerate(ys, 1):
-            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + match(x, y, memo))
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + (memo[id(x), id(y)] if x[0] == y[0] else 0))
     return table
 
 
@@ -258,6 +306,9 @@ def aligned(xs: list, ys: list, memo: dict) -> list[tuple]:
     """Siblings of two trees side by side, in order; None where one has no partner."""
     if [x[0] for x in xs] == [y[0] for y in ys]:
         return list(zip(xs, ys, strict=True))
+    for x in xs:
+        for y in ys:
+            match(x, y, memo)
     table, i, j, out = _table(xs, ys, memo), len(xs), len(ys), []
     while i or j:
         if i and j and (pair := match(xs[i - 1], ys[j - 1], memo)) and table[i][j] == table[i - 1][j - 1] + pair:
@@ -272,64 +323,101 @@ def aligned(xs: list, ys: list, memo: dict) -> list[tuple]:
     return out[::-1]
 
 
-def merge(a: list, b: list, memo: dict | None = None) -> list:
+def merge(a: list, b: list) -> list:
     """Template of two aligned trees. A node that one lacks keeps its own counts."""
-    memo = {} if memo is None else memo
-    children = [merge(x, y, memo) if x and y else x or y for x, y in aligned(a[1], b[1], memo)]
-    seen = a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:AGREE]
-    return [a[0], children, a[2] if a[2] == b[2] else None, a[3] + b[3], seen]
+    memo: dict = {}
+    top: list = []
+    todo = [(a, b, top)]
+    while todo:
+        x, y, made = todo.pop()
+        seen = x[4] if x[4] == y[4] else sorted({*x[4], *y[4]})[:AGREE]
+        made[:] = [x[0], [], x[2] if x[2] == y[2] else None, x[3] + y[3], seen]
+        for p, q in aligned(x[1], y[1], memo):
+            if p and q:
+                made[1].append([])
+                todo.append((p, q, made[1][-1]))
+            else:
+                made[1].append(p or q)
+    return top
+
+
+def flat(template: list) -> list[list]:
+    """A template as a list of its nodes, each before those below it, with the number of its children."""
+    out, todo = [], [template]
+    while todo:
+        node = todo.pop()
+        out.append([node[0], len(node[1]), *node[2:]])
+        todo.extend(reversed(node[1]))
+    return out
+
+
+def grown(nodes: list[list]) -> list:
+    """The template of a list of its nodes."""
+    top: list = []
+    holders = [top]
+    for label, n, *rest in nodes:
+        tree = holders.pop()
+        tree[:] = [label, [[] for _ in range(n)], *rest]
+        holders.extend(reversed(tree[1]))
+    return top
 
 
 def wrapper(template: list) -> dict:
-    """Paths of the content slots, of constant containers in them, and of elements kept against their names."""
-    kept: set[str] = set()
-    weight: dict[int, int] = {}
+    """Places of the content slots and of what lies above them, of constant containers in them, and of elements kept
+    against their names."""
     least = KEPT * template[3]
-
-    def weigh(node: list, path: str) -> int:
-        """Varying text below a node, without what is dropped by its name."""
-        before = len(kept)
-        own = node[3] - sum(c[3] for c in node[1])
-        below = 0
+    order: list[tuple[list, int, int]] = []  # node, its place, index of the one above
+    todo = [(template, ROOT, -1)]
+    while todo:
+        node, where, above = todo.pop()
+        order.append((node, where, above))
         for c in node[1]:
-            where = f"{path}/{c[0]}"
-            if c[0][0] == "!":
-                if _constant(c) or c[3] < least:
-                    weight[id(c)] = 0
-                    continue
-                kept.add(where)
-            below += weigh(c, where)
-        settled = _constant(node) and len(kept) == before
-        weight[id(node)] = 0 if settled else own + below
-        return weight[id(node)]
-
-    weigh(template, "")
-    slots: list[tuple[list, str]] = []
-    todo = [(template, "")]
+            # What its name drops is not looked into.
+            if c[0][0] != "!" or not (_constant(c) or c[3] < least):
+                todo.append((c, place(where, c[0]), len(order) - 1))
+    kept: set[int] = set()
+    weight: dict[int, int] = {}
+    below, keeps = [0] * len(order), [False] * len(order)
+    for i in range(len(order) - 1, -1, -1):
+        node, where, above = order[i]
+        own = node[3] - sum(c[3] for c in node[1])
+        weight[id(node)] = 0 if _constant(node) and not keeps[i] else own + below[i]
+        if node[0][0] == "!":
+            kept.add(where)
+            keeps[i] = True
+        if above >= 0:
+            below[above] += weight[id(node)]
+            keeps[above] |= keeps[i]
+    places = {id(node): where for node, where, _ in order}
+    slots: list[list] = []
+    ways: set[int] = set()
+    todo = [template]
     while todo:
-        node, path = todo.pop()
-        inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and weight[id(c)]]
+        node = todo.pop()
+        inner = [c for c in node[1] if _tag(c) not in _TEXT_BLOCKS and weight.get(id(c))]
         big = [c for c in inner if weight[id(c)] >= SLOT * weight[id(node)]]
         if any(_tag(c) in _MAIN_TAGS for c in big) and all(_tag(c) in _MAIN_TAGS for c in big):
             big = [c for c in inner if _tag(c) in _MAIN_TAGS]
         enough = big and sum(weight[id(c)] for c in big) >= SLOTS * weight[id(node)]
         of_main = all(_tag(c) in _MAIN_TAGS for c in big)
         if _tag(node) in _MAIN_TAGS or not enough or (not of_main and (len(big) > 1 or not big[0][1])):
-            slots.append((node, path))
+            slots.append(node)
         else:
-            todo.extend((c, f"{path}/{c[0]}") for c in big)
+            ways.add(places[id(node)])
+            todo.extend(big)
     constant, varying = set(), set()
-    todo = [(c, f"{path}/{c[0]}") for node, path in slots for c in node[1]]
-    while todo:
-        c, where = todo.pop()
+    inside = [(c, place(places[id(node)], c[0])) for node in slots for c in node[1]]
+    while inside:
+        c, where = inside.pop()
         if _tag(c) in _TEXT_BLOCKS:
             continue
         if _constant(c) and c[3] and not weight.get(id(c)):
             constant.add(where)
         else:
             varying.add(where)
-            todo.extend((x, f"{where}/{x[0]}") for x in c[1])
-    return {"slots": sorted({path for _, path in slots}), "constant": sorted(constant - varying), "kept": sorted(kept)}
+            inside.extend((x, place(where, x[0])) for x in c[1])
+    ends = sorted(places[id(node)] for node in slots)
+    return {"slots": ends, "ways": sorted(ways), "constant": sorted(constant - varying), "kept": sorted(kept)}
 
 
 def _constant(node: list) -> bool:
@@ -348,19 +436,18 @@ def extract(page: str, spec: dict) -> str:
 
 def _text(root: Node, spec: dict) -> str:
     dropped, kept = frozenset(spec["constant"]), frozenset(spec["kept"])
-    return "\n".join(b for node, path in _at(root, spec["slots"]) for b in blocks(node, dropped, path, kept))
+    found = _at(root, frozenset(spec["slots"]), frozenset(spec["ways"]))
+    return "\n".join(b for node, where in found for b in blocks(node, dropped, where, kept))
 
 
-def _at(root: Node, paths: list[str]) -> list[tuple[Node, str]]:
-    """Nodes at the paths, none of which lies below another, in page order."""
-    ends = set(paths)
-    ways = {path[:at] for path in paths for at in range(len(path)) if path[at] == "/"}
-    found, todo = [], [(root, "")]
+def _at(root: Node, ends: frozenset[int], ways: frozenset[int]) -> list[tuple[Node, int]]:
+    """Nodes at the places, none of which lies below another, in page order."""
+    found, todo = [], [(root, ROOT)]
     while todo:
-        node, path = todo.pop()
-        if path in ends:
-            found.append((node, path))
-        elif path in ways:
+        node, where = todo.pop()
+        if where in ends:
+            found.append((node, where))
+        elif where in ways:
             below = []
             inner = list(reversed(node.content))
             while inner:
@@ -370,7 +457,7 @@ def _at(root: Node, paths: list[str]) -> list[tuple[Node, str]]:
                 if x.tag in _INLINE:
                     inner.extend(reversed(x.content))
                 elif not x.boiler:
-                    below.append((x, f"{path}/{x.label}"))
+                    below.append((x, place(where, x.label)))
             todo.extend(reversed(below))
     return found
 
@@ -388,7 +475,7 @@ def templates(pages: DataFrame, host: str = "host", page: str = "html") -> DataF
 
     def rows(state: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(state), pa.string()), pa.array([json.dumps(v) for v in state.values()], pa.string())], names=["host", "template"]
+            [pa.array(list(state), pa.string()), pa.array([json.dumps(flat(v)) for v in state.values()], pa.string())], names=["host", "template"]
         )
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +499,7 @@ def templates(pages: DataFrame, host: str = "host", page: str = "html") -> DataF
                 if state and key not in state:
                     yield specs(state)
                     state.clear()
-                fold(state, key, json.loads(text))
+                fold(state, key, grown(json.loads(text)))
         if state:
             yield specs(state)
 

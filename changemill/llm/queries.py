@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from changemill.llm import bpe, fingerprint, hard_negatives, html_extract, line_dedup, ngram_join, packing, periodic_runs, quality, secret_scan, token_counts, token_store, url_filter
 from changemill.llm.common import let, whole, words
+from changemill.llm.sql import UNWANTED_LABELS
 from changemill.session import run_dir
 
 QUERIES = {}
@@ -63,8 +64,6 @@ def op10_bit_planes(spark, sf_dir):
 
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Host labels whose pages make up the list of unwanted URLs.
-UNWANTED_LABELS = ["ads-track", "cheap-pills", "free-bets", "spam-farm"]
 
 
 @query

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
-SQL["op8_url_filter"] = """
+#: Host labels whose pages make up the list of unwanted URLs, of the query and of its SQL: every label of the given
+#: pages' hosts that names advertising, spam, gambling, adult content or pills.
+UNWANTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+SQL["op8_url_filter"] = f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 c AS (SELECT *, regexp_replace(host, '^www\\.', '') || rtrim(path, '/') AS form FROM p),
 bad AS (SELECT DISTINCT form FROM c
-        WHERE list_has_any(string_split(host, '.'), ['ads-track', 'cheap-pills', 'free-bets', 'spam-farm'])),
+        WHERE list_has_any(string_split(host, '.'), {UNWANTED_LABELS})),
 rules(kind, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 f AS (SELECT c.page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(kind, length(h || p)) AS kind
       FROM (SELECT DISTINCT page_id, host, path FROM c) AS c JOIN (SELECT kind, h, p FROM rules) AS rules

@@ -1,6 +1,8 @@
 """Page text and URL verdicts against plain Python."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +167,50 @@ def test_the_filter_loses_no_entry_and_the_join_removes_the_rest(spark, n, monke
     found = url_filter.listed(rows, entries, "form")
     assert found.count() == 10_000 and found.where("listed").count() == n and found.where("listed = (id >= %d)" % n).count() == 0
     assert url_filter.judge(rows.limit(0).select(F.col("form").alias("url")), RULES, entries).count() == 0
+
+
+# ---- Pages of any depth, length and number ----
+
+
+def timed(page):
+    began = time.process_time()
+    text = texts_of([page])[0]
+    return text, time.process_time() - began
+
+
+def test_deep_pages():
+    for tag in ("div", "b", "ul><li", "table><tr><td"):
+        text, took = timed(f"<{tag}>" * 100_000 + "the text" + "</x>" * 1000)
+        assert text == "the text" and took < 60, tag
+
+
+def test_unclosed_tags_take_time_in_proportion():
+    for unit in ("<a ", "<a '", '<a "', "<a x='\"", "<", "<!--", "<a b=<", "<p class=", "</", "<div title=\"'", "<script>"):
+        took = []
+        for n in (50_000, 200_000):
+            _, seconds = timed("<p>before</p>" + unit * n)
+            took.append(seconds)
+        assert took[1] < 12 * took[0] + 1, unit
+    assert timed("<a " * 350_000)[1] < 60
+
+
+def test_tags_that_are_not_closed_lose_no_text():
+    assert texts_of(["<p>one <b two</p><p>three"]) == ["one\nthree"]
+    assert texts_of(["<p title='a>b' class=x>one</p> 1 < 2 <p alt=\"5<6\">two <i"]) == ["one\n1 < 2\ntwo"]
+
+
+def test_counters_in_names_make_one_node():
+    pages = [f'<div class="post-{i} post" id="post-{i}"><p id="p{i}">text of page {i} {"word " * 40}</p></div><div id="n{i}x">same</div>' for i in range(400)]
+    template = None
+    for page in pages:
+        tree = html_extract.skeleton(html_extract.parse(page))
+        template = html_extract.merge(template, tree) if template else tree
+    nodes = html_extract.flat(template)
+    assert len(nodes) == 4 and html_extract.grown(json.loads(json.dumps(nodes))) == template
+    assert html_extract.steady_name("post-12 entry") == "entry" and html_extract.steady_name("post-12") == "post"
+
+
+def test_deep_and_unclosed_pages_as_a_job(spark):
+    rows = [(i, f"http://h{i % 2}.org/{i}", page) for i, page in enumerate(["<div>" * 20_000 + "deep", "<a " * 20_000, "<div>" * 20_000 + "deeper", None, ""])]
+    found = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {0: "deep", 1: "", 2: "deeper", 3: "", 4: ""}
