@@ -258,3 +258,18 @@ def test_every_relevant_statement_leaves_a_row_in_the_stream(spark):
         (0, "ADD_COLUMN", None, "apply"), (0, "UNKNOWN", None, "dead_letter"), (1, "RENAME_TABLE", "u", "apply"),
         (2, "UNKNOWN", None, "diff_metadata"), (3, "ADD_INDEX", "i", "recorded"), (4, "RENAME_TABLE", "v", "apply"), (5, "UNKNOWN", None, "dead_letter"),
     ]
+
+
+@pytest.mark.parametrize("text", [
+    "ALTER TABLE t ADD COLUMN a INT COMMENT '{x}', DROP COLUMN b", "ALTER TABLE t ADD COLUMN a INT DEFAULT '{q}', DROP COLUMN b",
+    "ALTER TABLE t ADD COLUMN a INT /*{blank}*/, DROP COLUMN b", "ALTER TABLE t ADD COLUMN a ENUM('{x}', 'y'){blank};, DROP COLUMN b",
+])
+def test_long_texts_take_neither_stack_nor_hours(spark, text):
+    n = 1_000_000
+    statement = text.replace("{x}", "x" * n).replace("{q}", "''\\\\" * (n // 4)).replace("{blank}", " " * n)
+    found = [(r.operation, r.column_name) for r in parsed(spark, statement)]
+    assert found == [("ADD_COLUMN", "a"), ("DROP_COLUMN", "b")]
+
+
+def test_an_open_quote_keeps_the_statement_whole(spark):
+    assert not statements(spark, "ALTER TABLE t ADD COLUMN a INT COMMENT 'it''").select(ddl.is_splittable(F.col("ddl")).alias("s")).first().s
