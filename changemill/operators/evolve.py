@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemill.functions.types import is_lossy_cast
+from changemill.session import cut_lineage
 
 
 def union_schema(a: T.StructType, b: T.StructType) -> T.StructType:
@@ -31,6 +33,131 @@ def bounded_operations(ddl: DataFrame, max_operations: int = 10_000) -> list[Row
     return rows
 
 
+def operation_chunks(operations: DataFrame, size: int = 5000) -> Iterator[list[Row]]:
+    """All operations in their order, so many at a time: the driver holds one chunk, however long the history is."""
+    order = [c for c in ("off", "clause_no", "operation", "column_name") if c in operations.columns]
+    place, last = F.struct(*order), None
+    while True:
+        rest = operations if last is None else operations.where(place > F.struct(*[F.lit(last[c]).cast(operations.schema[c].dataType).alias(c) for c in order]))
+        rows = rest.orderBy(*order).limit(size).collect()
+        if rows:
+            yield rows
+        if len(rows) < size:
+            return
+        last = rows[-1]
+
+
+def lineage(operations: Sequence[Row], columns: dict[str, str]) -> tuple[dict[str, list[tuple]], dict[str, str]]:
+    """Where the columns of the last schema come from: (pieces of each column, its type).
+
+    A piece is (offset, source): rows from that offset on, up to that of the piece before it, take the source; the
+    last piece has no offset. A source is (column or None, default, casts). Going back from the last schema each
+    operation changes the sources of the columns that it names and no others, so a column has as many pieces as
+    operations concern it, and nothing nests.
+    """
+    types, valid = dict(columns), []
+    for op in operations:
+        name, known = op.column_name, op.column_name in types
+        valid.append(known or op.operation == "ADD_COLUMN")
+        if op.operation == "RENAME_COLUMN" and known:
+            types.setdefault(op.new_name, types[name])
+        elif op.operation == "ADD_COLUMN":
+            types.setdefault(name, op.type_name)
+        elif op.operation == "MODIFY_COLUMN" and known:
+            types[name] = op.type_name
+    nothing = (None, None, ())
+    sources = {c: (c, None, ()) for c in types}
+    users: dict[str, set[str]] = {c: {c} for c in types}  # columns by the column that they now come from
+    pieces: dict[str, list[tuple]] = {c: [] for c in types}
+
+    def move(column: str, off: int, source: tuple) -> None:
+        pieces[column].append((off, sources[column]))
+        users[sources[column][0]].discard(column)
+        sources[column] = source
+        if source[0] is not None:
+            users.setdefault(source[0], set()).add(column)
+
+    for op, is_valid in zip(reversed(operations), reversed(valid), strict=True):
+        if not is_valid:
+            continue
+        name = op.column_name
+        using = sorted(users.get(name, ()))
+        if op.operation == "RENAME_COLUMN":
+            renamed = sorted(users.get(op.new_name, ()))
+            for c in using:
+                move(c, op.off, nothing)
+            for c in renamed:
+                move(c, op.off, (name, None, sources[c][2]))
+        elif op.operation == "DROP_COLUMN":
+            for c in using:
+                move(c, op.off, nothing)
+        elif op.operation == "ADD_COLUMN":
+            for c in using:
+                move(c, op.off, (None, op.default_value, (op.type_name, *sources[c][2])))
+        elif op.operation == "MODIFY_COLUMN":
+            for c in using:
+                move(c, op.off, (name, None, (op.type_name, *sources[c][2])))
+    for c, source in sources.items():
+        pieces[c].append((None, source))
+    return pieces, types
+
+
+def evolve_by_lineage(rows: DataFrame, operations: Sequence[Row], columns: dict[str, str], order: str = "off") -> DataFrame:
+    """Rows of one table at the schema that its ``operations`` lead to: each value by the piece of its column's lineage that
+    the row's offset falls into.
+
+    Like :func:`evolve_rows` with ``one_table``, but a row is cast only by the changes of type that come after it, and
+    the number of operations makes no expression deeper. One pass over the rows, no shuffle.
+    """
+    pieces, types = lineage(operations, columns)
+
+    def numbers(values: Sequence[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    def column(name: str) -> Column:
+        kind, found = types[name], pieces[name]
+        # The sources by what is done with them: few, however many pieces there are.
+        forms = list(dict.fromkeys((source, casts) for _, (source, _, casts) in found))
+        starts = [off for off, _ in found[:-1]]
+        at = F.size(F.filter(numbers(starts), lambda off: off > F.col(order))) if starts else F.lit(0)
+        form = F.get(numbers([forms.index((source, casts)) for _, (source, _, casts) in found]), at)
+        defaults = [default for _, (_, default, _) in found]
+
+        def value(source: str | None, casts: tuple) -> Column:
+            if source is not None and source in rows.columns:
+                made = F.col(f"`{source}`")
+            elif source is None and any(d is not None for d in defaults):
+                made = F.get(F.from_json(F.lit(json.dumps(defaults)), "array<string>"), at)
+            else:
+                made = F.lit(None)
+            for i, cast in enumerate(casts):
+                if i == 0 or casts[i - 1] != cast:
+                    made = made.try_cast(cast)
+            return made.try_cast(kind)
+
+        if len(forms) == 1:
+            return value(*forms[0])
+        when = F
+        for i, each in enumerate(forms[:-1]):
+            when = when.when(form == i, value(*each))
+        return when.otherwise(value(*forms[-1]))
+
+    kept = [c for c in rows.columns if c not in types]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], *[column(name).alias(name) for name in types])
+
+
+def evolve_in_chunks(rows: DataFrame, operations: DataFrame, fixed: Sequence[str], order: str = "off", size: int = 5000) -> DataFrame:
+    """Rows of one table after all its operations, a chunk of them at a time; ``fixed`` columns are no part of its schema.
+    A chunk more than one is taken from a checkpoint of the one before, so plans stay small."""
+    done = False
+    for chunk in operation_chunks(operations, size):
+        if done:
+            rows = cut_lineage(rows)
+        columns = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name not in fixed}
+        rows, done = evolve_by_lineage(rows, chunk, columns, order), True
+    return rows
+
+
 def evolve_rows(
     rows: DataFrame,
     operations: Sequence[Row],

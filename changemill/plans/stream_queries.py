@@ -193,10 +193,9 @@ def stream_evolved_state(spark, sf_dir):
     return evolve.evolve_rows(state.current(), operations, columns).select("topic", "user_id", "off", *columns)
 
 
-@query
-def stream_ddl_evolved_state(spark, sf_dir):
-    """Two streams, one of changes and one of DDL text: the text is parsed, gated and recorded,
-    and the state is read at the schema it leads to."""
+def _ddl_streams(spark: SparkSession, sf_dir: str, epochs: bool) -> DataFrame:
+    """Two streams, of changes and of DDL text. With ``epochs`` the feed comes in two parts, and after each the
+    operations that the data has passed are folded into the state."""
     folder = run_dir(spark, "ddl")
     columns = {"event_type": "string", "value": "double", "amount": "double", "origin": "string"}
     row = T.StructType([T.StructField("user_id", T.LongType()), *[T.StructField(c, T._parse_datatype_string(t)) for c, t in columns.items()]])
@@ -205,14 +204,34 @@ def stream_ddl_evolved_state(spark, sf_dir):
     statements.write.parquet(f"{folder}/ddl")
     topics = view(spark, sf_dir, "feed").select(F.col("topic").alias("tbl")).distinct()
     ddl_stream = spark.readStream.schema(statements.schema).parquet(f"{folder}/ddl")
-    operations = f"{folder}/operations"
-    start(ddl_stream, record_into(operations, lambda: topics, allow_destructive=True), f"{folder}/ddl_checkpoint").awaitTermination()
+    path_of_operations = f"{folder}/operations"
+    start(ddl_stream, record_into(path_of_operations, lambda: topics, allow_destructive=True), f"{folder}/ddl_checkpoint").awaitTermination()
+    operations = read_operations(spark, path_of_operations)
     tables = tuple(TableSpec("shop", f"users_{i}", row, ("user_id",)) for i in range(4))
-    pipeline = Pipeline(spark, PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual"), folder, f"d_{folder.rsplit('-', 1)[1][:12]}")
-    pipeline.run(read_files(spark, path, True, FILES), f"{folder}/checkpoint").awaitTermination()
-    recorded = evolve.bounded_operations(read_operations(spark, operations))
-    parts = [pipeline.target_rows(t, recorded).select("topic", "user_id", "off", *columns) for t in tables]
-    return union_feeds(parts)
+    pipeline = Pipeline(spark, PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual"), folder, f"d_{folder.rsplit('-', 1)[1][:12]}", buckets=8)
+    feed = spark.read.schema(FEED_SCHEMA).parquet(path)
+    cut = feed.agg(F.max("off") - F.floor(F.max("off") / 70)).first()[0]
+    for part in ([F.col("off") < cut, F.col("off") >= cut] if epochs else [F.lit(True)]):
+        feed.where(part).write.mode("append").parquet(f"{folder}/parts")
+        pipeline.run(read_files(spark, f"{folder}/parts", True, FILES), f"{folder}/checkpoint").awaitTermination()
+        if epochs:
+            for t in tables:
+                pipeline.fold_schema(t, operations)
+    return union_feeds([pipeline.target_rows(t, operations).select("topic", "user_id", "off", *columns) for t in tables])
+
+
+@query
+def stream_ddl_evolved_state(spark, sf_dir):
+    """Two streams, one of changes and one of DDL text: the text is parsed, gated and recorded,
+    and the state is read at the schema it leads to."""
+    return _ddl_streams(spark, sf_dir, epochs=False)
+
+
+@query
+def stream_ddl_epochs_state(spark, sf_dir):
+    """The same with schema epochs: operations that the data has passed are folded into the bases, and only later
+    ones are read."""
+    return _ddl_streams(spark, sf_dir, epochs=True)
 
 
 @query

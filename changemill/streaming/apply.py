@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changemill.functions.envelope import dead_rows, decode_envelope, good_rows
 from changemill.functions.types import conform
-from changemill.operators.evolve import evolve_rows
+from changemill.operators.evolve import evolve_in_chunks, evolve_rows
 from changemill.operators.fold import LIVE_OPS, split_insert_mode, update_mode_changes
 from changemill.operators.keys import duplicate_keys, orphan_counts
 from changemill.session import cut_lineage
@@ -183,14 +183,45 @@ class Pipeline:
         accepted, refused = split_insert_mode(found, keyed, keys, self.order)
         return cut_lineage(accepted.unionByName(rest)), cut_lineage(refused)
 
-    def target_rows(self, table: TableSpec, operations: Sequence[Row] = ()) -> DataFrame:
+    def target_rows(self, table: TableSpec, operations: DataFrame | Sequence[Row] = ()) -> DataFrame:
         """Rows of a target as its delete mode shows them, brought to the schema that the DDL
-        ``operations`` of its topic lead to."""
+        ``operations`` of its topic lead to. Of a table of operations those after the state's schema epoch are
+        read, whatever their number; a list is taken as it is."""
         state = self.state(table)
         rows = state.soft_deleted() if self.spec.delete_mode == "soft" else state.current()
+        if isinstance(operations, DataFrame):
+            later = self._operations_of(table, operations).where(F.col("off") > state.epoch())
+            return evolve_in_chunks(rows, later, self._fixed(table), self.order)
         columns = {f.name: f.dataType.simpleString() for f in table.row.fields if f.name not in table.keys}
         return evolve_rows(rows, operations, columns, one_table=True) if operations else rows
 
+    def fold_schema(self, table: TableSpec, operations: DataFrame) -> int:
+        """Write a new base at the schema epoch that the data has come to; gives the epoch.
+
+        Operations beyond what every partition has reached wait: rows in front of them may still come. From
+        then on only later operations are read.
+        """
+        state = self.state(table)
+        reached = state.vector().agg(F.min(state.order)).first()[0]
+        before = state.epoch()
+        due = self._operations_of(table, operations).where((F.col("off") > before) & (F.col("off") <= reached))
+        epoch = due.agg(F.max("off")).first()[0]
+        if epoch is None:
+            return before
+        state.compact(evolve=lambda rows: evolve_in_chunks(rows, due, self._fixed(table), self.order), epoch=epoch)
+        return epoch
+
+    def _fixed(self, table: TableSpec) -> list[str]:
+        return ["topic", *table.keys, "part", "off", "pos", "op", "__deleted"]
+
+    def _operations_of(self, table: TableSpec, operations: DataFrame) -> DataFrame:
+        topics = operations.withColumnRenamed("tbl", "topic")
+        return with_topic_parts(topics).where(
+            (F.col("db_id") == self.spec.db_id)
+            & (F.col("source_schema") == table.source_schema)
+            & (F.col("source_table") == table.source_table)
+        ).select(*topics.columns)
+
     def pending_truncates(self) -> DataFrame:
         """Truncates of the enabled tables that wait for a partition: (target_table, topic, part, off, ...)."""
         return union_feeds(

@@ -5,7 +5,8 @@
                     replay changes nothing and no batch is applied twice.
 ``<name>_base_<n>`` everything up to a batch, folded; bucketed by key, so joins on the key find
                     it already partitioned.
-``<name>_versions`` one row per compaction: the base and the batch it reaches.
+``<name>_versions`` one row per compaction: the base, the batch it reaches, and its schema epoch: the offset up to
+                    which DDL operations are folded into its rows.
 
 Rows compare by ``order``. By offset (the default) a truncate wipes the earlier rows of its own partition. By
 source position it wipes those of its table, once every partition has come to its position; till then it is
@@ -19,7 +20,7 @@ anti-joins their keys from the base; nothing is cached, so a replayed batch is n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,17 +79,24 @@ class StateTable:
         )
         return True
 
-    def compact(self, purge_deletes_before: int | None = None) -> None:
+    def compact(
+        self,
+        purge_deletes_before: int | None = None,
+        evolve: Callable[[DataFrame], DataFrame] | None = None,
+        epoch: int | None = None,
+    ) -> None:
         """Write a new base from the current one and all changes, then drop what it covers.
 
         Delete markers stay so that a replay cannot bring a row back; those below
-        ``purge_deletes_before`` (older than the feed's retention) are left out.
+        ``purge_deletes_before`` (older than the feed's retention) are left out. ``evolve`` brings the rows to the
+        schema of ``epoch``, which the new base then has.
         """
         batches = self._batches()
-        if not batches:
+        if not batches and evolve is None:
             return
-        through, version = max(batches), self._version() + 1
-        rows = self._folded().unionByName(self._lasting_marks(), allowMissingColumns=True)
+        through, version = max([*batches, self._reach()]), self._version() + 1
+        rows = self._folded() if evolve is None else evolve(self._folded())
+        rows = rows.unionByName(self._lasting_marks(), allowMissingColumns=True)
         if purge_deletes_before is not None:
             rows = rows.where((F.col(self.op) != "d") | (F.col("off") >= purge_deletes_before))
         base = f"{self.name}_base_{version}"
@@ -97,11 +105,13 @@ class StateTable:
         writer = self._writer(rows, f"base_{version}").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
         writer.mode("overwrite").saveAsTable(base)
         pointer = self.spark.range(1).select(
-            F.lit(version).cast("bigint").alias("version"), F.lit(through).cast("bigint").alias("through_batch")
+            F.lit(version).cast("bigint").alias("version"), F.lit(through).cast("bigint").alias("through_batch"),
+            F.lit(max(self.epoch(), -1 if epoch is None else epoch)).cast("bigint").alias("epoch"),
         )
         self._writer(pointer, "versions").mode("append").saveAsTable(f"{self.name}_versions")
         covered = ", ".join(f"PARTITION (batch_id = {b})" for b in batches)
-        self.spark.sql(f"ALTER TABLE {self.name}_changes DROP IF EXISTS {covered}")
+        if batches:
+            self.spark.sql(f"ALTER TABLE {self.name}_changes DROP IF EXISTS {covered}")
         if version > 1:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version - 2}")
 
@@ -196,7 +206,12 @@ class StateTable:
         versions = f"{self.name}_versions"
         if not self.spark.catalog.tableExists(versions):
             return None
-        return self.spark.table(versions).agg(F.max("version"), F.max("through_batch")).first()
+        return self.spark.table(versions).agg(F.max("version"), F.max("through_batch"), F.max("epoch")).first()
+
+    def epoch(self) -> int:
+        """Offset up to which the base has taken in DDL operations; -1 for none."""
+        pointer = self._pointer()
+        return pointer[2] if pointer else -1
 
     def _version(self) -> int:
         pointer = self._pointer()
@@ -266,13 +281,19 @@ class StateTable:
         else:
             rows = self._latest(recent.where(~F.col(self.op).isin(*MARKS)))
             if base is not None:
-                rows = self._over_base(base, rows)
+                rows = self._over_base(base, self._typed_like(base, rows))
         marks = self._wiped(before_batch)
         kept = rows.join(marks, self._scope, "left").where(
             F.col("_t_off").isNull() | (F.col(self.order) > F.col("_t_off"))
         )
         return kept.select(*rows.columns)
 
+    def _typed_like(self, base: DataFrame, recent: DataFrame) -> DataFrame:
+        """Recent rows with the types that the base has come to have."""
+        types = {f.name: f.dataType for f in base.schema.fields}
+        changed = {f.name for f in recent.schema.fields if f.name in types and types[f.name] != f.dataType}
+        return recent.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in changed else F.col(f"`{c}`") for c in recent.columns])
+
     def _over_base(self, base: DataFrame, recent: DataFrame) -> DataFrame:
         """Latest of base and recent changes per key.
 
