@@ -50,6 +50,10 @@ VIEWS: dict[str, str] = {
         FROM feed""",
     "lagging_feed": """
         SELECT * FROM partitioned_feed WHERE part < 5 OR 2 * pos <= (SELECT max(pos) FROM partitioned_feed)""",
+    # The users tables as their source holds them when the whole feed has been written.
+    "users_now": """
+        SELECT topic, user_id, event_type, value, (SELECT max(off) FROM feed) AS position
+        FROM (SELECT *, row_number() OVER (PARTITION BY topic, user_id ORDER BY off DESC) AS n FROM feed) AS f WHERE n = 1""",
     "orders_feed": """
         SELECT concat('client_1_db_2_v_1.shop.', CASE WHEN o_orderkey IS NULL THEN 'none' ELSE 'orders' END) AS topic,
                0 AS part, o_orderkey AS off,

@@ -486,6 +486,16 @@ WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE
 SELECT CASE WHEN topic LIKE '%users_3' THEN 'people' ELSE concat('shop_', split_part(topic, '.', 3)) END AS target_table, user_id, event_type, value, off
 FROM w WHERE op <> 'd'"""
 SQL["stream_dead_letters"] = "SELECT topic, off, damage AS error_class FROM damaged_feed WHERE damage IS NOT NULL AND topic NOT LIKE '%users_1'"
+SQL["stream_paused_truncates"] = """
+WITH t AS (SELECT topic, max(off) AS off FROM feed WHERE op = 't' GROUP BY topic)
+SELECT topic, off, CASE WHEN topic LIKE '%users_1' THEN 'failed' ELSE 'applied' END AS outcome FROM t
+UNION ALL SELECT topic, off, 'failed' FROM t WHERE topic LIKE '%users_1'"""
+SQL["stream_resumed_state"] = f"""
+WITH {folded()} SELECT topic, user_id, event_type, value, off FROM w WHERE op <> 'd' AND topic NOT LIKE '%users_0'
+UNION ALL SELECT topic, user_id, event_type, value, position FROM users_now WHERE topic LIKE '%users_0'"""
+SQL["stream_table_lifecycle"] = f"""
+WITH {folded()} SELECT topic, user_id, event_type, value, off FROM w WHERE op <> 'd' AND topic NOT LIKE '%users_1' AND topic NOT LIKE '%users_2'
+UNION ALL SELECT topic, user_id, event_type, value, position FROM users_now WHERE topic LIKE '%users_2'"""
 _BARRIERS = """
 WITH v AS (SELECT topic, part, max(pos) AS pos, max(off) + 1 AS next FROM {feed} GROUP BY topic, part),
 b AS (SELECT topic, CASE WHEN count(*) >= 6 THEN min(pos) END AS reached FROM v GROUP BY topic),

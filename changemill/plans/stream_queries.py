@@ -15,7 +15,7 @@ from changemill.functions.decode import utc_instant, zone_free
 from changemill.operators import evolve
 from changemill.plans.fixtures import table, view
 from changemill.plans.queries import STATE_COLUMNS, USER_KEYS, USER_ROW, damaged_messages, query
-from changemill.session import run_dir
+from changemill.session import lookup, run_dir
 from changemill.sources import snapshot
 from changemill.sources.feed import FEED_SCHEMA, read_files, union_feeds
 from changemill.spec import PipelineSpec, TableSpec
@@ -174,6 +174,80 @@ def stream_commit_positions(spark, sf_dir):
     return _partitioned(spark, sf_dir, "lagging_feed").commit_positions()
 
 
+def _users_pipeline(spark: SparkSession, folder: str, control=None) -> Pipeline:
+    tables = tuple(TableSpec("shop", f"users_{i}", USER_ROW, ("user_id",)) for i in range(4))
+    spec = PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual")
+    return Pipeline(spark, spec, folder, f"u_{folder.rsplit('-', 1)[1][:12]}", control=control, buckets=8)
+
+
+def _users_now(spark: SparkSession, sf_dir: str, t: TableSpec) -> tuple[DataFrame, str, int]:
+    """Rows of a users table at its source, its topic, and the position of the read."""
+    topic = f"client_1_db_2_v_1.{t.source_schema}.{t.source_table}"
+    rows = view(spark, sf_dir, "users_now").where(F.col("topic") == topic)
+    return rows.select("user_id", "event_type", "value"), topic, rows.agg(F.max("position")).first()[0]
+
+
+def _paused(spark: SparkSession, sf_dir: str) -> tuple[Pipeline, list]:
+    """A pipeline is paused while its feed brings truncates; they are queued, also when batches are replayed. On
+    resume one table cannot be read and stays queued; resuming again changes nothing for the other."""
+    folder = run_dir(spark, "paused")
+    running = [False]
+
+    def control() -> DataFrame:
+        sink = "RUNNING" if running[0] else "PAUSED"
+        return spark.range(1).select(F.lit(pipeline.name).alias("pipeline"), F.lit("RUNNING").alias("source_state"), F.lit(sink).alias("sink_state"))
+
+    def read_table(t: TableSpec) -> tuple[DataFrame, int]:
+        if t.source_table == "users_1":
+            raise ConnectionError("the source does not answer")
+        rows, _, position = _users_now(spark, sf_dir, t)
+        return rows, position
+
+    pipeline = _users_pipeline(spark, folder, control)
+    path = write_feed(user_messages(spark, sf_dir), folder)
+    for checkpoint in ("watch", "watch_again"):
+        pipeline.watch_truncates(read_files(spark, path, True, FILES_PER_BATCH + 3), f"{folder}/{checkpoint}").awaitTermination()
+    assert pipeline.resume(read_table) == []
+    running[0] = True
+    pipeline.run(read_files(spark, path, True, FILES_PER_BATCH + 3), f"{folder}/checkpoint").awaitTermination()
+    outcomes = pipeline.resume(read_table)
+    return pipeline, [*outcomes, *pipeline.resume(read_table)]
+
+
+@query
+def stream_paused_truncates(spark, sf_dir):
+    """What became of the truncates of a paused pipeline, try by try."""
+    return lookup(spark, _paused(spark, sf_dir)[1], "topic string,off bigint,outcome string")
+
+
+@query
+def stream_resumed_state(spark, sf_dir):
+    """The tables after that: one read anew, the others as the feed leaves them."""
+    pipeline, _ = _paused(spark, sf_dir)
+    return union_feeds([pipeline.state(t).current().select("topic", "user_id", "event_type", "value", "off") for t in pipeline.spec.tables])
+
+
+@query
+def stream_table_lifecycle(spark, sf_dir):
+    """Tables leave a running pipeline and one joins again: emptied and dropped rows do not come back when the whole
+    feed is replayed, and the table that joined has its rows as read, and what came behind them."""
+    folder = run_dir(spark, "lifecycle")
+    path, pipeline = write_feed(user_messages(spark, sf_dir), folder), _users_pipeline(spark, folder)
+    tables = pipeline.spec.tables
+    feed = spark.read.schema(FEED_SCHEMA).parquet(path)
+    cut = feed.agg(F.floor(F.max("off") / 2)).first()[0]
+    feed.where(F.col("off") < cut).write.mode("append").parquet(f"{folder}/parts")
+    pipeline.run(read_files(spark, f"{folder}/parts", True, FILES), f"{folder}/checkpoint").awaitTermination()
+    pipeline.remove_tables({"shop.users_1"}, "truncate")
+    pipeline.remove_tables({"shop.users_2"}, "drop")
+    feed.where(F.col("off") >= cut).write.mode("append").parquet(f"{folder}/parts")
+    pipeline.run(read_files(spark, f"{folder}/parts", True, FILES), f"{folder}/checkpoint").awaitTermination()
+    pipeline.add_table(tables[2], *_users_now(spark, sf_dir, tables[2]))
+    pipeline.recover(read_files(spark, path, True, FILES), f"{folder}/again").awaitTermination()
+    rows = [pipeline.state(t).current().select("topic", "user_id", "event_type", "value", "off") for t in tables]
+    return union_feeds(rows)
+
+
 @query
 def stream_evolved_state(spark, sf_dir):
     """Change stream with DDL between its changes: rows keep their offset in the state, and the

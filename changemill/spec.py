@@ -113,9 +113,20 @@ class PipelineSpec:
             return replace(self, tables=tuple(again if same(t) else t for t in self.tables))
         return replace(self, tables=(*self.tables, table))
 
+    def named(self, names: set[str]) -> tuple[TableSpec, ...]:
+        """Tables by ``schema.table``, or by a bare table name that only one schema has."""
+        found = []
+        for name in sorted(names):
+            fit = [t for t in self.tables if name in (f"{t.source_schema}.{t.source_table}", t.source_table)]
+            if len(fit) > 1:
+                raise ValueError(f"several schemas have a table {name}; name it with its schema")
+            found += fit
+        return tuple(found)
+
     def without_tables(self, names: set[str], allow_empty: bool = False) -> PipelineSpec:
         """Disable tables; the last enabled table only goes when ``allow_empty``."""
-        tables = tuple(replace(t, is_enabled=False) if t.source_table in names else t for t in self.tables)
+        going = self.named(names)
+        tables = tuple(replace(t, is_enabled=False) if t in going else t for t in self.tables)
         if not allow_empty and not any(t.is_enabled for t in tables):
             raise ValueError("removing these tables would leave the pipeline empty")
         return replace(self, tables=tables)

@@ -24,6 +24,7 @@ from changemill.operators.keys import duplicate_keys, orphan_counts
 from changemill.session import cut_lineage
 from changemill.sources.feed import union_feeds, with_topic_parts
 from changemill.spec import FREQUENCY_MINUTES, PipelineSpec, TableSpec
+from changemill.streaming.queue import TruncateQueue
 from changemill.tables.dead_letters import as_dead_letters, settle_rejects
 from changemill.tables.state_table import StateTable
 
@@ -222,6 +223,85 @@ class Pipeline:
             & (F.col("source_table") == table.source_table)
         ).select(*topics.columns)
 
+    # -- tables that leave and join ----------------------------------------------------------
+    def remove_tables(self, names: set[str], action: str = "keep", allow_empty: bool = False) -> None:
+        """Take tables out of the running pipeline; the next batch goes without them.
+
+        ``keep`` leaves their state as it is, ``truncate`` empties it, ``drop`` removes it with its files. Where a
+        state was is remembered, so that rows from before do not come back, not even by a replay.
+        """
+        if action not in ("keep", "truncate", "drop"):
+            raise ValueError(f"unknown action {action!r}")
+        changed = self.spec.without_tables(names, allow_empty)
+        for table in self.spec.named(names):
+            state = self.state(table)
+            if action == "keep" or not state.next_batch():
+                continue
+            left = state.vector().groupBy("topic").agg(F.max(state.order).alias("position")).collect()  # a topic a table
+            if action == "truncate":
+                for row in left:
+                    state.resync(None, row.topic, row.position + 1)
+            else:
+                note = self.spark.range(1).select(F.explode(F.array(*[
+                    F.struct(F.lit(table.target).alias("target_table"), F.lit(r.topic).alias("topic"), F.lit(r.position).cast("bigint").alias("position"))
+                    for r in left
+                ])).alias("n")).select("n.*")
+                note.write.format("parquet").option("path", f"{self.location}/{self._left}").mode("append").saveAsTable(self._left)
+                state.drop()
+        self.spec = changed
+
+    def add_table(self, table: TableSpec, rows: DataFrame, topic: str, position: int) -> None:
+        """Let a table join, or join again, with its rows as they were read at a position of its feed.
+
+        The rows are the base of its state; changes up to the position, replayed ones too, are behind it.
+        """
+        self.spec = self.spec.with_table(table)
+        known = self.spec.named({f"{table.source_schema}.{table.source_table}"})[0]
+        before = -1
+        if self.spark.catalog.tableExists(self._left):
+            found = self.spark.table(self._left).where(F.col("target_table") == known.target).agg(F.max("position")).first()[0]
+            before = -1 if found is None else found
+        self.state(known).resync(rows, topic, max(position, before + 1))
+
+    @property
+    def _left(self) -> str:
+        return f"{self.name}_left"
+
+    # -- truncates while paused --------------------------------------------------------------
+    @property
+    def queue(self) -> TruncateQueue:
+        return TruncateQueue(self.spark, self.name, self.location)
+
+    def watch_truncates(self, feed: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Queue the truncates that a paused pipeline's feed brings, to be carried out on resume."""
+        def on_batch(batch: DataFrame, batch_id: int) -> None:
+            found = [
+                good_rows(self.rows_of(batch, table)).where(F.col("op") == "t").select("topic", "off") for table in self.spec.enabled_tables
+            ]
+            self.queue.enqueue(union_feeds(found), batch_id)
+
+        return start(feed, on_batch, checkpoint, self.spec.frequency)
+
+    def resume(self, read_table: Callable[[TableSpec], tuple[DataFrame, int]]) -> list[tuple[str, int, str]]:
+        """Carry out the queued truncates, if both sides run: each table is read anew from its source.
+
+        ``read_table`` gives a table's rows and the position at which they were read. A resync can be done twice, what
+        fails stays queued, and nothing happens while a side is paused.
+        """
+        if self._control is not None and not may_run(self._control(), self.name):
+            return []
+
+        def carry_out(topic: str, off: int) -> bool:
+            parts = with_topic_parts(self.spark.range(1).select(F.lit(topic).alias("topic"))).first()
+            table = self.spec.named({f"{parts.source_schema}.{parts.source_table}"})[0]
+            rows, position = read_table(table)
+            if position < off:
+                return False  # read before the truncate
+            self.state(table).resync(rows, topic, position)
+            return True
+
+        return self.queue.drain(carry_out)
+
     def pending_truncates(self) -> DataFrame:
         """Truncates of the enabled tables that wait for a partition: (target_table, topic, part, off, ...)."""
         return union_feeds(

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from changemill.operators.barriers import barrier_floor, position_vector, with_release
 from changemill.operators.fold import LIVE_OPS, latest_per_key, latest_with_image
 from changemill.operators.truncates import commit_positions
+from changemill.session import delete_folder
 
 #: Rows of a state that are not rows of its table: truncates and positions of partitions.
 MARKS = ("t", "p")
@@ -82,21 +83,25 @@ class StateTable:
     def compact(
         self,
         purge_deletes_before: int | None = None,
-        evolve: Callable[[DataFrame], DataFrame] | None = None,
+        evolve: Callable[[DataFrame | None], DataFrame] | None = None,
         epoch: int | None = None,
+        marks: DataFrame | None = None,
     ) -> None:
         """Write a new base from the current one and all changes, then drop what it covers.
 
         Delete markers stay so that a replay cannot bring a row back; those below
-        ``purge_deletes_before`` (older than the feed's retention) are left out. ``evolve`` brings the rows to the
-        schema of ``epoch``, which the new base then has.
+        ``purge_deletes_before`` (older than the feed's retention) are left out. ``evolve`` rewrites the rows (None
+        of a state without any), for one to the schema of ``epoch``; ``marks`` are truncates that the base then has too.
         """
         batches = self._batches()
         if not batches and evolve is None:
             return
         through, version = max([*batches, self._reach()]), self._version() + 1
-        rows = self._folded() if evolve is None else evolve(self._folded())
-        rows = rows.unionByName(self._lasting_marks(), allowMissingColumns=True)
+        is_new = not batches and version == 1
+        folded = None if is_new else self._folded()
+        rows = folded if evolve is None else evolve(folded)
+        for more in (None if is_new else self._lasting_marks(), marks):
+            rows = rows if more is None else rows.unionByName(more, allowMissingColumns=True)
         if purge_deletes_before is not None:
             rows = rows.where((F.col(self.op) != "d") | (F.col("off") >= purge_deletes_before))
         base = f"{self.name}_base_{version}"
@@ -112,8 +117,10 @@ class StateTable:
         covered = ", ".join(f"PARTITION (batch_id = {b})" for b in batches)
         if batches:
             self.spark.sql(f"ALTER TABLE {self.name}_changes DROP IF EXISTS {covered}")
+            self._delete(*[f"changes/batch_id={b}" for b in batches])
         if version > 1:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version - 2}")
+            self._delete(f"base_{version - 2}")
 
     def maybe_compact(self, max_batches: int) -> bool:
         """Compact once so many batches lie on top of the base, which bounds what a read folds."""
@@ -126,11 +133,41 @@ class StateTable:
         """Whether a batch is part of the base already; its replay has nothing left to do."""
         return batch_id <= self._reach()
 
+    def resync(self, reads: DataFrame | None, topic: str, position: int) -> None:
+        """Replace what a topic had up to a position by the rows of its table as they were read there.
+
+        A new base has the reads, the changes behind the position, and truncates in front of it, so nothing older
+        comes back, whatever is replayed. The pointer moves last: a run that broke off is done again with the same
+        outcome. Without ``reads`` the topic is empty.
+        """
+        order = self.order
+
+        def replaced(rows: DataFrame | None) -> DataFrame:
+            here = reads if reads is not None else rows.where(F.lit(False))
+            for name, value in {self.table: F.lit(topic), "part": F.lit(0), "off": F.lit(position), order: F.lit(position), self.op: F.lit("r")}.items():
+                kind = rows.schema[name].dataType if rows is not None else {"part": "int", "off": "bigint", order: "bigint"}.get(name, "string")
+                here = here.withColumn(name, value.cast(kind))
+            if rows is None:
+                return here
+            behind = rows.where((F.col(self.table) != topic) | (F.col(order) > position))
+            return behind.unionByName(here.join(behind.select(*self.keys), self.keys, "left_anti"), allowMissingColumns=True)
+
+        has_rows = self._version() > 0 or bool(self._batches())
+        if reads is None and not has_rows:
+            return
+        parts = self.spark.range(1).select(F.lit(0).alias("part"))
+        if has_rows:
+            parts = parts.union(self._all().where(F.col(self.table) == topic).select("part")).distinct()
+        at = {self.table: F.lit(topic), "off": F.lit(position - 1).cast("bigint"), order: F.lit(position - 1).cast("bigint"), self.op: F.lit("t")}
+        self.compact(evolve=replaced, marks=parts.withColumns(at))
+
     def drop(self) -> None:
         for version in range(self._version() + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_base_{version}")
+            self._delete(f"base_{version}")
         for part in ("changes", "versions"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
+            self._delete(part)
 
     # -- reading ---------------------------------------------------------------------------
     def current(self, before_batch: int | None = None) -> DataFrame:
@@ -177,6 +214,11 @@ class StateTable:
         writer = df.write.format("parquet")
         return writer.option("path", f"{self.location}/{self.name}_{part}") if self.location else writer
 
+    def _delete(self, *parts: str) -> None:
+        """Files of dropped tables: those at a location of their own are not deleted with the table."""
+        for part in parts if self.location else ():
+            delete_folder(self.spark, f"{self.location}/{self.name}_{part}")
+
     def _with_markers(self, batch: DataFrame) -> DataFrame:
         """The batch folded in one pass: truncates have no key and are kept each, as rows of a null key."""
         if "part" not in batch.columns:

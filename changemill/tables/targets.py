@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemill.operators.evolve import empty_table
+from changemill.sources.feed import with_topic_parts
 from changemill.spec import PipelineSpec, TableSpec
 
 
@@ -90,13 +91,17 @@ def remove_tables(
     """Take tables out of a pipeline: mapping disabled, targets kept, truncated or dropped, and
     their feed positions forgotten, so that adding them again starts afresh."""
     changed = spec.without_tables(set(tables), allow_empty)
-    targets = [t.target for t in spec.tables if t.source_table in set(tables)]
+    going = spec.named(set(tables))
+    targets = [t.target for t in going]
     if action == "truncate":
         truncate_targets(spark, targets)
     elif action == "drop":
         drop_targets(spark, targets, allowed=True)
-    segment = F.element_at(F.split("topic", r"\."), -1)
-    return changed, offsets.where(~segment.isin(*tables))
+    parts = with_topic_parts(offsets)
+    gone = F.lit(False)
+    for t in going:
+        gone = gone | ((F.col("source_schema") == t.source_schema) & (F.col("source_table") == t.source_table))
+    return changed, parts.where(~gone).select(*offsets.columns)
 
 
 def add_tables(spec: PipelineSpec, tables: Sequence[TableSpec]) -> tuple[PipelineSpec, list[str]]:
