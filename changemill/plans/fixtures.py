@@ -352,6 +352,22 @@ VIEWS: dict[str, str] = {
                'DROP_COLUMN' AS operation, 'event_type' AS column_name, CAST(NULL AS VARCHAR(20)) AS new_name,
                CAST(NULL AS VARCHAR(20)) AS type_name, CAST(NULL AS VARCHAR(20)) AS default_value
         FROM feed""",
+    # Statements on indexes, and one on something else.
+    "index_text": """
+        SELECT p_partkey AS ddl_id, 'postgresql' AS system, concat('t', CAST(p_partkey AS VARCHAR(19))) AS tbl,
+               CASE p_partkey % 4
+                    WHEN 0 THEN concat('CREATE UNIQUE INDEX IF NOT EXISTS i', CAST(p_partkey AS VARCHAR(19)), ' ON t', CAST(p_partkey AS VARCHAR(19)), ' (a, b)')
+                    WHEN 1 THEN concat('create index i', CAST(p_partkey AS VARCHAR(19)), ' on t', CAST(p_partkey AS VARCHAR(19)), ' (c)')
+                    WHEN 2 THEN concat('DROP INDEX IF EXISTS i', CAST(p_partkey AS VARCHAR(19)))
+                    ELSE 'ALTER TABLE t ADD x INT' END AS ddl
+        FROM part""",
+    "column_defaults": """
+        SELECT p_partkey AS col_id, CASE p_partkey % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'boolean' ELSE 'number' END AS kind,
+               CASE WHEN p_partkey % 5 = 4 THEN NULL
+                    WHEN p_partkey % 3 = 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'TRUE' ELSE 'false' END
+                    ELSE CAST(p_size AS VARCHAR(9)) END AS value,
+               p_partkey % 7 = 0 AS auto_increment, p_partkey % 11 = 0 AS is_key, p_partkey % 2 = 0 AS optional
+        FROM part""",
     # Four operations a nation: a column is added, then dropped, renamed or widened, then added again, and one that
     # never was is dropped.
     "orders_operations": """

@@ -486,6 +486,25 @@ WITH good AS (SELECT * FROM damaged_feed WHERE damage IS NULL AND topic NOT LIKE
 SELECT CASE WHEN topic LIKE '%users_3' THEN 'people' ELSE concat('shop_', split_part(topic, '.', 3)) END AS target_table, user_id, event_type, value, off
 FROM w WHERE op <> 'd'"""
 SQL["stream_dead_letters"] = "SELECT topic, off, damage AS error_class FROM damaged_feed WHERE damage IS NOT NULL AND topic NOT LIKE '%users_1'"
+_DOTTED = "SELECT '{0}' AS system, concat(source_schema, '.', source_table) AS name FROM mapping WHERE is_enabled"
+SQL["included_names"] = " UNION ALL ".join([
+    "SELECT 'mysql' AS system, concat('shop.', source_table) AS name FROM mapping WHERE is_enabled",
+    *[_DOTTED.format(system) for system in ("postgresql", "mssql", "oracle")],
+    "SELECT * FROM (VALUES ('postgresql', 'ddl_capture.ddl_events'), ('mssql', 'dbo.debezium_signal'), ('oracle', 'APP.DEBEZIUM_SIGNAL')) AS v(system, name)",
+])
+SQL["tables_with_rows"] = " UNION ALL ".join(f"SELECT '{name}' AS tbl WHERE EXISTS (SELECT 1 FROM {name})" for name in TABLES)
+SQL["created_target"] = "SELECT * FROM orders"
+SQL["refreshed_target"] = "SELECT * FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"
+SQL["wrapped_key_changes"] = "SELECT topic, off, op, user_id FROM feed WHERE op <> 't'"
+SQL["index_operations"] = """
+SELECT ddl_id, CASE WHEN ddl_id % 4 < 2 THEN 'ADD_INDEX' ELSE 'DROP_INDEX' END AS operation, tbl, concat('i', ddl_id) AS index_name,
+       CASE ddl_id % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'c' END AS index_columns, CASE ddl_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS is_unique
+FROM index_text WHERE ddl_id % 4 < 3"""
+SQL["default_literals"] = """
+SELECT col_id, CASE WHEN value IS NULL OR auto_increment THEN NULL WHEN kind = 'string' THEN chr(39) || value || chr(39)
+                    WHEN kind = 'boolean' THEN CASE WHEN lower(value) = 'true' THEN '1' ELSE '0' END ELSE value END AS default_text,
+       is_key OR NOT optional AS not_null FROM column_defaults"""
+SQL["stream_registry_hold"] = SQL["truncate_aware_state"]
 SQL["stream_paused_truncates"] = """
 WITH t AS (SELECT topic, max(off) AS off FROM feed WHERE op = 't' GROUP BY topic)
 SELECT topic, off, CASE WHEN topic LIKE '%users_1' THEN 'failed' ELSE 'applied' END AS outcome FROM t

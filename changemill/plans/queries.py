@@ -23,8 +23,9 @@ from changemill.operators import (
     truncates,
 )
 from changemill.plans.fixtures import TABLES, table, view
-from changemill.session import lookup, measured
+from changemill.session import lookup, measured, run_dir
 from changemill.sources import ddl_feed, feed as feeds, profile, signals, snapshot
+from changemill.tables import targets
 from changemill.spec import tables_without_keys as keyless
 from changemill.streaming.events import events_per_window
 from changemill.tables.dead_letters import as_dead_letters
@@ -535,6 +536,54 @@ def unassigned_tables(spark, sf_dir):
     return reconcile.unassigned_tables(view(spark, sf_dir, "listing"), view(spark, sf_dir, "assigned"), view(spark, sf_dir, "emptiness"))
 
 
+@query
+def included_names(spark, sf_dir):
+    """Names that a source of each system lists: enabled tables, and its capture or signal table."""
+    mapping = view(spark, sf_dir, "mapping").withColumn("database", F.lit("shop"))
+    systems = ("mysql", "postgresql", "mssql", "oracle")
+    return feeds.union_feeds([feeds.include_list(mapping, s, "app").select(F.lit(s).alias("system"), "name") for s in systems])
+
+
+@query
+def tables_with_rows(spark, sf_dir):
+    """Tables that have a row, one without any beside them."""
+    tables = {name: table(spark, sf_dir, name) for name in TABLES}
+    return reconcile.non_empty_tables({**tables, "no_orders": tables["orders"].where("o_orderkey < 0")})
+
+
+@query
+def created_target(spark, sf_dir):
+    """A target made from its source's schema and loaded; a second creation leaves it as it is."""
+    orders = table(spark, sf_dir, "orders")
+    name = "created_" + run_dir(spark, "x").rsplit("-", 1)[1]
+    targets.create_target(spark, name, orders.schema)
+    orders.write.insertInto(name)
+    targets.create_target(spark, name, orders.select("o_orderkey").schema)
+    return spark.table(name)
+
+
+@query
+def refreshed_target(spark, sf_dir):
+    """A target loaded anew twice, the second time from itself; in between a refresh that may not drop is skipped."""
+    orders = table(spark, sf_dir, "orders")
+    name = "refreshed_" + run_dir(spark, "x").rsplit("-", 1)[1]
+    targets.full_refresh(spark, name, orders.where("o_orderkey % 2 = 0"))
+    targets.full_refresh(spark, name, orders, drop_before_sync=False)
+    targets.full_refresh(spark, name, spark.table(name).unionByName(orders.where("o_orderkey % 2 = 1 AND o_orderkey % 3 = 0")))
+    return spark.table(name)
+
+
+@query
+def wrapped_key_changes(spark, sf_dir):
+    """Changes whose keys come wrapped with their schema; deletes are tombstones, so the key alone names the row."""
+    feed = view(spark, sf_dir, "feed").where("op <> 't'")
+    key = F.to_json(F.struct(F.struct(F.lit("struct").alias("type")).alias("schema"), F.struct("user_id").alias("payload")))
+    messages = envelope.encode_envelope(feed, ["user_id", "event_type", "value"], ["user_id"]).drop("key")
+    messages = messages.join(feed.select("topic", "off", "op", key.alias("key")), ["topic", "off"])
+    messages = messages.withColumn("value", F.when(F.col("op") != "d", F.col("value"))).drop("op")
+    return envelope.good_rows(envelope.decode_envelope(messages, USER_ROW, ["user_id"])).select("topic", "off", "op", "user_id")
+
+
 # ---- Types, schema differences, DDL --------------------------------------------------------
 
 
@@ -610,6 +659,20 @@ def column_renames(spark, sf_dir):
     return ddl.explicit_renames(view(spark, sf_dir, "ddl_text"))
 
 
+@query
+def index_operations(spark, sf_dir):
+    """Statements that make and drop indexes, as operations."""
+    found = ddl.index_statements(view(spark, sf_dir, "index_text"))
+    return found.select("ddl_id", "operation", "tbl", "index_name", "index_columns", F.col("is_unique").cast("string").alias("is_unique"))
+
+
+@query
+def default_literals(spark, sf_dir):
+    """Defaults as literals of a new column, and whether it must not be null."""
+    text = evolve.default_literal(F.col("kind"), F.col("value"), F.col("auto_increment"))
+    return view(spark, sf_dir, "column_defaults").select("col_id", text.alias("default_text"), evolve.not_null(F.col("is_key"), F.col("optional")).alias("not_null"))
+
+
 @query
 def table_renames(spark, sf_dir):
     return ddl.table_renames(view(spark, sf_dir, "rename_text"), view(spark, sf_dir, "ddl_targets"))
