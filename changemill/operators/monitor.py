@@ -140,17 +140,33 @@ def incidents(samples: DataFrame, slice_unit: str = "HOUR") -> DataFrame:
     resolutions. Both look-ups of a neighbouring row go slice by slice, so a pipeline that
     holds much of all samples is spread over its hours, and all kinds share one sort.
     """
+    # Few rows are left of the turns; they are read twice below, so they are computed once and kept.
+    return paired_turns(cut_lineage(signal_turns(samples, slice_unit)), slice_unit)
+
+
+def signal_turns(samples: DataFrame, slice_unit: str = "HOUR", standing: DataFrame | None = None) -> DataFrame:
+    """Samples at which an alert kind's signal differs from the one before: (pipeline, ts, check_id, event_type, signal).
+
+    ``standing``: last turns of earlier samples, in the same form; signals go on from them. Without any a signal starts at 0.
+    """
     order, hour = ["ts", "check_id"], F.date_trunc(slice_unit, F.col("ts"))
-    signals = samples.select("pipeline", *order, *[s.alias(k) for k, s in alert_signals().items()])
+    signals = samples.select("pipeline", *order, *[s.alias(k) for k, s in alert_signals().items()], F.lit(False).alias("_old"))
+    if standing is not None:
+        last = {k: F.max_by(F.when(F.col("event_type") == k, F.col("signal")), F.when(F.col("event_type") == k, F.struct(*order))).alias(k) for k in ALERT_KINDS}
+        rows = standing.groupBy("pipeline").agg(F.max(F.struct(*order)).alias("_at"), *last.values())
+        signals = signals.unionByName(rows.select("pipeline", "_at.*", *ALERT_KINDS, F.lit(True).alias("_old")))
     before = {f"_{k}": F.col(k) for k in ALERT_KINDS}
-    marked = nearest_in_group(signals, ["pipeline"], order, before, hour)
+    marked = nearest_in_group(signals, ["pipeline"], order, before, hour).where("NOT _old")
     turned = [
         F.when(F.coalesce(f"_{k}", F.lit(0)) != F.col(k), F.struct(F.lit(k).alias("event_type"), F.col(k).alias("signal")))
         for k in ALERT_KINDS
     ]
-    turns = marked.select("pipeline", *order, F.inline(F.array_compact(F.array(*turned))))
-    # Few rows are left; they are read twice below, so they are computed once and kept.
-    turns = cut_lineage(turns)
+    return marked.select("pipeline", *order, F.inline(F.array_compact(F.array(*turned))))
+
+
+def paired_turns(turns: DataFrame, slice_unit: str = "HOUR") -> DataFrame:
+    """Each opening turn with the time of the next turn of its kind."""
+    order, hour = ["ts", "check_id"], F.date_trunc(slice_unit, F.col("ts"))
     paired = nearest_in_group(turns, ["pipeline", "event_type"], order, {"resolved_at": F.col("ts")}, hour, following=True)
     return paired.where("signal = 1").select("pipeline", "event_type", F.col("check_id").alias("opened_by"), F.col("ts").alias("opened_at"), "resolved_at")
 

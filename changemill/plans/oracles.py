@@ -505,6 +505,7 @@ SELECT col_id, CASE WHEN value IS NULL OR auto_increment THEN NULL WHEN kind = '
                     WHEN kind = 'boolean' THEN CASE WHEN lower(value) = 'true' THEN '1' ELSE '0' END ELSE value END AS default_text,
        is_key OR NOT optional AS not_null FROM column_defaults"""
 SQL["stream_registry_hold"] = SQL["truncate_aware_state"]
+SQL["stream_incidents"] = SQL["incidents"]
 SQL["stream_paused_truncates"] = """
 WITH t AS (SELECT topic, max(off) AS off FROM feed WHERE op = 't' GROUP BY topic)
 SELECT topic, off, CASE WHEN topic LIKE '%users_1' THEN 'failed' ELSE 'applied' END AS outcome FROM t

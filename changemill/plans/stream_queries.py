@@ -24,6 +24,7 @@ from changemill.sources.feed import FEED_SCHEMA, read_files, union_feeds
 from changemill.spec import PipelineSpec, TableSpec
 from changemill.streaming.apply import Pipeline, fold_into, start
 from changemill.streaming.ddl import read_operations, record_into
+from changemill.streaming.incidents import IncidentLog
 from changemill.streaming.events import events_per_window, once_per_event
 from changemill.tables.dead_letters import read_dead_letters
 from changemill.tables.state_table import StateTable
@@ -331,6 +332,23 @@ def stream_ddl_epochs_state(spark, sf_dir):
     return _ddl_streams(spark, sf_dir, epochs=True)
 
 
+@query
+def stream_incidents(spark, sf_dir):
+    """Incidents of a stream of status samples, a few hours a batch: opened, kept silent and resolved across batches."""
+    folder = run_dir(spark, "incidents")
+    samples = view(spark, sf_dir, "health_samples")
+    path, cuts = f"{folder}/samples", samples.select(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    width = (cuts.high - cuts.low) / 6
+    for i in range(6):  # one file a batch, in the order of time
+        later = F.col("ts") >= F.lit(cuts.low + i * width)
+        part = samples.where(later if i == 5 else later & (F.col("ts") < F.lit(cuts.low + (i + 1) * width)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log = IncidentLog(spark, f"i_{folder.rsplit('-', 1)[1][:12]}", folder)
+    start(stream, log.on_batch, f"{folder}/checkpoint").awaitTermination()
+    return log.incidents()
+
+
 @query
 def stream_events_per_op_window(spark, sf_dir):
     """Windowed counters in append mode: the windows that are final behind a ten-minute watermark."""

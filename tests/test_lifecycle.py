@@ -104,3 +104,41 @@ def test_actions_on_tables_that_leave(spark, rows):
     pipeline.remove_tables({"c"}, "drop", allow_empty=True)  # it never had a state
     with pytest.raises(ValueError, match="unknown action"):
         pipeline.remove_tables({"a"}, "burn")
+
+
+def test_incidents_do_not_depend_on_cuts(spark, rows):
+    """Batches of any size, replayed ones too, give the incidents of all samples at once."""
+    import random
+
+    from changemill.operators import monitor
+    from changemill.streaming.incidents import IncidentLog
+
+    rnd = random.Random(4)
+    states = ["RUNNING", "RUNNING", "FAILED", "PAUSED", "NOT_FOUND"]
+    samples = [(f"p{rnd.randint(0, 2)}", i, i * 700, rnd.choice(states), rnd.random() < 0.2, rnd.choice(states), rnd.random() < 0.1) for i in range(160)]
+    schema = "pipeline string, check_id long, at long, source_state string, source_task_failed boolean, sink_state string, sink_task_failed boolean"
+    df = spark.createDataFrame(samples, schema).selectExpr("* EXCEPT (at)", "timestamp_seconds(at) AS ts")
+    log, at, number = IncidentLog(spark, "cuts", run_dir(spark, "cuts")), 0, 0
+    with pytest.raises(ValueError, match="no batch"):
+        log.incidents()
+    while at < len(samples):
+        upto = at + rnd.choice([0, 1, 9, 40])
+        batch = df.where(f"check_id >= {at} AND check_id < {upto}")
+        log.on_batch(batch, number)
+        if rnd.random() < 0.4:
+            log.on_batch(batch, number)
+        at, number = upto, number + 1
+    found = rows(log.incidents())
+    assert found == rows(monitor.incidents(df)) and len(found) > 10
+
+
+def test_progress_beyond_what_the_driver_holds(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from changemill.streaming.progress import ProgressLog
+
+    log = ProgressLog(spark, str(tmp_path / "progress"), keep=3)
+    for i in range(10):
+        log.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(name="q", id=1, batchId=i, numInputRows=i, timestamp="t")))
+    assert len(log.rows) == 1
+    assert sorted(r.batch_id for r in log.as_rows(spark).collect()) == list(range(10))
