@@ -526,6 +526,8 @@ w AS (SELECT r.topic, r.part, r.user_id, r.event_type, r.value, r.off, r.pos FRO
       WHERE r.n = 1 AND r.op <> 'd' AND (last.pos IS NULL OR r.pos > last.pos))"""
 SQL["partitioned_state"] = SQL["stream_partitioned_state"] = _BARRIERS.format(feed="partitioned_feed") + " SELECT * FROM w"
 SQL["stream_lagging_partition_state"] = _BARRIERS.format(feed="lagging_feed") + " SELECT * FROM w"
+_REACHED = "CASE WHEN count(*) >= 6 THEN min(pos) END"
+SQL["stream_heartbeat_state"] = _BARRIERS.format(feed="lagging_feed").replace(_REACHED, "(SELECT max(pos) FROM lagging_feed)") + " SELECT * FROM w"
 SQL["pending_truncates"] = SQL["stream_pending_truncates"] = (
     _BARRIERS.format(feed="lagging_feed") + " SELECT topic, part, off, pos FROM t WHERE NOT released"
 )

@@ -138,17 +138,24 @@ def _all_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows, rejects
 
 
-def _partitioned(spark: SparkSession, sf_dir: str, feed: str) -> Pipeline:
+def _partitioned(spark: SparkSession, sf_dir: str, feed: str, heartbeats: bool = False) -> Pipeline:
     """A pipeline over topics of six partitions, which come one after the other: truncates arrive early in the
     first ones, and each waits for the partitions that are behind it."""
     folder = run_dir(spark, "partitions")
     messages = envelope.encode_envelope(view(spark, sf_dir, feed), ["user_id", "event_type", "value"], ["user_id"])
     shaped = messages.withColumn("ts", F.lit(None).cast("timestamp_ntz")).select(*FEED_SCHEMA.names)
     shaped.repartitionByRange(FILES, "part", "off").write.parquet(f"{folder}/feed")
+    if heartbeats:  # the source goes on, though one partition has nothing to say
+        beat = F.concat(F.lit('{"source": {"lsn": '), F.col("pos").cast("string"), F.lit("}}"))
+        last = view(spark, sf_dir, feed).agg(F.max("pos").alias("pos")).select(
+            F.lit("__debezium-heartbeat.client_1_db_2_v_1").alias("topic"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("off"),
+            F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("{}").alias("key"), beat.alias("value"),
+        )
+        last.write.mode("append").parquet(f"{folder}/feed")
     tables = tuple(TableSpec("shop", f"users_{i}", USER_ROW, ("user_id",)) for i in range(4))
-    spec = PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual", ordering="position", partitions=6)
+    spec = PipelineSpec(1, 2, "mysql", "shop", tables, frequency="manual", ordering="position", partitions=6, heartbeats_advance=heartbeats)
     pipeline = Pipeline(spark, spec, folder, f"q_{folder.rsplit('-', 1)[1][:12]}", buckets=8, compact_every=2)
-    pipeline.run(read_files(spark, f"{folder}/feed", True, FILES_PER_BATCH), f"{folder}/checkpoint").awaitTermination()
+    pipeline.run(read_files(spark, f"{folder}/feed", True, None if heartbeats else FILES_PER_BATCH), f"{folder}/checkpoint").awaitTermination()
     return pipeline
 
 
@@ -166,6 +173,13 @@ def stream_lagging_partition_state(spark, sf_dir):
     return union_feeds([pipeline.state(t).current().select("topic", "part", "user_id", "event_type", "value", "off", "pos") for t in pipeline.spec.tables])
 
 
+@query
+def stream_heartbeat_state(spark, sf_dir):
+    """One partition falls idle; a heartbeat of the source shows that nothing is missing, and no truncate waits for it."""
+    pipeline = _partitioned(spark, sf_dir, "lagging_feed", heartbeats=True)
+    return union_feeds([pipeline.state(t).current().select("topic", "part", "user_id", "event_type", "value", "off", "pos") for t in pipeline.spec.tables])
+
+
 @query
 def stream_pending_truncates(spark, sf_dir):
     """Truncates that wait for the partition that is behind."""

@@ -64,6 +64,9 @@ class PipelineSpec:
     ordering: str = "offset"
     #: Partitions of a topic; None takes those seen so far for all.
     partitions: int | None = None
+    #: Whether a heartbeat advances every partition to its source position. Set it where a batch that has a
+    #: heartbeat has every change before it, too: one reader of all topics, batches without a limit of rows.
+    heartbeats_advance: bool = False
 
     @property
     def prefix(self) -> str:
@@ -84,6 +87,8 @@ class PipelineSpec:
             ("frequency", self.frequency, ("realtime", "manual", *FREQUENCY_MINUTES)),
         ]
         found += [f"unknown {what} {value!r}" for what, value, known in checks if value not in known]
+        if self.heartbeats_advance and self.ordering != "position":
+            found.append("heartbeats advance positions only under ordering by position")
         if not self.enabled_tables:
             found.append("no enabled table")
         if self.insert_mode in ("upsert", "update") and self.key_mode == "none":

@@ -14,13 +14,15 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from changemill.functions.envelope import dead_rows, decode_envelope, good_rows
+from changemill.functions.envelope import dead_rows, decode_envelope, envelope_schema, good_rows, source_position
 from changemill.functions.types import conform
 from changemill.operators.evolve import evolve_in_chunks, evolve_rows
 from changemill.operators.fold import LIVE_OPS, split_insert_mode, update_mode_changes
 from changemill.operators.keys import duplicate_keys, orphan_counts
+from changemill.operators.monitor import HEARTBEAT_TOPICS
 from changemill.session import cut_lineage
 from changemill.sources.feed import union_feeds, with_topic_parts
 from changemill.spec import FREQUENCY_MINUTES, PipelineSpec, TableSpec
@@ -136,26 +138,34 @@ class Pipeline:
         shared = len(self.spec.enabled_tables) > 1
         batch = batch.persist() if shared else batch
         number = self.first_batch + batch_id
+        beat = self._heartbeat(batch) if self.spec.heartbeats_advance else None
         try:
             # The tables' jobs are independent; a few at a time keep a cluster busy.
             with ThreadPoolExecutor(self._tables_at_once) as pool:
-                list(pool.map(lambda table: self._apply_table(batch, table, number), self.spec.enabled_tables))
+                list(pool.map(lambda table: self._apply_table(batch, table, number, beat), self.spec.enabled_tables))
         finally:
             if shared:
                 batch.unpersist()
 
-    def _apply_table(self, batch: DataFrame, table: TableSpec, number: int) -> None:
+    def _heartbeat(self, batch: DataFrame) -> int | None:
+        """Last source position that a heartbeat of this pipeline's source brings, if one does."""
+        mine = batch.where(F.col("topic").rlike(HEARTBEAT_TOPICS) & F.col("topic").contains(f".{self.spec.prefix}_"))
+        position = F.from_json("value", envelope_schema(T.StructType(), position=True))
+        found = mine.select(position.alias("v")).select(F.coalesce(source_position("v.source"), source_position("v.payload.source")).alias("at"))
+        return found.agg(F.max("at")).first()[0]
+
+    def _apply_table(self, batch: DataFrame, table: TableSpec, number: int, beat: int | None = None) -> None:
         state = self.state(table)
         if state.covers(number):
             return
         # Decoded once for the rejects and the rows that are applied.
         rows = self.rows_of(batch, table).persist()
         try:
-            self._apply_rows(rows, table, state, number)
+            self._apply_rows(rows, table, state, number, beat)
         finally:
             rows.unpersist()
 
-    def _apply_rows(self, rows: DataFrame, table: TableSpec, state: StateTable, number: int) -> None:
+    def _apply_rows(self, rows: DataFrame, table: TableSpec, state: StateTable, number: int, beat: int | None = None) -> None:
         rejects = as_dead_letters(
             dead_rows(rows).select("topic", "part", "off", "_raw_key", "_raw_value", "_error"), "decode", F.col("_error"), batch_id=number
         )
@@ -167,6 +177,12 @@ class Pipeline:
             if refused is not None:
                 rejects = rejects.unionByName(as_dead_letters(refused, "insert", F.col("reason"), batch_id=number))
         settle_rejects(rejects, self.spec.tolerance, f"{self.location}/dead_letters/{table.target}")
+        if beat is not None:
+            topics = good.select("topic", "part")
+            if state.has_rows_before(number):
+                topics = topics.unionByName(state.vector(number).select("topic", "part"))
+            # Cut off from the state's table, whose partition they go to.
+            good = good.unionByName(cut_lineage(state.standing(topics, beat)), allowMissingColumns=True)
         state.apply(good, number)
         if self._compact_every:
             state.maybe_compact(self._compact_every)

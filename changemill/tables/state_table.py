@@ -220,16 +220,24 @@ class StateTable:
             delete_folder(self.spark, f"{self.location}/{self.name}_{part}")
 
     def _with_markers(self, batch: DataFrame) -> DataFrame:
-        """The batch folded in one pass: truncates have no key and are kept each, as rows of a null key."""
+        """The batch folded in one pass: marks have no key and are kept each, as rows of a null key."""
         if "part" not in batch.columns:
             batch = batch.withColumn("part", F.lit(0))
         if self.order not in batch.columns:
             raise ValueError(f"the rows have no column {self.order}")
         keyless = {
-            key: F.when(F.col(self.op) != "t", F.col(key)) for key in self.keys if key != self.table
+            key: F.when(~F.col(self.op).isin(*MARKS), F.col(key)) for key in self.keys if key != self.table
         }
-        truncate = F.when(F.col(self.op) == "t", F.struct("part", "off"))
-        return self._latest(batch.withColumns({**keyless, "_truncate": truncate}), [*self.keys, "_truncate"]).drop("_truncate")
+        mark = F.when(F.col(self.op).isin(*MARKS), F.struct(self.op, "part", "off"))
+        return self._latest(batch.withColumns({**keyless, "_mark": mark}), [*self.keys, "_mark"]).drop("_mark")
+
+    def standing(self, topics: DataFrame, position: int) -> DataFrame:
+        """Marks that every partition of the topics has come to a position, to be applied with a batch."""
+        parts = topics.select(self.table, "part")
+        if self.partitions is not None:
+            parts = topics.select(self.table).distinct().select(self.table, F.explode(F.sequence(F.lit(0), F.lit(self.partitions - 1))).alias("part"))
+        mark = {"off": F.lit(None).cast("bigint"), self.order: F.lit(position).cast("bigint"), self.op: F.lit("p")}
+        return parts.distinct().withColumns(mark)
 
     def _latest(self, rows: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
         if self.keep_images:
