@@ -3,9 +3,12 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 
 from changemill.llm import ngram_join
+from changemill.llm.queries import QUERIES
+from changemill.llm.sql import oracle_sql
 
 SCHEMA = "doc_id long, text string, node string, comp string"
 
@@ -89,3 +92,11 @@ def test_edge_cases(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 1), (False, 3), (True, None)]
     assert ngram_join.classify(df.limit(0)).count() == 0
+
+
+def test_op6_equals_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    expected = con.execute(oracle_sql()["op6_ngram_join"]).fetchall()
+    found = QUERIES["op6_ngram_join"](spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
