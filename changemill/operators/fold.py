@@ -191,7 +191,7 @@ def split_insert_mode(
     existing = state.select(*keys).distinct().withColumn("_exists", F.lit(True))
     before = {"_before": F.col(op), "_deleted": F.when(F.col(op) == "d", F.col(order))}
     marked = nearest_in_group(changes, list(keys), [order], before, F.floor(F.col(order) / _SLICE))
-    marked = join_spread(marked.where(F.col(op).isin(*LIVE_OPS)), existing, list(keys), "left")
+    marked = join_spread(marked.where(F.col(op).isin(*LIVE_OPS)), existing, list(keys), "left", changes, large=True)
     reason = F.when(F.col("_exists") & F.col("_deleted").isNull(), F.lit("key_exists")).when(
         F.col("_before").isin(*LIVE_OPS), F.lit("duplicate_in_batch")
     )

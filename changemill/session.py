@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,19 +60,37 @@ def measured(df: DataFrame) -> DataFrame:
     return cached
 
 
-SALTS = 16
+#: Rows of one key that a task may get; those of a key with more go to ``SALTS`` places.
+HOT, SALTS = 1 << 16, 16
 
 
-def join_spread(rows: DataFrame, verdicts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def spread(rows: DataFrame, verdicts: DataFrame, keys: Sequence[str], counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows and verdicts with the ``_salt`` they meet on, see :func:`join_spread`."""
+    hot = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_n"))
+    # At most one in ``HOT`` of the rows.
+    hot = F.broadcast(hot.where(F.col("_n") > HOT).select(*keys, F.lit(True).alias("_hot")))
+    place = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    # Rows without a key meet nothing, wherever they go.
+    free = reduce(or_, [F.col(k).isNull() for k in keys], F.col("_hot").isNotNull())
+    salted = rows.join(hot, list(keys), "left").withColumn("_salt", F.when(free, place).otherwise(0)).drop("_hot")
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted, verdicts.join(hot, list(keys), "left").withColumn("_salt", F.explode(places)).drop("_hot")
+
+
+def join_spread(
+    rows: DataFrame, verdicts: DataFrame, keys: Sequence[str], how: str = "inner", counted: DataFrame | None = None, large: bool = False
+) -> DataFrame:
     """Join rows with one verdict a key, hot keys included.
 
-    Verdicts that come from an aggregate over the keys lie partitioned by them, and a join would
-    send all rows of a key to that one place. Here the rows of a key go to one of ``SALTS`` places by the task they come
-    from, and each verdict to all of them.
+    Verdicts that come from an aggregate over the keys lie partitioned by them, and a join would send all rows of a
+    key to that one place. Here the rows of a hot key go to one of ``SALTS`` places by the task they come from, and its verdict
+    to all of them; every other verdict stays one row, so the size Spark sees is the size a broadcast takes.
+
+    ``counted`` holds the rows, or more of them, where counting ``rows`` would repeat work. ``large`` verdicts grow
+    with a table: they are never broadcast, whatever the size of compressed files makes Spark expect.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    everywhere = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(everywhere, [*keys, "_salt"], how).drop("_salt")
+    salted, everywhere = spread(rows, verdicts, keys, counted)
+    return salted.join(everywhere.hint("merge") if large else everywhere, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from changemill import session
 from changemill.operators import keys, monitor, ordering, reconcile
 from changemill.spec import missing_key_message, missing_key_report
 
@@ -150,3 +151,18 @@ def test_missing_key_reports(spark):
     catalog = spark.createDataFrame([(f"t{i:02d}", "c", i < 2) for i in range(14)], "tbl string, name string, is_key boolean")
     row = missing_key_report(catalog).first()
     assert row.n == 12 and row.message.startswith("t02, t03") and row.message.endswith("t11 and 2 more")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_only_verdicts_of_hot_keys_are_multiplied(spark, rows, monkeypatch, how):
+    monkeypatch.setattr(session, "HOT", 20)
+    keys = [1] * 100 + [2] * 20 + [3, None, None, 9]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k bigint, i int").repartition(4)
+    verdicts = spark.createDataFrame([(k, f"v{k}") for k in range(1, 9)], "k bigint, v string")
+    salted, everywhere = session.spread(left, verdicts, ["k"])
+    assert everywhere.count() == 8 + session.SALTS - 1
+    assert salted.where("k = 1").select("_salt").distinct().count() == 4
+    assert salted.where("k IN (2, 3, 9)").select("_salt").distinct().count() == 1
+    for large in (False, True):
+        found = session.join_spread(left, verdicts, ["k"], how, large=large)
+        assert rows(found) == rows(left.join(verdicts, "k", how))
