@@ -211,7 +211,7 @@ def insert_mode_state(
     accepted, _ = split_insert_mode(state, changes, keys, order, op)
     deletes = changes.where(F.col(op) == "d").groupBy(*keys).agg(F.max(order).alias("_deleted"))
     left = state.join(deletes.select(*keys), list(keys), "left_anti")
-    lasting = join_spread(accepted, deletes, list(keys), "left").where(
+    lasting = join_spread(accepted, deletes, list(keys), "left", changes).where(
         F.col("_deleted").isNull() | (F.col(order) > F.col("_deleted"))
     )
     return left.unionByName(lasting.select(*state.columns))

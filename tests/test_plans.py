@@ -66,7 +66,7 @@ def test_large_sides_are_joined_by_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-@pytest.mark.parametrize("name", ["insert_mode_rejects"])
+@pytest.mark.parametrize("name", ["insert_mode_rejects", "insert_mode_state"])
 def test_an_insert_sink_does_not_broadcast_its_state(spark, name):
     """Compressed files make the keys of a table look small; the driver would have to hold them all."""
     assert re.search(r"SortMergeJoin \[c_custkey#\d+L, _salt#\d+\]", plan(QUERIES[name](spark, SF_DIR)))
