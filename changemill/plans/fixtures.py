@@ -457,10 +457,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame over the tables of one scale-factor folder."""
-    text = with_views(f"SELECT * FROM {name}")
-    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
-    sources = {f"tbl_{t}": table(spark, sf_dir, t) for t in used}
-    for t in used:
-        text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{tbl_{t}}}", text)
-    return spark.sql(text, **sources)
+    """A derived view as a DataFrame over the tables of one scale-factor folder.
+
+    Every view below it is a frame of its own, not a WITH clause: Spark numbers the clauses of a query through, so a
+    cached frame with clauses is not found again behind another that has some, and its true size with it.
+    """
+    made: dict[str, DataFrame] = {}
+    for needed in _needed(name, []):
+        text, sources = VIEWS[needed], {}
+        for source in (*made, *TABLES):
+            found = re.compile(rf"\b(FROM|JOIN)\s+{source}\b")
+            if found.search(text):
+                sources[f"tbl_{source}"] = made[source] if source in made else table(spark, sf_dir, source)
+                text = found.sub(rf"\1 {{tbl_{source}}}", text)
+        made[needed] = spark.sql(text, **sources)
+    return made[name]

@@ -70,3 +70,17 @@ def test_large_sides_are_joined_by_shuffle(spark):
 def test_an_insert_sink_does_not_broadcast_its_state(spark, name):
     """Compressed files make the keys of a table look small; the driver would have to hold them all."""
     assert re.search(r"SortMergeJoin \[c_custkey#\d+L, _salt#\d+\]", plan(QUERIES[name](spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("name", ["multi_table_state", "routed_feed"])
+def test_a_measured_mapping_is_found_again_and_broadcast(spark, name):
+    """Joined by shuffle, all rows of a table would meet its one mapping row in one task."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.catalog.clearCache()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # below the tables, above the mapping
+        text = plan(QUERIES[name](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "InMemoryTableScan" in text and "BroadcastHashJoin [db_id" in text
+    assert "SortMergeJoin [db_id" not in text
