@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words whose ids a worker remembers; beyond it the memory starts anew. Speed only.
+#: Words whose ids a worker remembers; beyond it only those of the texts at hand stay. Speed only.
 MEMO_WORDS = 600_000
 _SENTENCE_END = re.compile(r"[.!?][\"')\]]*(</w>)?$")
 
@@ -119,8 +119,11 @@ class WordIds:
         memo = self.memo
         missing = list({word for words in split for word in words}.difference(memo))
         if len(memo) + len(missing) > MEMO_WORDS:
+            # What these texts use stays known: frequent words are in most slices.
+            used = {word for words in split for word in words}.difference(missing)
+            kept = {word: memo[word] for word in used}
             memo.clear()
-            missing = list({word for words in split for word in words})
+            memo.update(kept)
         self._learn(missing)
         find = memo.__getitem__
         return [b"".join(map(find, words)) for words in split]

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from changemill.llm import bpe, packing, token_store
+from changemill.llm import bpe, packing, token_store, tokens
 from changemill.llm.tokens import WordIds
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,6 +65,19 @@ def test_word_ids_are_those_of_the_library(documents, words):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == words(texts)
 
 
+def test_a_full_memory_keeps_the_words_at_hand(monkeypatch, words):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 60)
+    encoder, learnt = WordIds.load(WORDS), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda missing: (learnt.extend(missing), learn(missing)))
+    common = [f"common{chr(97 + i)}" for i in range(20)]
+    for i in range(12):
+        texts = [" ".join([*common, *[f"rare{chr(97 + i)}{chr(97 + j)}" for j in range(15)]])]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == words(texts)
+        assert len(encoder.memo) <= 60
+    assert all(learnt.count(w) == 1 for w in common)
+
+
 def check_pieces(rows, expected, size):
     """Every id in one piece; sequences without gaps and no longer than ``size``."""
     by_sequence, found = defaultdict(list), defaultdict(list)
